@@ -6,7 +6,8 @@ equal payloads of `least` bytes or more, that with the smallest id is a response
 writer lays the records down, each ended by CRLF CRLF, in gzip files of bounded size.
 
 read_pages() parses the files, groups segments by origin, orders them by number, checks that none is missing and that
-the total length holds, decodes the chunks and checks the payload digest; a fault raises ValueError.
+the total length holds, decodes the chunks and checks the payload digest; a fault raises ValueError. Records that are not
+segmented are finished where they are parsed, so only segments travel to their group.
 
 Null html is an empty payload, a null url an empty target; line ends in a url are percent-encoded; null ids read back
 as null; rows with equal ids and payloads are all responses where theirs is the smallest id; other columns are
@@ -28,7 +29,8 @@ from .common import shared_path, stored
 
 SEGMENT, CHUNK, PER_FILE, LEAST = 16_384, 8_192, 1_000, 100
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-FIELDS = "origin string, number int, type string, page_id long, refers_to long, digest string, total long, block binary"
+FIELDS = "origin string, number int, type string, page_id long, refers_to long, digest string, total long, payload_bytes long, block binary"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
 def text(data: Column) -> Column:
@@ -62,7 +64,7 @@ def segments(records: DataFrame) -> DataFrame:
         line("WARC-Record-ID", F.when(first, own).otherwise(F.concat(F.lit("<urn:page:"), "record_key", F.lit(":"), F.col("number").cast("string"), F.lit(">")))),
         F.lit("WARC-Date: 2024-01-01T00:00:00Z\r\n"),
         line("WARC-Target-URI", F.col("target")),
-        line("WARC-Segment-Number", F.col("number")),
+        F.when(F.col("segments") > 1, line("WARC-Segment-Number", F.col("number"))).otherwise(F.lit("")),
         F.when(~first, line("WARC-Segment-Origin-ID", own)).otherwise(F.lit("")),
         F.when(last & ~first, line("WARC-Segment-Total-Length", F.length("block"))).otherwise(F.lit("")),
         F.when(first, F.concat(line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), F.lit("Content-Type: application/http; msgtype=response\r\n"))).otherwise(F.lit("")),
@@ -77,7 +79,7 @@ def write_pages(pages: DataFrame, path: str, *, least: int = LEAST, id_col: str
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     repeated = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(repeated, "digest", "left")
+    joined = rows.join(stored(repeated, "repeated"), "digest", "left")  # stored: Spark knows its size, and broadcasts it if small
     revisit = F.col("first_id").isNotNull() & F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True))
     http = F.concat(F.lit(HTTP), chunked(F.col("payload")))
     records = joined.select(
@@ -112,16 +114,32 @@ def page_of(name: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def table_of(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    named = [f.split() for f in fields.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(named)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named)], names=[n for n, _ in named])
+
+
+def payload_of(block: bytes, digest: str) -> bytes:
+    """The payload in a response's block, held against its digest."""
+    payload = dechunk(block.partition(b"\r\n\r\n")[2])
+    if "sha256:" + hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError("a payload fails its digest")
+    return payload
+
+
+def parsed(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    """Segments with their blocks; records in one piece have number 0 and, unless `keep`, no block any more."""
     for batch in batches:
         for cell in batch.column(0):
             rows = []
             for f, block in parse(gzip.decompress(cell.as_py())):
-                origin = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"])
-                rows.append((origin, int(f["WARC-Segment-Number"]), f["WARC-Type"], page_of(origin), page_of(f.get("WARC-Refers-To", "")), f.get("WARC-Payload-Digest"), int(f.get("WARC-Segment-Total-Length", -1)), block))
-            columns = list(zip(*rows)) or [()] * 8
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in FIELDS.split(", ")])
+                origin, kind, digest = f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), f["WARC-Type"], f.get("WARC-Payload-Digest")
+                number = int(f.get("WARC-Segment-Number", 0))
+                size = len(payload_of(block, digest)) if number == 0 and kind == "response" else None
+                rows.append((origin, number, kind, page_of(origin), page_of(f.get("WARC-Refers-To", "")), digest, int(f.get("WARC-Segment-Total-Length", -1)), size, block if number or keep else None))
+            yield table_of(rows, FIELDS)
 
 
 def dechunk(body: bytes) -> bytes:
@@ -149,32 +167,31 @@ def reassemble(parts: list[dict]) -> bytes:
     return block
 
 
-def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for parts, kind, page_id, refers_to, digest in zip(*(c.to_pylist() for c in batch.columns)):
-            head, _, body = reassemble(parts).partition(b"\r\n\r\n")
-            payload = dechunk(body) if kind == "response" else None
-            if payload is not None and "sha256:" + hashlib.sha256(payload).hexdigest() != digest:
-                raise ValueError("a payload fails its digest")
-            rows.append((page_id, None if payload is None else len(payload), digest.removeprefix("sha256:"), kind, refers_to, payload))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload of every record (revisits have no payload)."""
+        for k in range(batch.num_rows):
+            parts, kind, page_id, refers_to, digest, size = (c[k].as_py() for c in batch.columns)
+            payload = None
+            if kind == "response" and (keep or size is None):
+                payload = payload_of(reassemble(parts) if parts[0]["number"] else parts[0]["block"], digest)
+                size = len(payload)
+            rows.append((page_id, size, digest.removeprefix("sha256:"), kind, refers_to, payload if keep else None))
+        yield table_of(rows, RECORD)
+
+
+def read_records(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits, or if not asked for)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    rows = files.mapInArrow(parsed, FIELDS)
-    first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
-    groups = rows.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "block")).alias("parts"), first("type"), first("page_id"), first("refers_to"), first("digest"))
-    return groups.drop("origin").mapInArrow(whole, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    rows = files.mapInArrow(lambda b: parsed(b, payloads), FIELDS)
+    first = lambda c: F.max(F.when(F.col("number") < 2, F.col(c))).alias(c)
+    groups = rows.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "block")).alias("parts"), first("type"), first("page_id"), first("refers_to"), first("digest"), first("payload_bytes"))
+    return groups.drop("origin").mapInArrow(lambda b: whole(b, payloads), RECORD)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The records' facts; a revisit has the length of the response that it refers to."""
-    rows = stored(read_records(spark, path).drop("payload"), "warc-records")
+    rows = stored(read_records(spark, path, payloads=False).drop("payload"), "warc-records")
     sizes = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("size"))
     return rows.join(sizes, ["refers_to", "payload_digest"], "left").select("page_id", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
