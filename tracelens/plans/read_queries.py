@@ -82,9 +82,9 @@ SIZE_SQL = """SELECT trace_id, min(length) AS min_read, max(length) AS max_read,
     FROM ok JOIN (SELECT trace_id, list(length ORDER BY length) AS l, greatest(1, least((count(*) + 1) // 4, count(*) - 1)) AS j1, greatest(1, least(3 * (count(*) + 1) // 4, count(*) - 1)) AS j3 FROM ok GROUP BY trace_id) USING (trace_id)
     JOIN (SELECT trace_id, length AS mode_read, n AS mode_count FROM (SELECT trace_id, length, count(*) AS n, row_number() OVER (PARTITION BY trace_id ORDER BY count(*) DESC, length) AS rn FROM ok GROUP BY trace_id, length) WHERE rn = 1) USING (trace_id)
     GROUP BY trace_id, l, j1, j3"""
-TOP_SQL = """SELECT trace_id, rn, read_offset, times, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) FILTER (k <= 8) || CASE WHEN max(times) > 8 THEN ' +' || (max(times) - 8) || ' more' ELSE '' END AS read_numbers FROM
-    (SELECT trace_id, read_offset, count(*) AS times, row_number() OVER (PARTITION BY trace_id ORDER BY count(*) DESC, read_offset) AS rn FROM ok GROUP BY ALL HAVING count(*) > 1)
-    JOIN (SELECT trace_id, read_offset, n, row_number() OVER (PARTITION BY trace_id, read_offset ORDER BY n) AS k FROM seq) USING (trace_id, read_offset) WHERE rn <= 10 GROUP BY trace_id, rn, read_offset, times"""
+TOP_SQL = """SELECT trace_id, rn, read_offset, times, l || CASE WHEN times > 8 THEN ' +' || (times - 8) || ' more' ELSE '' END AS read_numbers FROM
+    (SELECT trace_id, read_offset, count(*) AS times, row_number() OVER (PARTITION BY trace_id ORDER BY count(*) DESC, read_offset) AS rn FROM ok GROUP BY trace_id, read_offset HAVING count(*) > 1)
+    JOIN (SELECT trace_id, read_offset, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS l FROM (SELECT trace_id, read_offset, n, row_number() OVER (PARTITION BY trace_id, read_offset ORDER BY n) AS k FROM seq) WHERE k <= 8 GROUP BY trace_id, read_offset) USING (trace_id, read_offset) WHERE rn <= 10"""
 MERGE_SQL = """SELECT trace_id, CAST(island AS BIGINT) AS island, min(read_offset) AS range_start, max(read_offset + length) AS range_end, max(read_offset + length) - min(read_offset) AS range_size, count(*) AS read_count, count(DISTINCT read_offset) AS unique_offsets FROM
     (SELECT *, sum(CASE WHEN reach IS NULL OR read_offset > reach + 4096 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY read_offset, length DESC ROWS UNBOUNDED PRECEDING) AS island FROM
     (SELECT *, max(read_offset + length) OVER (PARTITION BY trace_id ORDER BY read_offset, length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ok)) GROUP BY trace_id, island"""

@@ -50,7 +50,7 @@ def collection_summary(captures: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES) -> DataFrame:
-    """relative_path, size, sha256, category (first folder) of the files with these suffixes below `root`, any case."""
+    """relative_path, size, sha256, category (first folder) of the files with these suffixes below `root`, any case; Spark's reader leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rows = files.where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(suffixes))
     marker = root.rstrip("/").removeprefix("file://") + "/"
