@@ -179,7 +179,7 @@ def test_timeline_keeps_input_order_of_ties_and_microseconds(spark):
     assert L.timeline_summary(L.timeline(reads(spark, {1: [(0, 0, 1), (1, 10, 1)]}), r)).first().duration_us == 1
 
 
-RAW_ROW = ("10:30:45.1234567", "MsMpEng.exe", "1234", "ReadFile", "C:\\a\\test.dll", "SUCCESS", "Offset: 0x0, Length: 4,096")
+RAW_ROW = ("10:30:45.1234567", "scanner.exe", "1234", "ReadFile", "C:\\a\\test.dll", "SUCCESS", "Offset: 0x0, Length: 4,096")
 
 
 def raw(spark, *changes):

@@ -23,10 +23,14 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)[^/]*$", 1).cast("long").alias("trace_id"), *[F.col(f"`{h}`").alias(n) for h, n in zip(HEADERS, NAMES)])
 
 
-def number(raw: Column) -> Column:
-    """Hexadecimal with 0x or decimal with commas; null for anything else."""
-    plain = F.replace(F.trim(raw), F.lit(","), F.lit(""))
-    return F.when(F.lower(plain).rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(plain, 3, 16), 16, 10).cast("long")).when(plain.rlike("^[0-9]{1,18}$"), plain.cast("long"))
+def plain(raw: Column) -> Column:
+    return F.lower(F.replace(F.trim(raw), F.lit(","), F.lit("")))
+
+
+def number(text: str) -> Column:
+    """The value of the plain text in a column: hexadecimal with 0x or decimal; null for anything else."""
+    c = F.col(text)
+    return F.when(F.startswith(c, F.lit("0x")), F.when(c.rlike("^0x[0-9a-f]{1,15}$"), F.conv(F.substring(c, 3, 16), 16, 10).cast("long"))).when(c.rlike("^[0-9]{1,18}$"), c.cast("long"))
 
 
 def field(name: str) -> Column:
@@ -34,26 +38,26 @@ def field(name: str) -> Column:
     return F.regexp_extract(F.coalesce("detail", F.lit("")), rf"(?i){name}:\s*([0-9a-fA-Fx,]*[0-9a-zA-Z])", 1)
 
 
-def time_of_day(raw: Column) -> Column:
-    """Microseconds since midnight of a 12- or 24-hour time; null where it cannot be parsed."""
-    part = lambda k: F.expr(f"try_cast(regexp_extract(time_of_day, '{TIME_SQL}', {k}) AS int)")
-    hour, minute, second = part(1), part(2), part(3)
-    fraction = F.rpad(F.regexp_extract(raw, TIME, 4), 6, "0").try_cast("long")
-    half = F.regexp_extract(raw, TIME, 5)
-    hours = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-    good = raw.rlike(TIME) & (hour < 24) & (minute < 60) & (second < 60)
-    return F.when(good, (hours.cast("long") * 3600 + minute * 60 + second) * 1_000_000 + F.coalesce(fraction, F.lit(0)))
-
-
-TIME_SQL = TIME.replace("\\", "\\\\")
+def time_of_day() -> Column:
+    """Microseconds since midnight from the parts h, m, s, f, half of a time; null where they are no time."""
+    hour, minute, second = (F.col(c).try_cast("int") for c in ("_h", "_m", "_s"))
+    hours = F.when((F.col("_half") == "PM") & (hour < 12), hour + 12).when((F.col("_half") == "AM") & (hour == 12), 0).otherwise(hour)
+    fraction = F.coalesce(F.rpad("_f", 6, "0").try_cast("long"), F.lit(0))
+    return F.when((hour < 24) & (minute < 60) & (second < 60), (hours.cast("long") * 3600 + minute * 60 + second) * 1_000_000 + fraction)
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Rows of read operations with their values and `reason`, null where the row is good."""
+    """Rows of read operations with their values and `reason`, null where the row is good.
+
+    Texts are cut out below a generator of one row: filters on `reason` stay above it, so that no pattern runs twice.
+    """
     rows = raw.where(F.trim("operation").isin(READ_OPS))
+    parts = {c: F.regexp_extract("time_of_day", TIME, k) for k, c in enumerate(("_h", "_m", "_s", "_f", "_half"), 1)}
     trimmed = {c: F.trim(c) for c in ("process_name", "operation", "path", "result")}
-    values = {"us_of_day": time_of_day(F.col("time_of_day")), "process_id": F.expr("try_cast(trim(pid) AS int)"), "read_offset": number(field("Offset")), "length": number(field("Length"))}
-    out = rows.withColumns(values).withColumns(trimmed)
+    texts = parts | trimmed | {"_o": plain(field("Offset")), "_l": plain(field("Length"))}
+    others = [c for c in rows.columns if c not in trimmed]
+    cut = rows.select(*others, F.explode(F.array(F.struct(*[e.alias(n) for n, e in texts.items()]))).alias("_t")).select(*others, "_t.*")
+    out = cut.withColumns({"process_id": F.trim("pid").try_cast("int"), "us_of_day": time_of_day(), "read_offset": number("_o"), "length": number("_l")}).drop(*parts, "_o", "_l")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     reason = (
         F.when(F.col("us_of_day").isNull(), "timestamp").when(empty("process_name") | empty("path") | empty("result"), "empty field").when(~F.coalesce(F.col("process_id") > 0, F.lit(False)), "pid")
@@ -77,7 +81,8 @@ def rejects(raw: DataFrame) -> DataFrame:
 def detail_fields(raw: DataFrame) -> DataFrame:
     """Offset, length and priority of a detail, null where absent."""
     priority = F.nullif(F.regexp_extract(F.coalesce("detail", F.lit("")), r"Priority:\s*([A-Za-z ]*[A-Za-z])", 1), F.lit(""))
-    return raw.withColumns({"read_offset": number(field("Offset")), "length": number(field("Length")), "priority": priority})
+    cut = raw.withColumns({"_o": plain(field("Offset")), "_l": plain(field("Length"))})
+    return cut.withColumns({"read_offset": number("_o"), "length": number("_l"), "priority": priority}).drop("_o", "_l")
 
 
 def matches(process: str, sample: str, profile: str) -> Column:
