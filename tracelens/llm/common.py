@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def texts_of(column: pa.Array, step: int = 500) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of a column of strings, a few rows at a time: a batch may hold many long texts."""
+    for k in range(0, len(column), step):
+        yield from column.slice(k, step).cast(pa.binary()).to_pylist()
+
+
 def text_of(column: str = "text") -> Column:
     """The text with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

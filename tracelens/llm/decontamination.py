@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 RATE = 6  #: edits per 100 characters
 LEAST = 30
 BLOCK_CHARS = 4_000_000
@@ -132,7 +134,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least:
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = matcher(shared, rate)
             for batch in batches:
-                found = [(k, *hit) for k, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()) for hit in own.find(normal(t))]
+                found = [(k, *hit) for k, t in enumerate(texts_of(batch.column(1))) for hit in own.find(normal(t))]
                 at = pa.array([k for k, _, _ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([i for _, i, _ in found], pa.int64()), pa.array([d for _, _, d in found], pa.int32())], names=["id", "item_id", "distance"])
 
@@ -145,13 +147,13 @@ def clean_documents(docs: DataFrame, items: DataFrame, *, rate: int = RATE, leas
     out = docs
     for block in blocks_of(items, least, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        rows = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"), F.col(text_col).alias("text"))
+        rows = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = matcher(shared, rate)
             for batch in batches:
-                good = [not own.find(normal(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)], names=["row"]).filter(pa.array(good, pa.bool_()))
+                good = [not own.find(normal(t)) for t in texts_of(batch.column(0).field(text_col))]
+                yield batch.filter(pa.array(good, pa.bool_()))
 
-        out = rows.mapInArrow(keep, rows.select("row").schema).select("row.*")
+        out = rows.mapInArrow(keep, rows.schema).select("row.*")
     return out

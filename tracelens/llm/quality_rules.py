@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, texts_of
 
 #: feature -> (slack above, slack below; None: no fence). Shares are in thousandths, word length in hundredths.
 FEATURES = {"symbols": (10, None), "repeats": (350, None), "dup_lines": (450, None), "word_length": (100, 100), "capitals": (100, None)}
 REACH = 3
 LEAST = 50
+NUMBERS = 250_000  #: distinct words after which a worker's numbering starts anew, which bounds its memory
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -42,7 +43,12 @@ def repeated_words(words: list[bytes], numbers: dict[bytes, int]) -> int:
     if n < 4:
         return 0
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, n)
-    windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+    if len(numbers) >= 1 << 21:  # a very long text: three numbers no longer fit a word
+        ids = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+        pairs = np.unique(ids[:-1] << 32 | ids[1:], return_inverse=True)[1].astype(np.int64)
+        windows = pairs[:-1] << 32 | ids[2:]
+    else:
+        windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
     order = np.argsort(windows, kind="stable")
     equal = np.flatnonzero(windows[order[1:]] == windows[order[:-1]])
     if not len(equal):
@@ -56,28 +62,26 @@ def repeated_words(words: list[bytes], numbers: dict[bytes, int]) -> int:
 def counts_of(text: bytes, numbers: dict[bytes, int]) -> tuple[int, ...]:
     """The COUNTS of one text."""
     words = text.split()
-    if len(numbers) + len(words) >= 1 << 21:
+    if len(numbers) > NUMBERS:
         numbers.clear()
-    if len(words) >= 1 << 21:
-        raise ValueError("a text of two million words or more")
     raw = np.frombuffer(text, np.uint8)
     solid = raw[~_SPACE[raw]]
     lines = [x for x in text.split(b"\n") if x.strip()]
     return (len(words), int(((solid & 0xC0) != 0x80).sum()), int(_SYMBOL[solid].sum()), len(lines) - len(set(lines)), repeated_words(words, numbers), len(lines), int(_CAPITAL[solid].sum()))
 
 
-def with_counts(rows: DataFrame, text_col: str) -> DataFrame:
-    """`rows` plus the COUNTS."""
-    kind = rows.drop(text_col).schema
-    keep = [c for c in rows.columns if c != text_col]
+def with_counts(rows: DataFrame, text: str, inside: str | None = None) -> DataFrame:
+    """`rows` plus the COUNTS of the column `text`, which is left out, or of the field `inside` of the struct `text`, which stays."""
+    keep = [c for c in rows.columns if inside or c != text]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[bytes, int] = {}
         for batch in batches:
-            found = np.array([counts_of(t or b"", numbers) for t in batch.column(text_col).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            texts = batch.column(text).field(inside) if inside else batch.column(text)
+            found = np.array([counts_of(t or b"", numbers) for t in texts_of(texts)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found[:, k]) for k in range(len(COUNTS))], names=keep + COUNTS)
 
-    schema = kind
+    schema = rows.select(*keep).schema
     for c in COUNTS:
         schema = schema.add(c, "long")
     return rows.mapInArrow(count, schema)
@@ -160,5 +164,5 @@ def filter_documents(docs: DataFrame, *, least: int = LEAST, text_col: str = "te
     """The documents that are kept: one pass over the texts for the sketches, one for the verdicts, no shuffle of texts."""
     keys = _keys(lang_col, source_col)
     limits = stored(fences(sketches(with_counts(docs.select(*keys, F.col(text_col).alias("text")), "text")), least), "fences")
-    rows = with_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keys, F.col(text_col).alias("text")), "text")
+    rows = with_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keys), "row", text_col)
     return judged(rows, limits).where("kept").select("row.*")

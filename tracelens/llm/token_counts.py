@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
 from .tokens import count_memo, load, special_strings
 
 
@@ -31,11 +32,13 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 2048, id_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = count_memo(tokenizer)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            n = [count_text(t, tokenizer) for t in texts]
+            sizes, n = [], []
+            for text in texts_of(batch.column(1)):
+                sizes.append(len(text or b""))
+                n.append(count_text(text or b"", tokenizer))
             memo.trim()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored, text_of
+from .common import shared_path, stored, text_of, texts_of
 from .idcodec import BLOCK, LANES, decode_blocks, encode_blocks
 from .tokens import bytes_memo, id_bytes, load, special_strings
 
@@ -71,7 +71,7 @@ def records(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+        for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
             own = text_ids(text or b"", path) + end
             docs.append((doc_id, len(own) // 4))
             parts.append(own)

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries after which a memo starts anew, so that a worker's memory stays bounded.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 400_000
 
 
 @lru_cache(maxsize=4)
