@@ -7,7 +7,8 @@ non-empty parts. A set with more than s empty parts also takes part in the next
 cut empty parts count as signatures. So similar sets always share a signature.
 
 Sets that share one are candidates. Each signature's members are first held against its leader, then, where they still
-belong to different components, against each other; every link is checked on the whole sets. Equal sets are one node.
+belong to different components, against each other. Bitmaps of the sets rule most pairs out; every link is checked on
+the whole sets. Equal sets are one node.
 A chunk of texts elects leaders before the shuffle, so that a signature that a third of all texts share reaches
 its task once per chunk.
 
@@ -25,15 +26,17 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, texts_of
 from .components import components
 
 SIZE, SIMILAR, OF = 5, 80, 100  #: words in a shingle; similar at SIMILAR / OF
 CUTS = 4
 CHUNK = 1_000  #: texts that elect leaders together
+SMALL, BLOCK = 32, 1024  #: members of a signature up to which pairs are joined; members in a block beyond that
+BROADCAST_IDS = 4_000_000  #: ids of candidates up to which they are broadcast (64 MB); beyond, texts are shuffled
 ODD = 0x9E3779B97F4A7C15
 ALL = (1 << 64) - 1
 
@@ -49,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -118,24 +121,51 @@ def set_hash(own: np.ndarray) -> int:
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
+        yield from zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))
 
 
 #: kind 0: a chunk's leader for a signature. kind > 0: another member, `lead` is its leader; the kind spreads them.
 #: kind < 0: a document, `lead` is its id, -1 - kind its set size, node its set (null without words).
-ROWS = "sig long, kind int, node long, lead long"
+ROWS = "sig long, kind int, node long, lead long, bits binary"
+
+
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """A bit for each shingle among four to eight times as many: half a byte to a byte a shingle.
+
+    Each bit in which two bitmaps differ stands for an element that only one set has, so bitmaps rule pairs out.
+    """
+    size = 1 << max(6, (4 * len(own) - 1).bit_length())
+    marks = np.zeros(size, bool)
+    marks[(own & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps of different sizes as rows of words, all folded to the smallest size."""
+    least = min(map(len, bits))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least // 8), axis=0) for b in bits])
+
+
+def apart(left: bytes, right: bytes) -> int:
+    """A lower bound of the number of elements in which two sets differ."""
+    a, b = folded([left, right])
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def enumerate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, rows = WordHashes(), rows_of(batches)
     while chunk := list(islice(rows, CHUNK)):
-        ids, sizes, nodes, sigs, owner, seen = [], [], [], [], [], set()
+        ids, sizes, nodes, bits, sigs, owner, seen = [], [], [], [], [], [], set()
         for doc_id, text in chunk:
             own = shingles(text or b"", words)
             node = set_hash(own) if len(own) and doc_id is not None else None
             ids.append(doc_id)
             sizes.append(len(own))
             nodes.append(node)
+            bits.append(bitmap(own) if node is not None else None)
             if node is not None and node not in seen:
                 seen.add(node)
                 found = signatures(own)
@@ -151,9 +181,9 @@ def enumerate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         other = ~first & (node != lead)
         kind = np.where(first, 0, 1 + (node & 0x3FFFFFFF))
         keep = first | other
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(kind[keep].astype(np.int32)), pa.array(node[keep]), pa.array(lead[keep], mask=first[keep])], names=["sig", "kind", "node", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(kind[keep].astype(np.int32)), pa.array(node[keep]), pa.array(lead[keep], mask=first[keep]), pa.nulls(int(keep.sum()), pa.binary())], names=NAMES)
         spread = mix(np.array([(i or 0) & ALL for i in ids], np.uint64)) >> np.uint64(16)
-        yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int64)), pa.array([-1 - s for s in sizes], pa.int32()), pa.array(nodes, pa.int64()), pa.array(ids, pa.int64())], names=["sig", "kind", "node", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int64)), pa.array([-1 - s for s in sizes], pa.int32()), pa.array(nodes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], names=NAMES)
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +197,26 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "own"])
 
 
-def release(spark) -> None:
-    """Let Spark's cleaner remove the shuffle files of what is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs; stored tables do not need them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, similar: int, of: int) -> DataFrame:
+    """The pairs (u, v) that neither sizes nor bitmaps rule out."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, nu, nv, left, right = (c.to_pylist() for c in batch.columns)
+            keep = [apart(a, b) * (of + similar) <= (m + n) * (of - similar) for m, n, a, b in zip(nu, nv, left, right)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    close = of * F.least("nu", "nv") >= similar * F.greatest("nu", "nv")
+    joined = pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(close)
+    return joined.select("u", "v", "nu", "nv", "bits_u", "bits_v").mapInArrow(near, "u long, v long")
 
 
 def verified(pairs: DataFrame, own: DataFrame, similar: int, of: int) -> DataFrame:
@@ -181,6 +227,55 @@ def verified(pairs: DataFrame, own: DataFrame, similar: int, of: int) -> DataFra
     return pairs.join(right, "v").join(left, "u").where(of * both >= similar * (F.size("left") + F.size("right") - both)).select("u", "v")
 
 
+def links_among(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, repeated: bool, similar: int, of: int) -> DataFrame:
+    """The links among candidate pairs; whole sets are made again from the texts of what `possible` leaves."""
+    left = stored(possible(pairs, nodes, similar, of), "pairs")
+    release(pairs.sparkSession)
+    wanted = stored(left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select(F.col("least").alias("id")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    own = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(sets, "node long, own array<long>").where("node IS NOT NULL")
+    own = stored(own.dropDuplicates(["node"]) if repeated else own, "sets")
+    release(pairs.sparkSession)
+    found = stored(verified(left, own, similar, of), "links")
+    release(pairs.sparkSession)
+    return found
+
+
+def crossed_small(split: DataFrame) -> DataFrame:
+    """Pairs of members in different components; a member has at most SMALL partners for a signature."""
+    left, right = (split.select("sig", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
+    return left.join(right, "sig").where("u < v AND ru != rv").select("u", "v")
+
+
+def crossed_large(split: DataFrame, nodes: DataFrame, similar: int, of: int) -> DataFrame:
+    """The same for signatures of many members, without the pairs that bitmaps rule out.
+
+    Members are dealt into blocks of about BLOCK; a task holds two blocks at a time and gives out, per member, the list of
+    what is left. A pair turns up in many signatures: lists are merged per member before they become pairs.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = split.join(nodes.select("node", "n", "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select("sig", "node", "root", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def near(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, root, n, block = (group.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+        words = folded(group.column("bits").to_pylist())
+        within = group.column("i")[0] == group.column("j")[0]
+        u, v = [], []
+        for k in range(len(node) - 1):
+            at = np.flatnonzero((root[k + 1 :] != root[k]) & (within | (block[k + 1 :] != block[k]))) + k + 1
+            most = (n[at] + n[k]) * (of - similar)
+            at = at[np.bitwise_count(words[at] ^ words[k]).sum(1).astype(np.int64) * (of + similar) <= most]
+            if len(at):
+                u.append(node[k])
+                v.append(node[at])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.list_(pa.int64()))})
+
+    lists = dealt.groupBy("sig", "i", "j").applyInArrow(near, "u long, v array<long>")
+    return lists.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("v"))).alias("v")).select("u", F.explode("v").alias("v"))
+
+
 def similar_documents(docs: DataFrame, *, similar: int = SIMILAR, of: int = OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id, the least id that links reach."""
     if (similar, of) != (SIMILAR, OF):
@@ -188,34 +283,32 @@ def similar_documents(docs: DataFrame, *, similar: int = SIMILAR, of: int = OF,
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bucket = Window.partitionBy("sig", "kind")
-    marked = texts.mapInArrow(enumerate_rows, ROWS).select("*", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"))
-    kept = stored(marked.where("kind != 0 OR low != high").drop("high"), "signatures")
+    rows = texts.mapInArrow(enumerate_rows, ROWS).select("*", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"))
+    kept = stored(rows.where("kind != 0 OR low != high").drop("high"), "signatures")
     release(spark)
-    documents = kept.where("kind < 0").select(F.col("lead").alias("id"), "node", (-1 - F.col("kind")).cast("long").alias("n_shingles"))
-    nodes = stored(documents.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n")), "nodes")
+    documents = kept.where("kind < 0").select(F.col("lead").alias("id"), "node", (-1 - F.col("kind")).cast("long").alias("n_shingles"), "bits")
+    nodes = stored(documents.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits")), "nodes")
+    documents = documents.drop("bits")
+    total = documents.where("id IS NOT NULL").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids")).first()
+    repeated = total["rows"] > total["ids"]
 
     leaders, others = kept.where("kind = 0"), kept.where("kind > 0")
-    close = of * F.least("nu", "nv") >= similar * F.greatest("nu", "nv")
-    size = lambda side: nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"))
-    ordered = lambda pairs: pairs.distinct().join(size("u"), "u").join(size("v"), "v").where(close).select("u", "v")
     led = leaders.select(F.col("low").alias("u"), F.col("node").alias("v")).unionByName(others.select(F.col("lead").alias("u"), F.col("node").alias("v"))).where("u != v")
-    pairs = stored(ordered(led.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))), "pairs")
-
-    members = leaders.select("sig", "node").unionByName(others.select("sig", "node")).unionByName(others.select("sig", F.col("lead").alias("node"))).distinct()
-    wanted = members.select("node").distinct().join(nodes, "node").select(F.col("least").alias("id"))
-    own = stored(texts.join(wanted.distinct(), "id", "left_semi").mapInArrow(sets, "node long, own array<long>").where("node IS NOT NULL").dropDuplicates(["node"]), "sets")
-    release(spark)
-    links = stored(verified(pairs, own, similar, of), "links")
-    release(spark)
+    pairs = stored(led.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "led")
+    links = links_among(pairs, texts, nodes, repeated, similar, of)
     roots = stored(components(links), "roots")
 
     # What a leader has not joined: members of one signature in different components.
-    placed = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("sig")
-    apart = stored(placed.join(mixed, "sig", "left_semi"), "apart")
-    left, right = (apart.select("sig", F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
-    crossed = left.join(right, "sig").where("u < v AND ru != rv").select("u", "v")
-    more = stored(verified(ordered(crossed).join(pairs, ["u", "v"], "left_anti"), own, similar, of), "links")
+    members = leaders.select("sig", "node").unionByName(others.select("sig", F.explode(F.array("node", "lead")).alias("node")))
+    few = roots.count() <= BROADCAST_IDS // 4
+    placed = members.join(F.broadcast(roots) if few else roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    group = Window.partitionBy("sig")
+    counted = placed.select("*", F.min("root").over(group).alias("a"), F.max("root").over(group).alias("b"), F.count("*").over(group).alias("members"))
+    split = stored(counted.where("a != b AND members > 2").select("sig", "node", "root", "members"), "split")
+    release(spark)
+    crossed = stored(crossed_small(split.where(F.col("members") <= SMALL)).unionByName(crossed_large(split.where(F.col("members") > SMALL), nodes, similar, of)).distinct().join(pairs, ["u", "v"], "left_anti"), "crossed")
+    release(spark)
+    more = links_among(crossed, texts, nodes, repeated, similar, of)
     stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = stored(components(stars.unionByName(more)), "roots")
 
