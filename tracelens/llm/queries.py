@@ -13,6 +13,7 @@ from .common import table
 from .decontamination import contaminated
 from .mixing import mix_report
 from .ngram_join import similar_documents
+from .oracles import SQL as ORACLES
 from .quality_rules import quality_report
 from .sharding import shard_documents
 from .token_counts import token_counts
@@ -68,4 +69,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_source_mixing, op4_ngram_join, op5_warc, op6_decontamination, op7_chat_formatting, op8_sharding, op9_url_filters, op10_token_counts)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(ORACLES)
