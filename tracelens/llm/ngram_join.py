@@ -299,7 +299,7 @@ def similar_documents(docs: DataFrame, *, similar: int = SIMILAR, of: int = OF,
     roots = stored(components(links), "roots")
 
     # What a leader has not joined: members of one signature in different components.
-    members = leaders.select("sig", "node").unionByName(others.select("sig", F.explode(F.array("node", "lead")).alias("node")))
+    members = leaders.select("sig", "node").unionByName(others.select("sig", "node")).unionByName(others.select("sig", F.col("lead").alias("node")).distinct())
     few = roots.count() <= BROADCAST_IDS // 4
     placed = members.join(F.broadcast(roots) if few else roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     group = Window.partitionBy("sig")
