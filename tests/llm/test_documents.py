@@ -251,6 +251,14 @@ def test_decontamination_finds_edited_items_and_leaves_others(spark, monkeypatch
     assert D.contaminated(docs, table.limit(0)).count() == 0 and D.clean_documents(docs.limit(0), table).count() == 0
 
 
+def test_decontamination_folds_the_case_of_every_letter(spark):
+    items = [(1, "mañana él volverá según dirá allí también él, así será después"), (2, "die straße führt über größere flüße, äußerst schöne höfe und gärten"), (3, "ο κόσμος είναι μεγάλος και ο δρόμος μας είναι πάντα ανοιχτός")]
+    docs = spark.createDataFrame([(i, f"x {t.upper()} y") for i, t in items] + [(9, "x y")], "doc_id LONG, text STRING")
+    table = spark.createDataFrame([(i, t.title() if i == 1 else t) for i, t in items], "item_id LONG, text STRING")
+    assert sorted(tuple(r) for r in D.contaminated(docs, table).collect()) == [(i, i, 0) for i, _ in items]
+    assert [r.doc_id for r in D.clean_documents(docs, table).collect()] == [9]
+
+
 def test_growth_moves_rows_only_into_the_new_shard():
     owner = H.first_map(24)
     sizes = collections.Counter(owner)

@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared with A-Z in lower case and one space for each run of white space. An item of m characters
+Texts and items are compared after Unicode case folding, with one space for each run of ASCII white space. An item of m characters
 may be changed by e = m * RATE // 100 edits; it is split into e + 1 pieces, one of which must stay whole. An automaton
 of all pieces runs over each whole text; around every hit the Myers bit-parallel search finds the least edit distance of
 the item to a passage there, and counts the item as found at e or less.
@@ -28,7 +28,7 @@ BLOCK_CHARS = 4_000_000
 
 def normal(text: str | bytes | None) -> str:
     raw = text.encode("utf-8", "replace") if isinstance(text, str) else text or b""
-    return b" ".join(raw.lower().split()).decode("utf-8", "replace")
+    return b" ".join(raw.split()).decode("utf-8", "replace").casefold()
 
 
 class Item:
