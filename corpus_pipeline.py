@@ -27,7 +27,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

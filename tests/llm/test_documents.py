@@ -259,6 +259,20 @@ def test_decontamination_folds_the_case_of_every_letter(spark):
     assert [r.doc_id for r in D.clean_documents(docs, table).collect()] == [9]
 
 
+def test_decontamination_finds_short_items_as_whole_words(spark, tmp_path):
+    import corpus_pipeline
+    from tracelens.llm import queries
+
+    texts = ["They won; FORTY  two.", "forty twofold", "a forty two", "xforty two forty two", "forty tw0", "été", "étés", "(x) y", "cafe\u0301", None, ""]
+    items = [(1, "Forty two"), (2, "Été"), (3, "(x)"), (4, "cafe"), (5, ""), (6, None)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id LONG, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.op6_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 1, 0), (2, 1, 0), (3, 1, 0), (5, 2, 0), (7, 3, 0)]
+    clean = corpus_pipeline.decontamination(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in clean.collect()) == [1, 4, 6, 8, 9, 10]
+
+
 def test_growth_moves_rows_only_into_the_new_shard():
     owner = H.first_map(24)
     sizes = collections.Counter(owner)

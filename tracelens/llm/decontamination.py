@@ -1,17 +1,19 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared after Unicode case folding, with one space for each run of ASCII white space. An item of m characters
-may be changed by e = m * RATE // 100 edits; it is split into e + 1 pieces, one of which must stay whole. An automaton
-of all pieces runs over each whole text; around every hit the Myers bit-parallel search finds the least edit distance of
+Texts and items are compared after Unicode case folding, with one space for each run of ASCII white space. An item of m
+characters may be changed by e = m * RATE // 100 edits; it is split into e + 1 pieces, one of which must stay whole. An
+automaton of all pieces runs over each whole text; around every hit the Myers bit-parallel search finds the least edit distance of
 the item to a passage there, and counts the item as found at e or less.
 
 The items are the stated query set: they are shipped to the tasks in blocks of at most BLOCK_CHARS characters, each of
-which is one pass over the texts. Items under `least` characters are ignored, null ones too. Null texts hold nothing;
+which is one pass over the texts. Items under `least` characters are found where they stand exactly and begin and end no
+word halfway, if `short` is set; without it they are ignored. Empty and null items are ignored. Null texts hold nothing;
 repeated rows are reported each; null ids are kept; other columns do not matter; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,6 +33,15 @@ def normal(text: str | bytes | None) -> str:
     return b" ".join(raw.split()).decode("utf-8", "replace").casefold()
 
 
+def in_word(c: str) -> bool:
+    return c.isalnum() or c == "_" or unicodedata.combining(c) > 0
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] begins and ends no word halfway."""
+    return not (start and in_word(text[start - 1]) and in_word(text[start]) or end < len(text) and in_word(text[end - 1]) and in_word(text[end]))
+
+
 class Item:
     """An item's pieces and the bit masks of its characters."""
 
@@ -68,8 +79,11 @@ class Item:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: int = RATE):
-        self.items = [Item(i, t, rate) for i, t in items]
+    """Items under `least` characters are matched exactly, at the bounds of words."""
+
+    def __init__(self, items: list[tuple[int, str]], rate: int = RATE, least: int = LEAST):
+        self.least = least
+        self.items = [Item(i, t, rate if len(t) >= least else 0) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):
             for at, piece in item.pieces:
@@ -91,6 +105,10 @@ class Matcher:
                 item, start = self.items[k], end + 1 - size - at
                 if best.get(k) == 0 or (k, start) in tried:
                     continue
+                if item.size < self.least:
+                    if whole_words(text, start, end + 1):
+                        best[k] = 0
+                    continue
                 tried.add((k, start))
                 if text.startswith(item.text, max(start, 0)):
                     best[k] = 0
@@ -101,38 +119,38 @@ class Matcher:
         return [(self.items[k].item_id, d) for k, d in best.items()]
 
 
-def blocks_of(items: DataFrame, least: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+def blocks_of(items: DataFrame, least: int, short: bool, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size; every block is read on its own."""
     texts = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // BLOCK_CHARS)
     for k in range(n):
         rows = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toLocalIterator()
-        yield sorted({(r["id"], t) for r in rows if len(t := normal(r["text"])) >= least})
+        yield sorted({(r["id"], t) for r in rows if len(t := normal(r["text"])) >= (1 if short else least)})
 
 
 _MATCHERS: dict[int, tuple[list, Matcher]] = {}
 
 
-def matcher(shared, rate: int) -> Matcher:
+def matcher(shared, rate: int, least: int) -> Matcher:
     """The worker's matcher of a broadcast block."""
     if id(shared.value) not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[id(shared.value)] = shared.value, Matcher(shared.value, rate)
+        _MATCHERS[id(shared.value)] = shared.value, Matcher(shared.value, rate, least)
     return _MATCHERS[id(shared.value)][1]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least: int = LEAST, short: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id and edit distance of every item found in a document."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     out = spark.createDataFrame([], f"id {kind}, item_id long, distance int")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    for block in blocks_of(items, least, "item_id", "text"):
+    for block in blocks_of(items, least, short, "item_id", "text"):
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = matcher(shared, rate)
+            own = matcher(shared, rate, least)
             for batch in batches:
                 found = [(k, *hit) for k, t in enumerate(texts_of(batch.column(1))) for hit in own.find(normal(t))]
                 at = pa.array([k for k, _, _ in found], pa.int64())
@@ -142,15 +160,15 @@ def contaminated(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least:
     return out.withColumnRenamed("id", id_col)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least: int = LEAST, text_col: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least: int = LEAST, short: bool = False, text_col: str = "text") -> DataFrame:
     """The documents without any item, with all their columns; texts are not shuffled."""
     out = docs
-    for block in blocks_of(items, least, "item_id", "text"):
+    for block in blocks_of(items, least, short, "item_id", "text"):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         rows = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = matcher(shared, rate)
+            own = matcher(shared, rate, least)
             for batch in batches:
                 good = [not own.find(normal(t)) for t in texts_of(batch.column(0).field(text_col))]
                 yield batch.filter(pa.array(good, pa.bool_()))
