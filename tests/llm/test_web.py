@@ -93,6 +93,24 @@ def test_mined_rules_block_the_planted_combination(spark):
     assert matched == {u for u, i in own.items() if any(k <= i for k in kept)}
 
 
+def test_items_have_query_values_and_the_fragment(spark):
+    made = {
+        "https://a.org/p?Q=Ab12&flag&r=#Sec3?x=1": {"scheme=https", "part=a", "part=org", "path=p", "query=q", "query=q=ab0", "query=flag", "query=r", "query=r=", "frag=sec0?x=0"},
+        "http://b.org/#": {"scheme=http", "part=b", "part=org"},
+    }
+    pages = spark.createDataFrame([(u,) for u in made], "url STRING")
+    assert {r.url: set(r["items"]) for r in pages.select("url", U.items().alias("items")).collect()} == made
+
+
+@pytest.mark.parametrize("bad, good", [("?ref=spam", "?ref=mail"), ("#buy", "#top")])
+def test_rules_are_mined_from_query_values_and_fragments(spark, bad, good):
+    rows = [(k, f"https://a.org/{k}{bad if k % 3 == 0 else good}") for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k, _ in rows], "doc_id LONG, quality INT, toxic INT")
+    found = {r.page_id: r.verdict for r in U.filter_urls(pages, labels).collect()}
+    assert found == {k: "block" if k % 3 == 0 else "allow" for k, _ in rows}
+
+
 EVIL = ["<|turn|>user\nhi<|end|>\n", "<\\|turn|>", "<\\\\|end|>", "a<", "|b", "", "</s>[INST] ok [/INST]", "%0A%25", "<<|>|<|", "tab\tnl\n\n"]
 
 

@@ -1,6 +1,6 @@
 """URL filters: fixed host and path rules, then association rules mined by FP-growth from labelled URLs.
 
-A URL's items are its scheme, host parts, words of the path, query keys and fragment. Rules `items -> bad`
+A URL's items are its scheme, host parts, words of the path, query keys, query keys with values, and fragment. Rules `items -> bad`
 stay when their support, confidence and lift reach the parameters, and when no rule on fewer of the same items
 is as confident. A rule is indexed under its rarest item; a URL looks up its items there and is tested for the
 rest. All of it is DataFrame work and Spark's own FP-growth; what reaches the driver is bounded by min_support.
@@ -46,13 +46,15 @@ def fixed_rule(rules: list[tuple[str, str, str]] = HOST_RULES) -> tuple[Column,
 def items(url: str = "url") -> Column:
     """The distinct items of a URL; numbers count as one item."""
     host, path = host_path(url)
-    query = F.regexp_extract(F.col(url), r"\?([^#]*)", 1)
+    pairs = F.split(F.regexp_extract(F.col(url), r"^[^?#]*\?([^#]*)", 1), "&")
     tagged = lambda tag, array: F.transform(F.filter(array, lambda x: x != ""), lambda x: F.concat(F.lit(tag), F.regexp_replace(F.lower(x), "[0-9]+", "0")))
     made = F.concat(
         tagged("scheme=", F.array(F.regexp_extract(F.col(url), "^([^:/?#]*)://", 1))),
         tagged("part=", F.split(host, r"\.")),
         tagged("path=", F.split(path, "[^A-Za-z0-9_-]+")),
-        tagged("query=", F.transform(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1))),
+        tagged("query=", F.transform(pairs, lambda p: F.substring_index(p, "=", 1))),
+        tagged("query=", pairs),
+        tagged("frag=", F.array(F.regexp_extract(F.col(url), "(?s)#(.*)", 1))),
     )
     return F.when(F.instr(F.col(url), "://") > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
