@@ -70,6 +70,14 @@ def test_codec_round_trip(n, block, kind):
         assert (idcodec.decode_blocks(coded, min(n, block)).ravel()[:n] == a).all()
 
 
+@pytest.mark.parametrize("odd", [65536, 1 << 31, -1])
+def test_codec_refuses_ids_beyond_two_bytes(odd):
+    with pytest.raises(ValueError, match="65535"):
+        idcodec.encode_blocks(np.array([5, odd, 65535]))
+    with pytest.raises(ValueError, match="65535"):
+        list(group_records([(5, 2)], np.array([5, odd])))
+
+
 def test_codec_adapts():
     a = np.tile(np.random.default_rng(1).integers(0, 49408, 40), 100)
     assert sum(map(len, idcodec.encode_blocks(a))) < 0.2 * 2 * len(a)

@@ -5,7 +5,8 @@ its predecessor (order 1) and the block's own frequencies (order 0). Two adaptiv
 guess, by its own record and by the order-1 record, are mixed by a weight that follows the better one; what
 the guesses leave of the probability goes to the order-0 model of the low byte, then of the high byte, where
 the last high byte seen with that low byte is the guess. Every step codes one id of every block, so that
-NumPy works on rows of blocks; the reader repeats the same integer steps.
+NumPy works on rows of blocks; the reader repeats the same integer steps. Ids are two bytes: encode_blocks() raises
+ValueError for ids below 0 or of IDS or more, before anything is coded.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 4096  #: ids in a block
+IDS = 1 << 16  #: ids that two bytes can hold
 LANES = 2048  #: blocks coded at once
 SLOTS = 4096  #: entries of a block's order-1 and order-2 tables
 UNIT, MASK = 1 << 16, (1 << 48) - 1
@@ -193,6 +195,9 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """The coded bytes of each run of `block` ids; the last run may be shorter (it is padded, its reader cuts it)."""
     if not len(ids):
         return []
+    least, most = int(ids.min()), int(ids.max())
+    if least < 0 or most >= IDS:
+        raise ValueError(f"token ids must lie between 0 and {IDS - 1}: these reach from {least} to {most}")
     lanes, steps = -(-len(ids) // block), min(block, len(ids))
     rows = np.zeros(lanes * steps, np.int64)
     rows[: len(ids)] = ids
