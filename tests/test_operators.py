@@ -277,3 +277,24 @@ def test_clusters_separate_two_groups(spark):
     label = {x.trace_id: x.cluster for x in X.cluster_traces(z, most=3).collect()}
     assert len({label[t] for t in range(4)} & {label[t] for t in range(4, 8)}) == 0
     assert X.pca_projection(z).count() == 8
+
+
+def test_quartiles_are_read_off_counts_ranged_over_tasks(spark, monkeypatch):
+    import numpy as np
+
+    rng, many = random.Random(21), []
+    values = {"a": [rng.random() for _ in range(501)], "b": [float(rng.randrange(-3, 4)) for _ in range(400)], "c": [7.5], "d": [1.0, 2.0]}
+    metrics = spark.createDataFrame([(k, *(v[k] if k < len(v) else None for v in values.values())) for k in range(501)], "trace_id LONG, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE")
+    monkeypatch.setattr(X, "kept", lambda df, name, kept=X.kept: many.append(kept(df, name)) or many[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        summary, extremes, outliers = X.metric_summary(metrics, list(values)), X.metric_extremes(metrics, list(values)), X.iqr_outliers(metrics, list(values))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(df.select("slice").distinct().count() > 1 for df in many if "slice" in df.columns)
+    for df in (summary, extremes, outliers):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "median(" not in plan
+    want = {k: np.percentile(v, [25, 50, 75]) for k, v in values.items()}
+    assert {r.metric: (r.q1, r.median, r.q3) for r in summary.collect()} == {k: pytest.approx(tuple(w)) for k, w in want.items()}
+    assert {r.metric: r.median for r in extremes.collect()} == {k: pytest.approx(w[1]) for k, w in want.items()}

@@ -40,19 +40,50 @@ def long_metrics(metrics: DataFrame, names: list[str] = SUMMARY) -> DataFrame:
     return metrics.select("trace_id", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("trace_id", "m.*")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def quantiles(long: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """metric and its interpolated quantiles of `value`; shares: name -> share of the values below.
+
+    Values are counted first and ranged over the tasks; a quantile is read off the cumulative counts, so that no task gathers
+    a metric's values. Nulls are left out.
+    """
+    counts = long.where("value IS NOT NULL").groupBy("metric", "value").agg(F.count("*").alias("n"))
+    counts = kept(counts.repartitionByRange("metric", "value").withColumn("slice", F.spark_partition_id()), "value-counts")
+    by_metric = Window.partitionBy("metric")
+    own = counts.groupBy("metric", "slice").agg(F.sum("n").alias("own"))
+    sums = own.select("metric", "slice", (F.sum("own").over(by_metric.orderBy("slice")) - F.col("own")).alias("before"), F.sum("own").over(by_metric).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("metric", "slice").orderBy("value"))
+    upto = counts.withColumn("inside", inside).join(F.broadcast(sums), ["metric", "slice"]).select("metric", "value", "total", (F.col("before") + F.col("inside")).alias("upto"))
+
+    def quantile(share: float) -> Column:
+        place = share * (F.col("total") - 1)
+        at = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
+    return upto.groupBy("metric").agg(*[quantile(share).alias(name) for name, share in shares.items()])
+
+
 def metric_summary(metrics: DataFrame, names: list[str] = SUMMARY) -> DataFrame:
     v = F.col("value")
     half = 1.96 * F.coalesce(F.when(F.count(v) > 1, F.stddev_samp(v)), F.lit(0.0)) / F.sqrt(F.count(v))
-    return long_metrics(metrics, names).groupBy("metric").agg(
-        F.avg(v).alias("mean"), F.median(v).alias("median"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("std"), F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.75)).alias("q3"),
-        F.min(v).alias("min"), F.max(v).alias("max"), (F.avg(v) - half).alias("ci_low"), (F.avg(v) + half).alias("ci_high"),
-    )
+    long = kept(long_metrics(metrics, names), "long-metrics")
+    sums = long.groupBy("metric").agg(F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), (F.avg(v) - half).alias("ci_low"), (F.avg(v) + half).alias("ci_high"))
+    found = sums.join(quantiles(long, {"median": 0.5, "q1": 0.25, "q3": 0.75}), "metric", "left")
+    return found.select("metric", "mean", "median", "variance", "std", "q1", "q3", "min", "max", "ci_low", "ci_high")
 
 
 def metric_extremes(metrics: DataFrame, names: list[str] = SUMMARY) -> DataFrame:
     """Mean, median and the traces with the greatest and least value; ties go to the lowest trace."""
-    long = long_metrics(metrics, names)
-    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.min(F.struct((-F.col("value")).alias("v"), "trace_id")).alias("a"), F.min(F.struct("value", "trace_id")).alias("b")).select("metric", "mean", "median", F.col("a.trace_id").alias("argmax"), F.col("b.trace_id").alias("argmin"))
+    long = kept(long_metrics(metrics, names), "long-metrics")
+    sums = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.min(F.struct((-F.col("value")).alias("v"), "trace_id")).alias("a"), F.min(F.struct("value", "trace_id")).alias("b"))
+    return sums.join(quantiles(long, {"median": 0.5}), "metric", "left").select("metric", "mean", "median", F.col("a.trace_id").alias("argmax"), F.col("b.trace_id").alias("argmin"))
 
 
 def first_region_counts(entries: DataFrame) -> DataFrame:
@@ -163,8 +194,8 @@ def zscore_outliers(metrics: DataFrame, names: list[str] = RESEARCH_Z, limit: fl
 
 
 def iqr_outliers(metrics: DataFrame, names: list[str] = IQR_METRICS) -> DataFrame:
-    stats = long_metrics(metrics, names)
-    q = stats.groupBy("metric").agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"))
+    stats = kept(long_metrics(metrics, names), "long-metrics")
+    q = quantiles(stats, {"q1": 0.25, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fences = q.select("metric", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
     return stats.join(fences, "metric").where("value < low OR value > high").select("trace_id", "metric", "value", "low", "high")
