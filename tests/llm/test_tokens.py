@@ -36,20 +36,28 @@ def test_any_text_counts_like_the_library(text):
     assert count_text(raw, PATH) == len(ids(raw.decode()))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(max_codepoint=tokens.ODD_FROM), max_size=60))
+def test_any_text_that_is_split_here_encodes_like_the_library(text):
+    assert np.frombuffer(text_ids(text.encode(), PATH), "<u4").tolist() == ids(text)
+
+
 def test_whole_tokens_are_proven():
     found = tokens.whole_tokens(PATH)
     assert len(found) > 10_000
     for word in random.Random(1).sample(sorted(found), 200):
-        assert ids(word.decode()) == [found[word]]
+        assert ids(word) == [found[word]]
 
 
 def test_memo_starts_anew_when_full(monkeypatch):
-    memo = tokens.Memo(PATH, len)
-    monkeypatch.setattr(tokens, "MEMO_ENTRIES", len(memo.first) + 1)
-    for word in (b"zzqx", b"qqzzv", b"xkcdq"):
-        memo[word]
+    memo = tokens.Memo(PATH, tokens.count_of)
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", len(memo.merges.first) + 1)
+    words = [b"zzqx", b"qqzzv", b"xkcdq", b"l" * 1000, "é\u0301".encode()]
+    assert [sum(v) for v in memo.of_texts(words)] == [len(ids(w.decode())) for w in words]
+    assert b"zzqx" in memo and b"l" * 1000 not in memo
     memo.trim()
-    assert len(memo) == len(memo.first) and memo[b"zzqx"] == len(ids("zzqx"))
+    assert len(memo.merges) == len(memo.merges.first)
+    assert sum(next(memo.of_texts([b"zzqx, ZZqx"]))) == 2 * len(ids("zzqx")) + 1
 
 
 def test_counts_of_nulls_repeats_and_clashing_columns(spark):
@@ -117,3 +125,10 @@ def test_token_files_with_nulls_ties_and_long_texts(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id LONG, text STRING, start INT")
     assert sorted(map(str, map(tuple, token_output(docs, PATH).collect()))) == sorted(map(str, expected(rows)))
     assert token_output(docs.limit(0), PATH).count() == 0
+
+
+def test_token_counts_of_every_document(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    found = token_counts(spark.read.parquet(f"{data}/documents.parquet"), PATH).collect()
+    want = [(r.doc_id, len((r.text or "").encode()), n := len(ids(r.text or "")), n > 2048) for r in docs]
+    assert sorted(map(tuple, found)) == sorted(want)

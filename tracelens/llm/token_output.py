@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored, text_of, texts_of
+from .common import shared_path, stored, text_of
 from .idcodec import BLOCK, LANES, decode_blocks, encode_blocks
-from .tokens import bytes_memo, id_bytes, load, special_strings
+from .tokens import memo_of, of_column, proof, same
 
 MAGIC, HEAD = b"TKC1", struct.Struct("<4scIII")
 
@@ -33,9 +34,7 @@ def record(kind: bytes, n: int, payload: bytes, crc: int) -> bytes:
 
 def text_ids(text: bytes, path: str) -> bytes:
     """Little-endian unsigned 32-bit ids of the text."""
-    if any(s in text for s in special_strings(path)):
-        return id_bytes(load(path).encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-    return b"".join(map(bytes_memo(path).__getitem__, text.split()))
+    return b"".join(next(memo_of(path, same).of_texts([text])))
 
 
 def index(docs: list[tuple[int | None, int]]) -> bytes:
@@ -58,8 +57,8 @@ def group_records(docs: list[tuple[int | None, int]], ids: np.ndarray) -> Iterat
         yield record(b"T", len(own), block, zlib.crc32(own.astype("<u4").tobytes()))
 
 
-def records(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    memo, end = bytes_memo(path), id_bytes([end_id])
+def records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, proven: Broadcast) -> Iterator[pa.RecordBatch]:
+    memo, end = memo_of(path, same, proven), end_id.to_bytes(4, "little")
     docs: list[tuple[int | None, int]] = []
     parts: list[bytes] = []
     size = 0
@@ -71,15 +70,14 @@ def records(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-            own = text_ids(text or b"", path) + end
+        for doc_id, (_, values) in zip(batch.column(0).to_pylist(), of_column(batch.column(1), memo)):
+            own = b"".join(values) + end
             docs.append((doc_id, len(own) // 4))
             parts.append(own)
             size += len(own)
             if size >= 4 * BLOCK * LANES:
                 yield group()
                 size = 0
-        memo.trim()
     if docs:
         yield group()
 
@@ -87,8 +85,9 @@ def records(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all documents into token files under `path`."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    coded = ordered.mapInArrow(lambda b: records(b, tokenizer, end_id), "record binary")
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text").select("id", F.col("text").cast("binary"))
+    proven = proof(docs.sparkSession, tokenizer)
+    coded = ordered.mapInArrow(lambda b: records(b, tokenizer, end_id, proven), "record binary")
     coded.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(path)
 
 
