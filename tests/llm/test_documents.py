@@ -194,6 +194,21 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 8, 9]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    rows = [(5, "a b c d e f g"), (5, "totally other words stand here now"), (7, "a b c d e f g"), (7, "m n o p q r s"), (7, "m n o p q r s"), (8, "M N O P Q R S"), (9, "alone in the world as it is"), (None, "m n o p q r s"), (5, ""), (6, "totally other words stand here now")]
+    kept = N.one_of_each(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    want = [(5, "a b c d e f g"), (5, "totally other words stand here now"), (7, "m n o p q r s"), (9, "alone in the world as it is"), (None, "m n o p q r s"), (5, "")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_packed_signatures_come_back():
+    rng = np.random.default_rng(3)
+    sig = np.sort(rng.integers(0, 1 << 48, 700).astype(np.uint64))
+    node = rng.choice(rng.integers(0, 1 << 62, 300), 700)
+    found = N.unpacked(N.packed(sig, node))
+    assert (found[0] == sig).all() and (found[1] == node).all()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_similar_sets_share_a_signature(seed):
     rng = np.random.default_rng(seed)
@@ -205,7 +220,7 @@ def test_similar_sets_share_a_signature(seed):
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both) and N.set_hash(a) != N.set_hash(b):
             assert len(np.intersect1d(N.signatures(a), N.signatures(b)))
-            assert N.apart(N.bitmap(a), N.bitmap(b)) <= len(a) + len(b) - 2 * both
+            assert N.apart(N.sketch(a), N.sketch(b)) <= len(a) + len(b) - 2 * both
 
 
 def test_components_of_chains_stars_and_rings(spark):

@@ -21,19 +21,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder stands in.
+    Where the setting is absent, a temporary folder stands in on one machine; a cluster has to name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or getattr(shared_path, "base", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = shared_path.base = "file://" + tempfile.mkdtemp(prefix="tracelens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: it cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` once to the shared folder and read it back: it cuts lineage and survives lost executors.
+
+    Nothing reads the shuffles of the written plan again, so Spark may remove their files at once.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that end together: clear() leaves them empty, once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for table_ in self.tables:
+            for folder in {x.rpartition("/")[0] for x in table_.inputFiles()}:
+                table_.sparkSession.range(0).write.mode("overwrite").parquet(folder)
+        self.tables = []
 
 
 def texts_of(column: pa.Array, step: int = 500) -> Iterator[bytes | None]:
