@@ -45,8 +45,8 @@ CHUNK, CHUNK_BYTES = 4_000, 16_000_000  #: texts, and bytes of them, that are pa
 CROWD = 4  #: sets of a chunk that share a signature, beyond which they travel spread
 BUCKET_CHARS = 8_000_000  #: characters of text whose signatures (about a million) meet in a bucket
 SMALL, BLOCK = 32, 1024  #: members of a signature up to which a task takes many signatures; members in a block beyond that
-ROWS = 20_000  #: members that a task of many signatures takes at once
-BROADCAST_ROWS = 2_000_000  #: rows of two or three long columns up to which a table is broadcast (48 MB); beyond, both sides are shuffled
+ROWS = 4_000  #: members that a task of many signatures takes at once
+BROADCAST_ROWS = 1_000_000  #: rows of two or three long columns up to which a table is broadcast (24 MB); beyond, both sides are shuffled
 ODD = 0x9E3779B97F4A7C15
 ALL = (1 << 64) - 1
 
