@@ -120,6 +120,16 @@ def test_token_files_of_every_document(spark, data, tmp_path):
     assert list((tmp_path / "tokens").glob("part-*"))
 
 
+def test_token_files_of_many_groups_are_read_in_order(spark, data, monkeypatch, tmp_path):
+    from tracelens.llm import token_output as O
+
+    monkeypatch.setattr(O, "PER_FILE", 2)
+    monkeypatch.setattr(O, "LANES", 1)
+    docs = spark.read.parquet(f"{data}/documents.parquet").coalesce(1)
+    found = token_output(docs, PATH, path=str(tmp_path / "many")).orderBy("start").collect()
+    assert [tuple(r) for r in found] == expected([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
 def test_token_files_with_nulls_ties_and_long_texts(spark):
     rows = [(7, "b a"), (7, "a b"), (7, "a b"), (None, "null id"), (2, None), (-3, ""), (9, "word salad " * 9000)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id LONG, text STRING, start INT")

@@ -1,7 +1,8 @@
 """Adaptive context-mixing range coder for token ids, many blocks in lockstep.
 
 A block is coded on its own: its models start empty. An id is predicted by its two predecessors (order 2),
-its predecessor (order 1) and the block's own frequencies (order 0). Two adaptive estimates for the order-2
+its predecessor (order 1) and the block's own frequencies (order 0), which join in one distribution: the part of it
+that the order-2 guess leaves goes to the order-1 guess, and what both leave to order 0, which codes the bytes of the id. Two adaptive estimates for the order-2
 guess, by its own record and by the order-1 record, are mixed by a weight that follows the better one; what
 the guesses leave of the probability goes to the order-0 model of the low byte, then of the high byte, where
 the last high byte seen with that low byte is the guess. Every step codes one id of every block, so that
@@ -16,7 +17,7 @@ import numpy as np
 BLOCK = 4096  #: ids in a block
 IDS = 1 << 16  #: ids that two bytes can hold
 LANES = 2048  #: blocks coded at once
-SLOTS = 4096  #: entries of a block's order-1 and order-2 tables
+SLOTS = 1024  #: entries of a block's order-1 and order-2 tables
 UNIT, MASK = 1 << 16, (1 << 48) - 1
 SCALE, FLOOR, MOST = 1 << 15, 16, 61440
 

@@ -3,7 +3,7 @@
 A file is a run of records, each `TKC1`, kind, n, payload length and CRC-32 (little-endian), payload, newline.
 Kind D lists the documents of the following kind-T records: ids, null marks and token counts, deflated. Kind T
 is a block of up to BLOCK ids from the range coder, its CRC over the ids. Spark's text writer lays the records
-down, so that its commit protocol covers lost executors; files are ordered by their part number.
+down, so that its commit protocol covers lost executors; files are ordered by their part number, then their count.
 
 A null text is empty and yields its end id alone; null ids come first; equal ids are ordered by text; other
 columns are ignored; an empty table gives no documents. Blocks that fail their checksum raise ValueError.
@@ -26,6 +26,7 @@ from .idcodec import BLOCK, LANES, decode_blocks, encode_blocks
 from .tokens import memo_of, of_column, proof, same
 
 MAGIC, HEAD = b"TKC1", struct.Struct("<4scIII")
+PER_FILE = 8  #: groups of BLOCK * LANES ids in a file, which a reader takes whole
 
 
 def record(kind: bytes, n: int, payload: bytes, crc: int) -> bytes:
@@ -64,10 +65,10 @@ def records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, proven: B
     size = 0
 
     def group() -> pa.RecordBatch:
-        out = list(group_records(docs, np.frombuffer(b"".join(parts), "<u4")))
+        out = b"\n".join(group_records(docs, np.frombuffer(b"".join(parts), "<u4")))
         docs.clear()
         parts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["records"])
 
     for batch in batches:
         for doc_id, (_, values) in zip(batch.column(0).to_pylist(), of_column(batch.column(1), memo)):
@@ -87,8 +88,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text").select("id", F.col("text").cast("binary"))
     proven = proof(docs.sparkSession, tokenizer)
-    coded = ordered.mapInArrow(lambda b: records(b, tokenizer, end_id, proven), "record binary")
-    coded.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(path)
+    coded = ordered.mapInArrow(lambda b: records(b, tokenizer, end_id, proven), "records binary")
+    coded.select(F.col("records").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[list[tuple[int | None, int]], list[tuple[int, bytes, int]]]]:
@@ -144,9 +145,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before the document over all files), n_tokens, ids_crc32, decoded from the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     rows = stored(files.mapInArrow(documents, FIELDS), "token-rows")
-    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(number(r"part-(\d+)"), number(r"-c(\d+)[^/]*$")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return rows.join(offsets, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
