@@ -80,6 +80,20 @@ def test_sketches_merge_and_small_groups_borrow(spark):
     assert found["null"].symbols_max == lang.symbols_max and found["null"].word_length_min == lang.word_length_min
 
 
+def test_sources_judge_the_same_value_differently(spark):
+    """A share of symbols that is usual in code and odd in prose; a small source leans on its language, a large one does not."""
+    rng = random.Random(6)
+    signs = lambda n, share: " ".join(f"w{rng.randrange(2000)}" + ("%" if rng.random() < share else "") for _ in range(n))
+    rows = [(k, prose(rng, 120), "en", "prose") for k in range(400)] + [(1000 + k, signs(120, 0.3 + k % 7 / 20), "en", "code") for k in range(400)]
+    rows += [(5000, signs(120, 0.5), "en", "prose"), (5001, signs(120, 0.5), "en", "code"), (5002, prose(rng, 120), "en", "new"), (5003, signs(120, 0.5), "fr", "code")]
+    found = {r.doc_id: r for r in Q.quality_report(spark.createDataFrame(rows, DOC)).collect()}
+    assert abs(found[5000].symbols - found[5001].symbols) < 40
+    assert not found[5000].kept and found[5001].kept and found[5002].kept
+    # No one cutoff on the feature gives these verdicts.
+    judged = [(r.symbols, r.kept) for r in found.values() if not r.base_failed]
+    assert max(v for v, k in judged if k) > min(v for v, k in judged if not k)
+
+
 def mix_docs(spark, sizes, words=30):
     rng = random.Random(5)
     rows = [(f * 10_000 + k, prose(rng, rng.randrange(1, words)), "en", s) for f, (s, n) in enumerate(sizes.items()) for k in range(n)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import FEATURES, LEAST, REACH
+from .quality_rules import FEATURES, PRIOR, REACH
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = rf"list_filter(string_split_regex({{}}, '{SPACES}'), lambda w: w <> '')"
@@ -14,16 +14,13 @@ _FEATURE_SQL = {
     "word_length": "word_chars * 100 // greatest(n_words, 1)",
     "capitals": "n_capitals * 1000 // greatest(word_chars, 1)",
 }
-_LONG = " UNION ALL ".join(f"SELECT doc_id, lang, source, {k} AS feature, {name} AS value FROM features WHERE NOT base_failed" for k, name in enumerate(FEATURES))
+_LONG = " UNION ALL ".join(f"SELECT lang, source, {k} AS feature, {name} AS value FROM features WHERE NOT base_failed" + (f" AND {name} > 0" if some else "") for k, (name, (some, _)) in enumerate(FEATURES.items()))
 _INSIDE = " AND ".join(
-    f"f.{name} <= coalesce(CASE WHEN total >= {LEAST} THEN q3_{k} + {REACH} * (q3_{k} - q1_{k}) + {above} END, 1000000000)" + (f" AND f.{name} >= q1_{k} - {REACH} * (q3_{k} - q1_{k}) - {below}" if below is not None else "")
-    for k, (name, (above, below)) in enumerate(FEATURES.items())
+    f"coalesce(f.{name} <= q3_{k} + reach_{k}, true)" + (f" AND coalesce(f.{name} >= q1_{k} - reach_{k}, true)" if below else "")
+    for k, (name, (_, below)) in enumerate(FEATURES.items())
 )
-_QUARTILES = ", ".join(f"min(CASE WHEN feature = {k} AND 4 * upto >= total THEN bucket END) AS q1_{k}, min(CASE WHEN feature = {k} AND 4 * upto >= 3 * total THEN bucket END) AS q3_{k}" for k in range(len(FEATURES)))
-
-
-def _level(lang: str, source: str, n: int) -> str:
-    return f"SELECT {n} AS level, {lang} AS lang, {source} AS source, feature, bucket, count(*) AS n FROM long GROUP BY ALL"
+_WIDE = ", ".join(f"max(CASE WHEN feature = {k} THEN {c} END) AS {c}_{k}" for k in range(len(FEATURES)) for c in ("q1", "q3", "reach"))
+_FEATURE_LIST = ", ".join(f"({k})" for k in range(len(FEATURES)))
 
 
 QUALITY = f"""
@@ -37,12 +34,21 @@ counts AS (SELECT d.doc_id, d.lang, d.source, len({WORDS.format('text')}) AS n_w
   coalesce(l.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals FROM docs d LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
 features AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _FEATURE_SQL.items())}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 long AS (SELECT lang, source, feature, CASE WHEN value < 32 THEN value ELSE (value >> (length(bin(value)) - 5)) << (length(bin(value)) - 5) END AS bucket FROM ({_LONG})),
-levels AS ({_level('lang', 'source', 2)} UNION ALL {_level('lang', "''", 1)} UNION ALL {_level("''", "''", 0)}),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total FROM levels),
-fences AS (SELECT level, lang, source, max(total) AS size, {_QUARTILES} FROM ranked GROUP BY level, lang, source),
-chosen AS (SELECT o.lang, o.source, {LEAST} AS total, {', '.join(f"CASE WHEN o.size >= {LEAST} THEN o.q{q}_{k} WHEN l.size >= {LEAST} THEN l.q{q}_{k} ELSE e.q{q}_{k} END AS q{q}_{k}" for k in range(len(FEATURES)) for q in (1, 3))}
-  FROM fences o JOIN fences l ON l.level = 1 AND l.lang = o.lang JOIN fences e ON e.level = 0 WHERE o.level = 2)
-SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, NOT f.base_failed AND coalesce({_INSIDE}, true) AS kept, {', '.join(f'f.{n}' for n in FEATURES)}
+own AS (SELECT lang, source, feature, bucket, count(*) AS n FROM long GROUP BY ALL),
+by_lang AS (SELECT lang, feature, bucket, sum(n) AS n FROM own GROUP BY ALL),
+by_all AS (SELECT feature, bucket, sum(n) AS n FROM own GROUP BY ALL),
+in_lang AS (SELECT lang, feature, sum(n) AS lang_n FROM by_lang GROUP BY ALL),
+in_all AS (SELECT feature, sum(n) AS all_n FROM by_all GROUP BY ALL),
+groups AS (SELECT lang, source, feature FROM (SELECT DISTINCT lang, source FROM own), (VALUES {_FEATURE_LIST}) v(feature)),
+weights AS (SELECT o.lang, o.source, feature, bucket, o.n::HUGEINT * (lang_n + {PRIOR})::HUGEINT * all_n::HUGEINT AS w FROM own o JOIN in_lang USING (lang, feature) JOIN in_all USING (feature)
+  UNION ALL SELECT g.lang, g.source, feature, bucket, n::HUGEINT * {PRIOR} * all_n::HUGEINT FROM groups g JOIN by_lang USING (lang, feature) JOIN in_all USING (feature)
+  UNION ALL SELECT g.lang, g.source, feature, bucket, n::HUGEINT * {PRIOR * PRIOR} FROM groups g JOIN by_all USING (feature)),
+summed AS (SELECT lang, source, feature, bucket, sum(w)::HUGEINT AS w FROM weights GROUP BY ALL),
+ranked AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, feature ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lang, source, feature) AS total FROM summed),
+quartiles AS (SELECT lang, source, feature, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM ranked GROUP BY ALL),
+reaching AS (SELECT *, {REACH} * (q3 - q1 + CASE WHEN q3 < 32 THEN 1 ELSE 1 << (length(bin(q3)) - 5) END) AS reach FROM quartiles),
+chosen AS (SELECT lang, source, {_WIDE} FROM reaching GROUP BY lang, source)
+SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed, NOT f.base_failed AND {_INSIDE} AS kept, {', '.join(f'f.{n}' for n in FEATURES)}
 FROM features f LEFT JOIN chosen c ON c.lang = f.lang AND c.source = f.source
 """
 

@@ -1,9 +1,12 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
-Features are integers. A sketch counts them in buckets of relative width 1/16 (exact below 32); counts add up,
-so tasks, sources and languages merge by summing. A group's fence for a feature is its third quartile plus
-REACH interquartile ranges plus the feature's slack (word length also from below). Groups with fewer than
-`least` documents use the merged sketch of their language, then that of all documents. Documents that fail the
+Features are integers. A sketch counts them in buckets of relative width 1/16 (exact below 32); counts add up, so tasks,
+sources and languages merge by summing. A group's own sketch is merged with its language's, which weighs as PRIOR
+documents, and that one with the sketch of all documents, which weighs as PRIOR documents of the language: small groups
+lean on what is known, large ones on themselves, without a size at which the rule changes. From the merged sketch comes
+the fence of each feature: the third quartile plus REACH times the interquartile range and the width of the quartile's
+bucket, below which a sketch does not see (word length also from below). No fence is a constant. Repeats and duplicate
+lines are sketched over the documents that have any, for most have none and some are as usual. Documents that fail the
 base rules are left out of the sketches.
 
 Null text has no words and fails the base rules; null language or source forms a group of its own; repeated rows
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, texts_of
 
-#: feature -> (slack above, slack below; None: no fence). Shares are in thousandths, word length in hundredths.
-FEATURES = {"symbols": (10, None), "repeats": (350, None), "dup_lines": (450, None), "word_length": (100, 100), "capitals": (100, None)}
-REACH = 3
-LEAST = 50
+#: feature -> (sketched over documents that have any, fence from below too). Shares are in thousandths, word length in hundredths.
+FEATURES = {"symbols": (False, False), "repeats": (True, False), "dup_lines": (True, False), "word_length": (False, True), "capitals": (False, False)}
+REACH = 8
+PRIOR = 50  #: documents as which a group's language counts in its sketch
 NUMBERS = 250_000  #: distinct words after which a worker's numbering starts anew, which bounds its memory
 
 _SPACE = np.zeros(256, bool)
@@ -104,46 +107,54 @@ def bucket(value: str) -> Column:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, feature, bucket, n of the documents that pass the base rules."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(name).alias("value")) for k, name in enumerate(FEATURES)])).alias("f")
-    values = rows.where(~base_failed()).select("lang", "source", *features()).select("lang", "source", each)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(name).alias("value"), F.lit(some).alias("some")) for k, (name, (some, _)) in enumerate(FEATURES.items())])).alias("f")
+    values = rows.where(~base_failed()).select("lang", "source", *features()).select("lang", "source", each).where("f.value > 0 OR NOT f.some")
     return values.select("lang", "source", "f.feature", bucket("f.value").alias("bucket")).groupBy("lang", "source", "feature", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, source and for each feature its upper and lower fence."""
-    lang, all_ = F.col("lang"), F.lit("")
-    levels = [(2, lang, F.col("source")), (1, lang, all_), (0, all_, all_)]
-    merged = [sketch.groupBy(F.lit(k).alias("level"), a.alias("lang"), b.alias("source"), "feature", "bucket").agg(F.sum("n").alias("n")) for k, a, b in levels]
-    group = Window.partitionBy("level", "lang", "source", "feature")
-    ranked = merged[0].unionByName(merged[1]).unionByName(merged[2]).select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"))
+def merged(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source, feature, bucket and weight (whole numbers) of each group's sketch with those that it leans on."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    by_lang, all_ = (sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n")) for keys in (["lang"], []))
+    in_lang, in_all = by_lang.groupBy("lang", "feature").agg(F.sum("n").alias("lang_n")), all_.groupBy("feature").agg(F.sum("n").alias("all_n"))
+    groups = sketch.select("lang", "source").distinct().select("lang", "source", F.explode(F.array(*map(F.lit, range(len(FEATURES))))).alias("feature"))
+    own = sketch.join(in_lang, ["lang", "feature"]).join(in_all, "feature").select("lang", "source", "feature", "bucket", (big("n") * (big("lang_n") + prior) * big("all_n")).cast("decimal(38,0)").alias("w"))
+    near = groups.join(by_lang, ["lang", "feature"]).join(in_all, "feature").select("lang", "source", "feature", "bucket", (big("n") * prior * big("all_n")).cast("decimal(38,0)").alias("w"))
+    far = groups.join(all_, "feature").select("lang", "source", "feature", "bucket", (big("n") * (prior * prior)).cast("decimal(38,0)").alias("w"))
+    return own.unionByName(near).unionByName(far).groupBy("lang", "source", "feature", "bucket").agg(F.sum("w").cast("decimal(38,0)").alias("weight"))
+
+
+def width(value: str) -> Column:
+    """The width of the bucket that begins at the value."""
+    return F.expr(f"CASE WHEN {value} < 32 THEN 1 ELSE shiftleft(1L, length(bin({value})) - 5) END")
+
+
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source and for each feature its upper and lower fence; null where no document has the feature."""
+    group = Window.partitionBy("lang", "source", "feature")
+    ranked = merged(sketch, prior).select("*", F.sum("weight").over(group.orderBy("bucket")).alias("upto"), F.sum("weight").over(group).alias("total"))
     quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket")))
-    bounds = ranked.groupBy("level", "lang", "source", "feature").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total"))
+    bounds = ranked.groupBy("lang", "source", "feature").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
+    reach = bounds.select("*", (REACH * (F.col("q3") - F.col("q1") + width("q3"))).alias("reach"))
     wide = []
-    for k, (name, (above, below)) in enumerate(FEATURES.items()):
+    for k, (name, (_, below)) in enumerate(FEATURES.items()):
         own = F.col("feature") == k
-        wide.append(F.max(F.when(own, F.col("q3") + REACH * (F.col("q3") - F.col("q1")) + above)).alias(f"{name}_max"))
-        if below is not None:
-            wide.append(F.max(F.when(own, F.col("q1") - REACH * (F.col("q3") - F.col("q1")) - below)).alias(f"{name}_min"))
-    limits = bounds.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), F.struct(*wide).alias("limits"))
-    own, by_lang, every = (limits.where(F.col("level") == k).drop("level") for k in (2, 1, 0))
-    chosen = (
-        own.join(by_lang.select("lang", F.col("limits").alias("l1"), F.col("total").alias("t1")), "lang", "left")
-        .withColumn("one", F.lit(1))
-        .join(every.select(F.lit(1).alias("one"), F.col("limits").alias("l0")), "one", "left")
-    )
-    pick = F.when(F.col("total") >= least, F.col("limits")).when(F.col("t1") >= least, F.col("l1")).otherwise(F.col("l0"))
-    return chosen.select("lang", "source", pick.alias("limits")).select("lang", "source", "limits.*")
+        wide.append(F.max(F.when(own, F.col("q3") + F.col("reach"))).alias(f"{name}_max"))
+        if below:
+            wide.append(F.max(F.when(own, F.col("q1") - F.col("reach"))).alias(f"{name}_min"))
+    return reach.groupBy("lang", "source").agg(*wide)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """`rows` (lang, source, COUNTS) with base_failed and kept."""
+    holds = lambda c: F.coalesce(c, F.lit(True))
     inside = F.lit(True)
     for name, (_, below) in FEATURES.items():
-        inside = inside & (F.col(name) <= F.col(f"{name}_max"))
-        if below is not None:
-            inside = inside & (F.col(name) >= F.col(f"{name}_min"))
+        inside = inside & holds(F.col(name) <= F.col(f"{name}_max"))
+        if below:
+            inside = inside & holds(F.col(name) >= F.col(f"{name}_min"))
     joined = rows.select("*", *features()).join(limits, ["lang", "source"], "left")
-    return joined.select("*", base_failed().alias("base_failed"), (~base_failed() & F.coalesce(inside, F.lit(True))).alias("kept"))
+    return joined.select("*", base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
 
 
 def _keys(lang: str, source: str) -> list[Column]:
@@ -152,17 +163,20 @@ def _keys(lang: str, source: str) -> list[Column]:
     return [key(lang).alias("lang"), key(source).alias("source")]
 
 
-def quality_report(docs: DataFrame, *, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def quality_report(docs: DataFrame, *, prior: int = PRIOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Counts, features and verdict of every document."""
     rows = docs.select(F.col(id_col).alias("id"), *_keys(lang_col, source_col), F.col(text_col).alias("text"))
     counted = stored(with_counts(rows, "text"), "quality")
-    out = judged(counted, fences(sketches(counted), least))
+    out = judged(counted, fences(sketches(counted), prior))
     return out.select(F.col("id").alias(id_col), *COUNTS[:5], "base_failed", "kept", *FEATURES)
 
 
-def filter_documents(docs: DataFrame, *, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that are kept: one pass over the texts for the sketches, one for the verdicts, no shuffle of texts."""
+def filter_documents(docs: DataFrame, *, prior: int = PRIOR, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that are kept: one pass over the texts for the sketches, one for the verdicts.
+
+    Counting again costs less than storing or shuffling the texts, and holds where ids are null or repeat.
+    """
     keys = _keys(lang_col, source_col)
-    limits = stored(fences(sketches(with_counts(docs.select(*keys, F.col(text_col).alias("text")), "text")), least), "fences")
+    limits = stored(fences(sketches(with_counts(docs.select(*keys, F.col(text_col).alias("text")), "text")), prior), "fences")
     rows = with_counts(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keys), "row", text_col)
     return judged(rows, limits).where("kept").select("row.*")
