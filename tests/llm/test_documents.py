@@ -132,6 +132,46 @@ def test_mixing_respects_the_repetition_limit(spark):
     assert max(most.values()) <= 3 and max(v for (s, _), v in most.items() if s == "tiny") >= 2
 
 
+@pytest.mark.parametrize("entropy, repeats, budget", [(0.8, 50.0, None), (0.95, 2.0, 9000), (0.5, 1.5, 500)])
+def test_mixing_chooses_the_documents_that_brute_force_does(spark, entropy, repeats, budget):
+    docs = mix_docs(spark, {"big": 400, "mid": 90, "small": 40, None: 20})
+    block, place = M._order(1)
+    rows = docs.select("doc_id", "text", *M._rows(docs, 1, "doc_id", "text", "source")).select("*", block.alias("block"), place.alias("place")).collect()
+    tokens = collections.Counter()
+    for r in rows:
+        assert r.tokens == len(re.findall(WORD, r.text))
+        tokens[r.source] += r.tokens
+    total = sum(tokens.values())
+    budget_ = budget or total
+
+    def weights(alpha):
+        raw = {s: n**alpha for s, n in tokens.items()}
+        return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+    def bisected(holds, low, high):
+        for _ in range(60):
+            low, high = (low, (low + high) / 2) if holds((low + high) / 2) else ((low + high) / 2, high)
+        return high
+
+    spread = lambda a: -sum(w * math.log(w) for w in weights(a).values())
+    fits = lambda a: max(budget_ * w / tokens[s] for s, w in weights(a).items()) <= max(repeats, budget_ / total) * (1 + 1e-9)
+    alpha = 1.0 if spread(1.0) >= entropy * math.log(4) else -bisected(lambda a: spread(-a) >= entropy * math.log(4), -1.0, 0.0)
+    alpha = alpha if fits(alpha) else bisected(fits, alpha, 1.0)
+    want, near = collections.Counter(), set()
+    for s, w in weights(alpha).items():
+        passes, part = divmod(round(w * budget_), tokens[s])
+        upto, own = 0, sorted((r for r in rows if r.source == s), key=lambda r: (r.place, r.block, r.h))
+        for r in own:
+            want[r.doc_id] += passes + (upto + r.tokens <= part)
+            if abs(upto + r.tokens - part) <= 2:  # the query's exponent is bisected less finely: a token more or less
+                near.add(r.doc_id)
+            upto += r.tokens
+            if upto > part:
+                upto += 10**9
+    got = collections.Counter(r.doc_id for r in M.mix_report(docs, entropy=entropy, repeats=repeats, budget=budget).collect())
+    assert {k for k in want | got if want[k] != got[k]} <= near
+
+
 def test_mixing_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, "en", "empty"), (2, "a b c", "en", "full"), (2, "a b c", "en", "full"), (None, "d e", "en", None)], DOC).withColumns({"tokens": F.lit(1), "pass": F.lit(2), "copies": F.lit("c"), "h": F.lit(0)})
     mixed = M.mix_documents(docs)
@@ -270,16 +310,25 @@ def test_decontamination_finds_edited_items_and_leaves_others(spark, monkeypatch
     docs = [(1, prose(rng, 50) + " " + items[3][1].upper() + "\n" + prose(rng, 20)), (2, "".join(edited)), (3, prose(rng, 500)), (4, None), (5, ""), (6, items[5][1].replace(" ", " \n\t ")), (None, items[7][1]), (8, items[7][1][:60]), (9, "short"), (1, items[4][1])]
     docs = spark.createDataFrame([(*d, "x") for d in docs], "doc_id LONG, text STRING, item_id STRING")
     table = spark.createDataFrame(items, "item_id LONG, text STRING")
-    want = {(1, 3), (2, 0), (6, 5), (None, 7), (1, 4)}
+    want = {(1, 3), (2, 0), (6, 5), (None, 7), (1, 4), (9, 90)}
     for block in (D.BLOCK_CHARS, 600):
         monkeypatch.setattr(D, "BLOCK_CHARS", block)
         found = D.contaminated(docs, table).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want and {r.distance for r in found if r.item_id == 0} == {budget}
         clean = D.clean_documents(docs, table)
-        assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 8, 9]
+        assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 8]
+        assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, table, short=False).collect()} == want - {(9, 90)}
     assert D.contaminated(docs, table.limit(0)).count() == 0 and D.clean_documents(docs.limit(0), table).count() == 0
 
 
+def test_decontamination_of_every_document_against_the_distance_over_whole_texts(spark, data):
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet").select(k, "text") for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    normal = [(r.doc_id, D.normal(r.text)) for r in docs.collect()]
+    listed = [D.Item(r.item_id, D.normal(r.text)) for r in items.collect() if D.normal(r.text or "")]
+    want = {(i, x.item_id, d) for i, t in normal for x in listed if (d := x.distance(t)) <= x.budget}
+    assert set(map(tuple, D.contaminated(docs, items).collect())) == want and want
+
+
 def test_decontamination_folds_the_case_of_every_letter(spark):
     items = [(1, "mañana él volverá según dirá allí también él, así será después"), (2, "die straße führt über größere flüße, äußerst schöne höfe und gärten"), (3, "ο κόσμος είναι μεγάλος και ο δρόμος μας είναι πάντα ανοιχτός")]
     docs = spark.createDataFrame([(i, f"x {t.upper()} y") for i, t in items] + [(9, "x y")], "doc_id LONG, text STRING")

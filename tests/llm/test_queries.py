@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.conftest import compare
+from tests.llm.test_tokens import expected
 from tracelens.llm import queries
 from tracelens.llm.common import table
 
@@ -45,5 +46,6 @@ def test_stage_decisions_take_effect(spark, data):
     copies = collections.Counter(r.doc_id for r in kept[3])
     assert max(copies.values()) <= 2
     final = corpus_pipeline.run(spark, data).orderBy("start").collect()
+    assert [tuple(r) for r in final] == expected([(r.doc_id, r.text) for r in kept[3]])
     assert sorted(r.doc_id for r in final) == sorted(r.doc_id for r in kept[3])
     assert [r.start for r in final] == [sum(x.n_tokens for x in final[:k]) for k in range(len(final))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,19 +35,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: it cuts lineage and survives lost executors.
-
-    Nothing reads the shuffles of the written plan again, so Spark may remove their files at once.
-    """
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """For a write whose plan nothing reads again: Spark may remove its shuffle files at once."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: it cuts lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    with writing(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:

@@ -7,7 +7,7 @@ the item to a passage there, and counts the item as found at e or less.
 
 The items are the stated query set: they are shipped to the tasks in blocks of at most BLOCK_CHARS characters, each of
 which is one pass over the texts. Items under `least` characters are found where they stand exactly and begin and end no
-word halfway, if `short` is set; without it they are ignored. Empty and null items are ignored. Null texts hold nothing;
+word halfway; `short=False` leaves them out. Empty and null items are ignored. Null texts hold nothing;
 repeated rows are reported each; null ids are kept; other columns do not matter; empty tables give no rows.
 """
 
@@ -140,7 +140,7 @@ def matcher(shared, rate: int, least: int) -> Matcher:
     return _MATCHERS[id(shared.value)][1]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least: int = LEAST, short: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least: int = LEAST, short: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id and edit distance of every item found in a document."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -160,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least:
     return out.withColumnRenamed("id", id_col)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least: int = LEAST, short: bool = False, text_col: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least: int = LEAST, short: bool = True, text_col: str = "text") -> DataFrame:
     """The documents without any item, with all their columns; texts are not shuffled."""
     out = docs
     for block in blocks_of(items, least, short, "item_id", "text"):

@@ -2,8 +2,8 @@
 
 A source's weight is its share of the tokens to the power alpha, normalised. Bisection finds the largest alpha up to 1
 whose weights have the wanted entropy (a fraction of that of equal weights); where a source would then be repeated more
-than `repeats` times, a second bisection raises alpha just as far as the limit asks. Each step is one aggregate over the
-per-source totals.
+than `repeats` times, a second bisection raises alpha just as far as the limit asks. Each job
+is one aggregate over the per-source totals, for all exponents that the next steps may meet.
 
 A source's quota is its weight times the budget: so many whole passes over its documents and part of one more. The part
 is the start of a permutation of the source's blocks (documents hashed to BLOCKS), cut inside one block by the order of
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, stored
 
-BLOCKS, STEPS = 1024, 24
+BLOCKS, STEPS, AT_ONCE = 1024, 24, 6  #: blocks of a source; steps of bisection, and how many of them a job serves
 
 
 def words_in(text_col: str = "text") -> Column:
@@ -36,30 +36,40 @@ def weigh(totals: DataFrame, alpha: float) -> DataFrame:
     return raw.join(raw.agg(F.sum("raw").alias("all_raw")).withColumn("one", F.lit(1)), F.col("one") == 1).select("source", "tokens", (F.col("raw") / F.col("all_raw")).alias("weight"))
 
 
-def spread(totals: DataFrame, alpha: float) -> tuple[float, float]:
-    """Entropy of the weights at this exponent and the largest weight per token."""
-    power = F.pow(F.col("tokens").cast("double"), F.lit(alpha))
-    row = totals.where("tokens > 0").agg(F.sum(power), F.sum(power * F.log("tokens") * alpha), F.max(power / F.col("tokens"))).first()
-    return math.log(row[0]) - row[1] / row[0], row[2] / row[0]
+def spreads(totals: DataFrame, alphas: list[float]) -> dict[float, tuple[float, float]]:
+    """For each exponent the entropy of the weights and the largest weight per token, in one job."""
+    power = F.pow(F.col("tokens").cast("double"), F.col("alpha"))
+    each = totals.where("tokens > 0").select("tokens", F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
+    rows = each.groupBy("alpha").agg(F.sum(power).alias("a"), F.sum(power * F.log("tokens") * F.col("alpha")).alias("b"), F.max(power / F.col("tokens")).alias("c"))
+    return {r["alpha"]: (math.log(r["a"]) - r["b"] / r["a"], r["c"] / r["a"]) for r in rows.collect()}
 
 
-def exponent(totals: DataFrame, budget: int, *, entropy: float, repeats: float) -> float:
-    """alpha for the wanted share of the greatest entropy, as far as the repetition limit lets it."""
-    even, _ = spread(totals, 0.0)
-    first, _ = spread(totals, 1.0)
+def bisect(totals: DataFrame, holds, low: float, high: float, sign: float = 1.0) -> float:
+    """`high` holds, `low` does not; the least found that holds, of exponents times `sign`.
 
-    def bisect(holds, low: float, high: float) -> float:
-        """`high` holds, `low` does not; the least found that holds."""
-        for _ in range(STEPS):
+    A job evaluates all midpoints that AT_ONCE steps may meet; what it returns is as many rows.
+    """
+    for _ in range(STEPS // AT_ONCE):
+        grid, ends = [], [(low, high)]
+        for _ in range(AT_ONCE):
+            middles = [(a + b) / 2 for a, b in ends]
+            grid += middles
+            ends = [x for (a, b), m in zip(ends, middles) for x in ((a, m), (m, b))]
+        found = spreads(totals, [sign * x for x in dict.fromkeys(grid)])
+        for _ in range(AT_ONCE):
             middle = (low + high) / 2
-            low, high = (low, middle) if holds(middle) else (middle, high)
-        return high
-
-    goal = entropy * even
-    alpha = 1.0 if first >= goal else -bisect(lambda a: spread(totals, -a)[0] >= goal, -1.0, 0.0)
-    limit = max(repeats, budget * spread(totals, 1.0)[1])
-    fits = lambda a: budget * spread(totals, a)[1] <= limit * (1 + 1e-12)
-    return alpha if fits(alpha) else bisect(fits, alpha, 1.0)
+            low, high = (low, middle) if holds(*found[sign * middle]) else (middle, high)
+    return high
+
+
+def exponent(totals: DataFrame, budget: int, *, entropy: float, repeats: float) -> float:
+    """alpha for the wanted share of the greatest entropy, as far as the repetition limit lets it."""
+    ends = spreads(totals, [0.0, 1.0])
+    goal = entropy * ends[0.0][0]
+    alpha = 1.0 if ends[1.0][0] >= goal else -bisect(totals, lambda e, _: e >= goal, -1.0, 0.0, -1.0)
+    limit = max(repeats, budget * ends[1.0][1])
+    fits = lambda _, most: budget * most <= limit * (1 + 1e-12)
+    return alpha if fits(*spreads(totals, [alpha])[alpha]) else bisect(totals, fits, alpha, 1.0)
 
 
 def _order(seed: int) -> tuple[Column, Column]:

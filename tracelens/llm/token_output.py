@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored, text_of
+from .common import shared_path, stored, text_of, writing
 from .idcodec import BLOCK, LANES, decode_blocks, encode_blocks
 from .tokens import memo_of, of_column, proof, same
 
@@ -89,7 +89,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text").select("id", F.col("text").cast("binary"))
     proven = proof(docs.sparkSession, tokenizer)
     coded = ordered.mapInArrow(lambda b: records(b, tokenizer, end_id, proven), "records binary")
-    coded.select(F.col("records").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    with writing(docs.sparkSession):
+        coded.select(F.col("records").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[list[tuple[int | None, int]], list[tuple[int, bytes, int]]]]:
