@@ -1,11 +1,16 @@
-"""A corpus pipeline of five stages; each works on all that the one before kept."""
+"""A corpus pipeline of five stages; each works on all that the one before kept.
+
+Null texts and texts under 50 words fail the quality rules and go; repeated rows are one group, of which one stays; very
+long texts are taken whole; columns beyond those of documents are carried along, whatever their names; empty tables
+give no rows.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.llm.common import stored, table
+from tracelens.llm.common import Scratch, table
 from tracelens.llm.decontamination import clean_documents
 from tracelens.llm.mixing import mix_documents
 from tracelens.llm.ngram_join import one_of_each
@@ -27,7 +32,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return clean_documents(docs, table(spark, sf_dir, "benchmark"), short=True)
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), Scratch()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        now = Scratch()
+        docs = now.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before.clear()  # its successor is written: one copy of the documents is kept
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)
