@@ -49,15 +49,19 @@ def test_whole_tokens_are_proven():
         assert ids(word) == [found[word]]
 
 
-def test_memo_starts_anew_when_full(monkeypatch):
+def test_memo_forgets_what_is_not_asked_for(monkeypatch):
     memo = tokens.Memo(PATH, tokens.count_of)
-    monkeypatch.setattr(tokens, "MEMO_ENTRIES", len(memo.merges.first) + 1)
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 3)
     words = [b"zzqx", b"qqzzv", b"xkcdq", b"l" * 1000, "é\u0301".encode()]
     assert [sum(v) for v in memo.of_texts(words)] == [len(ids(w.decode())) for w in words]
     assert b"zzqx" in memo and b"l" * 1000 not in memo
     memo.trim()
-    assert len(memo.merges) == len(memo.merges.first)
-    assert sum(next(memo.of_texts([b"zzqx, ZZqx"]))) == 2 * len(ids("zzqx")) + 1
+    assert not memo and not memo.merges and b"zzqx" in memo.old
+    assert sum(next(memo.of_texts([b"zzqx, ZZqx the"]))) == 2 * len(ids("zzqx")) + 2
+    assert b"zzqx" in memo and b"xkcdq" not in memo
+    list(memo.of_texts([b"a1 b2 c3 d4"]))
+    memo.trim()
+    assert b"xkcdq" not in memo.old and b"zzqx" in memo.old
 
 
 def test_counts_of_nulls_repeats_and_clashing_columns(spark):

@@ -41,7 +41,7 @@ from .components import components
 
 SIZE, SIMILAR, OF = 5, 80, 100  #: words in a shingle; similar at SIMILAR / OF
 CUTS = 4
-CHUNK, CHUNK_BYTES = 4_000, 16_000_000  #: texts, and bytes of them, that are packed together
+CHUNK, CHUNK_BYTES = 1_500, 6_000_000  #: texts, and bytes of them, that are packed together
 CROWD = 4  #: sets of a chunk that share a signature, beyond which they travel spread
 BUCKET_CHARS = 8_000_000  #: characters of text whose signatures (about a million) meet in a bucket
 SMALL, BLOCK = 32, 1024  #: members of a signature up to which a task takes many signatures; members in a block beyond that
@@ -62,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

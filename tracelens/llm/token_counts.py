@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import count_of, memo_of, of_column, proof
+from .tokens import Memo, count_of, memo_of, of_column, proof
 
 
 def count_text(text: bytes, path: str) -> int:
@@ -27,7 +27,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 2048, id_col:
     proven = proof(docs.sparkSession, tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = memo_of(tokenizer, count_of, proven)
+        memo = Memo(tokenizer, count_of, proven.value)
         for batch in batches:
             rows = [(size, sum(values)) for size, values in of_column(batch.column(1), memo)]
             sizes, n = [s for s, _ in rows], [x for _, x in rows]

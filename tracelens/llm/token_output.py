@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, stored, text_of, writing
 from .idcodec import BLOCK, LANES, decode_blocks, encode_blocks
-from .tokens import memo_of, of_column, proof, same
+from .tokens import Memo, memo_of, of_column, proof, same
 
 MAGIC, HEAD = b"TKC1", struct.Struct("<4scIII")
 PER_FILE = 8  #: groups of BLOCK * LANES ids in a file, which a reader takes whole
@@ -59,7 +59,7 @@ def group_records(docs: list[tuple[int | None, int]], ids: np.ndarray) -> Iterat
 
 
 def records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, proven: Broadcast) -> Iterator[pa.RecordBatch]:
-    memo, end = memo_of(path, same, proven), end_id.to_bytes(4, "little")
+    memo, end = Memo(path, same, proven.value), end_id.to_bytes(4, "little")
     docs: list[tuple[int | None, int]] = []
     parts: list[bytes] = []
     size = 0

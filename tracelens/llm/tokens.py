@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-#: Entries after which a memo starts anew, and bytes beyond which a key is not remembered: both bound a worker's memory.
-MEMO_ENTRIES, MEMO_BYTES = 600_000, 64
+#: Entries after which a memo turns its generation, and bytes beyond which a key is not remembered: both bound a worker's memory.
+MEMO_ENTRIES, MEMO_BYTES = 300_000, 64
 ODD_FROM = 0x180
 PIECE = 1 << 20  #: bytes of text that are tokenized together
 SUFFIX = "</w>"
@@ -94,26 +94,46 @@ def pre_tokens(chunk: bytes) -> list[bytes]:
     return [chunk] if ODD.search(text) else [x.encode() for x in PRE_TOKEN.findall(text.lower())]
 
 
-class Merges(dict):
-    """Pre-token or odd chunk -> its ids as little-endian 32-bit integers; starts with the whole tokens."""
+class Generations(dict):
+    """A memo of two generations: what is not asked for while one fills up is forgotten with the next."""
+
+    old: dict = {}
+
+    def recalled(self, key: bytes):
+        """The value in the generation before, or null; it is remembered anew."""
+        value = self.old.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+
+
+class Merges(Generations):
+    """Pre-token or odd chunk -> its ids as little-endian 32-bit integers; whole tokens are always there."""
 
     def __init__(self, path: str, whole: dict[str, int] | None = None):
         self.path = path
         self.first = {w.encode(): i.to_bytes(4, "little") for w, i in (whole or whole_tokens(path)).items()}
-        super().__init__(self.first)
 
     def alone(self, text: bytes) -> bytes:
         return np.asarray(load(self.path).encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, key: bytes) -> bytes:
-        value = self.alone(key)
-        if len(key) <= MEMO_BYTES:
-            self[key] = value
+        value = self.first.get(key) or self.recalled(key)
+        if value is None:
+            value = self.alone(key)
+            if len(key) <= MEMO_BYTES:
+                self[key] = value
         return value
 
     def learn(self, keys: set[bytes], step: int = 10_000) -> None:
         """Merge the keys that are missing, many in one call: a pre-token ends where an id ends one."""
-        plain = sorted(k for k in keys - self.keys() if len(k) <= MEMO_BYTES and (k.isascii() or not ODD.search(k.decode("utf-8", "replace"))))
+        new = (k for k in keys - self.keys() - self.first.keys() if self.recalled(k) is None)
+        plain = sorted(k for k in new if len(k) <= MEMO_BYTES and (k.isascii() or not ODD.search(k.decode("utf-8", "replace"))))
         for at in range(0, len(plain), step):
             part = plain[at : at + step]
             raw = self.alone(b" ".join(part))
@@ -122,7 +142,7 @@ class Merges(dict):
                 self.update((k, raw[x:y]) for k, x, y in zip(part, [0, *ends], ends))
 
 
-class Memo(dict):
+class Memo(Generations):
     """Chunk (without ASCII white space) -> `of(its ids)`."""
 
     def __init__(self, path: str, of, whole: dict[str, int] | None = None):
@@ -134,11 +154,13 @@ class Memo(dict):
         split = [None if any(s in t for s in self.special) else t.lower().split() for t in texts]
         found = [None if chunks is None else list(map(self.get, chunks)) for chunks in split]
         missing = {c for chunks, values in zip(split, found) if values and None in values for c, v in zip(chunks, values) if v is None}
-        parts = {c: pre_tokens(c) for c in missing}
+        new = {c: v for c in missing if (v := self.recalled(c)) is not None}
+        parts = {c: pre_tokens(c) for c in missing - new.keys()}
         self.merges.learn({k for keys in parts.values() for k in keys})
         ids = self.merges.__getitem__
-        new = {c: self.of(ids(keys[0]) if len(keys) == 1 else b"".join(map(ids, keys))) for c, keys in parts.items()}
-        self.update((c, v) for c, v in new.items() if len(c) <= MEMO_BYTES)
+        made = {c: self.of(ids(keys[0]) if len(keys) == 1 else b"".join(map(ids, keys))) for c, keys in parts.items()}
+        self.update((c, v) for c, v in made.items() if len(c) <= MEMO_BYTES)
+        new |= made
         for text, chunks, values in zip(texts, split, found):
             if chunks is None:
                 yield [self.of(self.merges.alone(text))]
@@ -148,11 +170,8 @@ class Memo(dict):
                 yield values
 
     def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        if len(self.merges) > MEMO_ENTRIES:
-            self.merges.clear()
-            self.merges.update(self.merges.first)
+        self.turn()
+        self.merges.turn()
 
 
 def of_column(column: pa.Array, memo: Memo) -> Iterator[tuple[int, list]]:
@@ -179,7 +198,7 @@ def same(ids: bytes) -> bytes:
     return ids
 
 
-@lru_cache(maxsize=4)
-def memo_of(path: str, of, proven: Broadcast | None = None) -> Memo:
-    """The worker's memo; `of`: count_of or same."""
-    return Memo(path, of, proven.value if proven is not None else None)
+@lru_cache(maxsize=2)
+def memo_of(path: str, of) -> Memo:
+    """A memo that stays, for single texts; a task makes its own, which goes with it. `of`: count_of or same."""
+    return Memo(path, of)
