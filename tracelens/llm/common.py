@@ -32,18 +32,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
 def writing(spark: SparkSession) -> Iterator[None]:
-    """For a write whose plan nothing reads again: Spark may remove its shuffle files at once."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """For a write whose plan nothing reads again: Spark may remove its shuffle files at once, and hands texts to Python few at a time."""
+    wanted = {CLEANUP: "true", BATCH: str(min(2000, int(spark.conf.get(BATCH, "10000"))))}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

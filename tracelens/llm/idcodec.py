@@ -200,11 +200,12 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     if least < 0 or most >= IDS:
         raise ValueError(f"token ids must lie between 0 and {IDS - 1}: these reach from {least} to {most}")
     lanes, steps = -(-len(ids) // block), min(block, len(ids))
-    rows = np.zeros(lanes * steps, np.int64)
+    rows = np.zeros(lanes * steps, np.uint16)
     rows[: len(ids)] = ids
     rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
     model, writer = Model(lanes), Writer(lanes, steps)
-    for x in rows:
+    for row in rows:
+        x = row.astype(np.int64)
         model.predict()
         hit2, hit1 = x == model.a2, x == model.a1
         cum, freq = np.where(hit2, 0, model.p2), np.where(hit2, model.p2, model.p1)
@@ -225,7 +226,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
 def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
     """blocks x steps ids."""
     lanes = len(blocks)
-    model, reader, out = Model(lanes), Reader(blocks), np.empty((steps, lanes), np.int64)
+    model, reader, out = Model(lanes), Reader(blocks), np.empty((steps, lanes), np.uint16)
     for t in range(steps):
         model.predict()
         value = reader.value(EVERY)

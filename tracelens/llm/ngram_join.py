@@ -43,7 +43,7 @@ SIZE, SIMILAR, OF = 5, 80, 100  #: words in a shingle; similar at SIMILAR / OF
 CUTS = 4
 CHUNK, CHUNK_BYTES = 1_500, 6_000_000  #: texts, and bytes of them, that are packed together
 CROWD = 4  #: sets of a chunk that share a signature, beyond which they travel spread
-BUCKET_CHARS = 8_000_000  #: characters of text whose signatures (about a million) meet in a bucket
+BUCKET_CHARS = 5_000_000  #: characters of text whose signatures (about 700,000) meet in a bucket
 SMALL, BLOCK = 32, 1024  #: members of a signature up to which a task takes many signatures; members in a block beyond that
 ROWS = 4_000  #: members that a task of many signatures takes at once
 BROADCAST_ROWS = 1_000_000  #: rows of two or three long columns up to which a table is broadcast (24 MB); beyond, both sides are shuffled

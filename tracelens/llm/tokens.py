@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 #: Entries after which a memo turns its generation, and bytes beyond which a key is not remembered: both bound a worker's memory.
-MEMO_ENTRIES, MEMO_BYTES = 300_000, 64
+MEMO_ENTRIES, MEMO_BYTES = 100_000, 64
 ODD_FROM = 0x180
 PIECE = 1 << 20  #: bytes of text that are tokenized together
 SUFFIX = "</w>"
