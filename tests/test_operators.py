@@ -15,6 +15,7 @@ from tracelens.operators import timeline as L
 from tracelens.sources import captures as C
 from tracelens.sources import sinks as K
 from tracelens.sources import trace_csv as V
+from tracelens.sources.region_catalog import rva_to_offset
 from tracelens.streaming import traces as T
 
 START = datetime(2024, 1, 1)
@@ -298,3 +299,13 @@ def test_quartiles_are_read_off_counts_ranged_over_tasks(spark, monkeypatch):
     want = {k: np.percentile(v, [25, 50, 75]) for k, v in values.items()}
     assert {r.metric: (r.q1, r.median, r.q3) for r in summary.collect()} == {k: pytest.approx(tuple(w)) for k, w in want.items()}
     assert {r.metric: r.median for r in extremes.collect()} == {k: pytest.approx(w[1]) for k, w in want.items()}
+
+
+def test_equal_reads_stay_apart_in_region_lookups(spark):
+    reads = spark.createDataFrame([(1, 1, 7, 5)] * 3 + [(1, 2, 7, 999), (1, 3, 8, 5)], "trace_id LONG, event_order LONG, file_id LONG, read_offset LONG")
+    regions = spark.createDataFrame([(7, 1, "b", 0, 9), (7, 0, "a", 4, 6)], "file_id LONG, region_ord INT, region_name STRING, start_offset LONG, end_offset LONG")
+    found = R.point_region(reads, regions).collect()
+    assert sorted((r.event_order, r.region) for r in found) == [(1, "a")] * 3 + [(2, "trailing"), (3, "Unknown")]
+    rvas = spark.createDataFrame([(7, 15), (7, 15), (7, 3)], "file_id LONG, rva LONG")
+    sections = spark.createDataFrame([(7, 0, 10, 10, 100)], "file_id LONG, section_ord INT, va LONG, vsize LONG, raw_ptr LONG")
+    assert sorted(r.file_offset for r in rva_to_offset(rvas, sections).collect()) == [3, 105, 105]

@@ -44,15 +44,25 @@ def unmapped(reads: DataFrame, regions: DataFrame) -> DataFrame:
     return reads.join(spans, touches, "left_anti")
 
 
+def region_lists(regions: DataFrame, *order: str) -> DataFrame:
+    """_file, its regions as one array in an order, and the bounds of all; as many elements as the file has regions."""
+    span = F.struct(*order, F.col("start_offset").alias("_s"), F.col("end_offset").alias("_e"), F.col("region_name").alias("_name"))
+    return regions.groupBy(F.col("file_id").alias("_file")).agg(F.array_sort(F.collect_list(span)).alias("_spans"), F.min("start_offset").alias("_first"), F.max("end_offset").alias("_last"))
+
+
+def first_holding(at: str) -> Column:
+    """The name of the first region of `_spans` that holds the offset; null where none does."""
+    return F.get(F.filter("_spans", lambda r: (F.col(at) >= r["_s"]) & (F.col(at) <= r["_e"])), F.lit(0))["_name"]
+
+
 def point_region(reads: DataFrame, regions: DataFrame, at: str = "read_offset", out: str = "region") -> DataFrame:
-    """The first region by order of definition that holds an offset; header, trailing or Unknown otherwise."""
-    spans = regions.select(F.col("file_id").alias("_file"), F.col("region_ord").alias("_ord"), F.col("region_name").alias("_name"), F.col("start_offset").alias("_s"), F.col("end_offset").alias("_e"))
-    holds = (F.col("file_id") == F.col("_file")) & (F.col(at) >= F.col("_s")) & (F.col(at) <= F.col("_e"))
-    keys = reads.columns
-    found = reads.join(spans, holds, "left").groupBy(*keys).agg(F.min_by("_name", "_ord").alias("_found"))
-    ends = regions.groupBy(F.col("file_id").alias("_file")).agg(F.min("start_offset").alias("_first"), F.max("end_offset").alias("_last"))
-    label = F.coalesce("_found", F.when(F.col(at) < F.col("_first"), "header").when(F.col(at) > F.col("_last"), "trailing").otherwise("Unknown"))
-    return found.join(ends, F.col("file_id") == F.col("_file"), "left").select(*keys, label.alias(out))
+    """The first region by order of definition that holds an offset; header, trailing or Unknown otherwise.
+
+    One row for each row of `reads`, equal ones included. A file's regions come to its reads as one array: reads are not grouped.
+    """
+    joined = reads.join(region_lists(regions, "region_ord"), F.col("file_id") == F.col("_file"), "left")
+    label = F.coalesce(first_holding(at), F.when(F.col(at) < F.col("_first"), "header").when(F.col(at) > F.col("_last"), "trailing").otherwise("Unknown"))
+    return joined.select(*[F.col(c) for c in reads.columns], label.alias(out))
 
 
 def by_region(reads: DataFrame, regions: DataFrame) -> DataFrame:

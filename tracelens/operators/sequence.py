@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BLOCK
 from ..functions.expressions import earlier, in_order, by_trace, count_where, micros, ratio, region_class, top
-from .regions import annotation, point_region
+from .regions import annotation, first_holding, point_region, region_lists
 
 
 def end_of() -> Column:
@@ -100,9 +100,8 @@ def bracket_probes(reads: DataFrame) -> DataFrame:
 def access_ladder(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Normalised offset against index, with the class of the first region by start that holds the offset."""
     rows = reads.select("trace_id", "file_id", "file_size", "read_offset", (F.row_number().over(in_order()) - 1).alias("idx"), F.count("*").over(by_trace()).alias("n"))
-    spans = regions.select(F.col("file_id").alias("_file"), "region_ord", "region_name", "start_offset", "end_offset")
-    holds = (F.col("file_id") == F.col("_file")) & (F.col("read_offset") >= F.col("start_offset")) & (F.col("read_offset") <= F.col("end_offset"))
-    found = rows.join(spans, holds, "left").groupBy(*rows.columns).agg(F.min_by("region_name", F.struct("start_offset", "region_ord")).alias("region_name"))
+    lists = region_lists(regions, "start_offset", "region_ord")
+    found = rows.join(lists, F.col("file_id") == F.col("_file"), "left").withColumn("region_name", first_holding("read_offset"))
     return found.select("trace_id", "idx", ratio(F.col("idx"), F.greatest(F.col("n") - 1, F.lit(1))).alias("position"), ratio(F.col("read_offset"), F.col("file_size")).alias("offset_fraction"), region_class().alias("region_class"))
 
 

@@ -22,11 +22,11 @@ def catalog(rows: DataFrame) -> DataFrame:
 
 def rva_to_offset(rvas: DataFrame, sections: DataFrame) -> DataFrame:
     """`rvas` (file_id, rva, ...) with file_offset: by the first section that holds the address, else the address itself."""
-    spans = sections.select(F.col("file_id").alias("_file"), "section_ord", "va", "vsize", "raw_ptr")
-    holds = (F.col("file_id") == F.col("_file")) & (F.col("rva") >= F.col("va")) & (F.col("rva") < F.col("va") + F.col("vsize"))
-    keys = rvas.columns
-    found = rvas.join(spans, holds, "left").groupBy(*keys).agg(F.min_by(F.col("rva") - F.col("va") + F.col("raw_ptr"), "section_ord").alias("at"))
-    return found.select(*keys, F.coalesce("at", "rva").alias("file_offset"))
+    span = F.struct("section_ord", "va", "vsize", "raw_ptr")
+    lists = sections.groupBy(F.col("file_id").alias("_file")).agg(F.array_sort(F.collect_list(span)).alias("_sections"))
+    holds = F.get(F.filter("_sections", lambda x: (F.col("rva") >= x["va"]) & (F.col("rva") < x["va"] + x["vsize"])), F.lit(0))
+    joined = rvas.join(lists, F.col("file_id") == F.col("_file"), "left").withColumn("_in", holds)
+    return joined.select(*rvas.columns, F.coalesce(F.col("rva") - F.col("_in.va") + F.col("_in.raw_ptr"), "rva").alias("file_offset"))
 
 
 def regions_from_headers(headers: DataFrame, sections: DataFrame, directories: DataFrame) -> DataFrame:
