@@ -139,3 +139,18 @@ def test_deltas_edits_and_regenerations_fold(spark):
     assert found == [(0, "user", "hello"), (1, "assistant", "good"), (2, "user", "new end")]
     row = C.render(C.fold_events(frame)).first()
     assert [row.formatted[m.start : m.start + m.length] for m in row["mask"]] == ["good"]
+
+
+def test_a_long_shared_path_is_one_item(spark):
+    path = "/".join(f"part{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    rows = [(f"http://a{k}.org/{path}/x", True) for k in range(60)] + [(f"http://b{k}.org/y/{k}", False) for k in range(120)]
+    rules = U.mine_rules(spark.createDataFrame(rows, "url STRING, bad BOOLEAN")).collect()
+    assert rules and all(r.confidence == 1.0 for r in rules)
+    hit = U.matched_urls(spark.createDataFrame([(f"http://a777.net/{path}",), ("http://new.net/y",)], "url STRING"), spark.createDataFrame(rules))
+    assert [r.url for r in hit.collect()] == [f"http://a777.net/{path}"]
+
+
+def test_events_of_one_seq_and_without_seq(spark):
+    log = [(1, 1, 5, "delta", "user", "a"), (1, 1, 5, "edit", "user", "b"), (1, 1, 6, "delta", "user", "c"), (1, 2, None, "delta", "assistant", "x"), (1, 2, 0, "delta", "user", "y"), (1, 2, 0, "delta", "user", "y"), (1, 3, 1, "regenerate", "user", "z"), (1, 3, 1, "regenerate", "user", "z"), (1, 3, None, "edit", None, "w")]
+    found = C.fold_events(spark.createDataFrame(log, "conv_id LONG, message INT, seq INT, op STRING, role STRING, text STRING")).orderBy("message").collect()
+    assert [(r.role, r.text) for r in found] == [("user", "bc"), ("assistant", "xyy"), ("", "z")]
