@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.expressions import ratio, region_class, top
 from .intervals import covered
 
-#: Width of the bins of the shuffled range join.
-BIN = 65_536
+#: Width of the narrowest bins of the binned range join; each further level is 16 times as wide.
+BIN, LEVELS = 65_536, 12
+#: Region sets of more rows are joined by bins: they are too large to broadcast, and the file alone is too coarse a key.
+MOST_REGIONS = 100_000
 
 
 def ranked(regions: DataFrame) -> DataFrame:
@@ -20,28 +22,68 @@ def ranked(regions: DataFrame) -> DataFrame:
     return regions.withColumn("region_rank", F.row_number().over(Window.partitionBy("file_id").orderBy("start_offset", F.desc("region_ord"))))
 
 
+def _touches() -> Column:
+    return (F.col("read_offset") <= F.col("end_offset")) & (F.col("read_offset") + F.col("length") - 1 >= F.col("start_offset"))
+
+
+def _spans(regions: DataFrame, *others: str) -> DataFrame:
+    return regions.select(F.col("file_id").alias("_file"), *others, "start_offset", "end_offset")
+
+
+def _binned_join(reads: DataFrame, spans: DataFrame, how: str, width: int) -> DataFrame:
+    """Joins of any kind by (file, level, bin): a read is one row, in the bin of its start on the level of its length.
+
+    A level's bins are as wide as its longest read, so that a region is listed in the bins that it covers and the one
+    before them, on every level. Rows are dealt by bin: one hot file is no hot task. A region takes a row per `width`
+    bytes that it covers.
+    """
+    wide = [width * 16**k for k in range(LEVELS)]
+    level = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        level = F.when(F.col("length") <= wide[k], k).otherwise(level)
+    placed = reads.withColumn("_level", level).withColumn("_bin", F.expr("read_offset div element_at(array(" + ", ".join(f"{w}L" for w in wide) + "), _level + 1)"))
+
+    def bins(k: int) -> Column:
+        first, last = F.greatest(F.expr(f"start_offset div {wide[k]}L") - 1, F.lit(0).cast("long")), F.expr(f"end_offset div {wide[k]}L")
+        return F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>")), lambda b: F.struct(F.lit(k).alias("_level2"), b.alias("_bin2")))
+
+    levels = F.flatten(F.array(*[bins(k) for k in range(LEVELS)]))
+    listed = spans.withColumn("_b", F.explode(levels)).select(*spans.columns, "_b.*")
+    same = (F.col("file_id") == F.col("_file")) & (F.col("_level") == F.col("_level2")) & (F.col("_bin") == F.col("_bin2"))
+    return placed.join(listed, same & _touches(), how).drop("_level", "_bin", "_level2", "_bin2")
+
+
+def large(regions: DataFrame, most: int = MOST_REGIONS) -> bool:
+    """Whether there are more than `most` regions; counts no further. The answer picks a path, never a result."""
+    key = regions.sparkSession.sparkContext.applicationId, regions.semanticHash(), most
+    if key not in large.known:
+        if len(large.known) > 1000:
+            large.known.clear()
+        large.known[key] = regions.limit(most + 1).count() > most
+    return large.known[key]
+
+
+large.known = {}
+
+
+def _join(reads: DataFrame, regions: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    if large(regions):
+        return _binned_join(reads, spans, how, BIN)
+    return reads.join(spans, (F.col("file_id") == F.col("_file")) & _touches(), how)
+
+
 def overlap(reads: DataFrame, regions: DataFrame, how: str = "left") -> DataFrame:
-    """Every read with every region that it touches; the file is the equi key, Spark broadcasts regions by their size."""
-    spans = ranked(regions).select(F.col("file_id").alias("_file"), "region_name", "region_ord", "region_rank", "start_offset", "end_offset")
-    touches = (F.col("file_id") == F.col("_file")) & (F.col("read_offset") <= F.col("end_offset")) & (F.col("read_offset") + F.col("length") - 1 >= F.col("start_offset"))
-    return reads.join(spans, touches, how).drop("_file")
+    """Every read with every region that it touches: by file where regions are few, which Spark broadcasts by size, else by bins."""
+    return _join(reads, regions, _spans(ranked(regions), "region_name", "region_ord", "region_rank"), how).drop("_file")
 
 
-def overlap_binned(reads: DataFrame, regions: DataFrame, width: int = BIN) -> DataFrame:
-    """The inner overlap join for region sets too large to broadcast: equi-join on bins, kept in the first common bin."""
-    bins = lambda lo, hi: F.explode(F.sequence(F.expr(f"{lo} div {width}"), F.expr(f"({hi}) div {width}"))).alias("_bin")
-    left = reads.select("*", bins("read_offset", "read_offset + length - 1"))
-    right = ranked(regions).select(F.col("file_id").alias("_file"), "region_name", "region_ord", "region_rank", "start_offset", "end_offset", bins("start_offset", "end_offset"))
-    joined = left.join(right.withColumnRenamed("_bin", "_bin2"), (F.col("file_id") == F.col("_file")) & (F.col("_bin") == F.col("_bin2")))
-    first = F.greatest(F.expr(f"read_offset div {width}"), F.expr(f"start_offset div {width}"))
-    touches = (F.col("read_offset") <= F.col("end_offset")) & (F.col("read_offset") + F.col("length") - 1 >= F.col("start_offset"))
-    return joined.where(touches & (F.col("_bin") == first)).drop("_file", "_bin", "_bin2")
+def overlap_binned(reads: DataFrame, regions: DataFrame, width: int = BIN, how: str = "inner") -> DataFrame:
+    """overlap() by bins, whatever the size of `regions`."""
+    return _binned_join(reads, _spans(ranked(regions), "region_name", "region_ord", "region_rank"), how, width).drop("_file")
 
 
 def unmapped(reads: DataFrame, regions: DataFrame) -> DataFrame:
-    spans = regions.select(F.col("file_id").alias("_file"), "start_offset", "end_offset")
-    touches = (F.col("file_id") == F.col("_file")) & (F.col("read_offset") <= F.col("end_offset")) & (F.col("read_offset") + F.col("length") - 1 >= F.col("start_offset"))
-    return reads.join(spans, touches, "left_anti")
+    return _join(reads, regions, _spans(regions), "left_anti")
 
 
 def region_lists(regions: DataFrame, *order: str) -> DataFrame:
