@@ -296,11 +296,22 @@ def standardised(long: DataFrame) -> DataFrame:
     return slots.join(long, ["trace_id", "feature"], "left").select("trace_id", "feature", ((F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.col("std")).alias("z"))
 
 
-def distances(z: DataFrame, queries: Column) -> DataFrame:
-    """Euclidean distance of the traces that `queries` selects to all others: a stated query set against all rows."""
-    left = z.where(queries).select(F.col("trace_id").alias("a"), "feature", F.col("z").alias("za"))
-    right = z.select(F.col("trace_id").alias("b"), "feature", F.col("z").alias("zb"))
-    return left.join(right, "feature").where("a != b").groupBy("a", "b").agg(F.sqrt(F.sum(F.pow(F.col("za") - F.col("zb"), 2))).alias("distance"))
+def distances(z: DataFrame, queries: Column, block: int = 256) -> DataFrame:
+    """Euclidean distance of the traces that `queries` selects to all others: a stated query set against all rows.
+
+    Query vectors travel in blocks of about `block`; every row meets every block once, in tasks dealt by block and by row.
+    All traces have the same features, in one order.
+    """
+    own = z.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda x: x["z"]).alias("v"))
+    rows = kept(own, "feature-vectors")
+    asked = rows.where(queries)
+    blocks = max(1, -(-asked.count() // block))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("trace_id"), F.lit(blocks)))
+    lists = numbered.groupBy("_block").agg(F.collect_list(F.struct(F.col("trace_id").alias("a"), F.col("v").alias("va"))).alias("_asked"))
+    met = rows.select(F.col("trace_id").alias("b"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("_block"))
+    pairs = met.join(lists, "_block").select("b", "vb", F.explode("_asked").alias("q")).where("q.a != b")
+    squares = F.aggregate(F.zip_with("q.va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return pairs.select("q.a", "b", F.sqrt(squares).alias("distance"))
 
 
 def vectors(z: DataFrame) -> DataFrame:
@@ -311,16 +322,27 @@ def vectors(z: DataFrame) -> DataFrame:
     return z.sparkSession.read.parquet(path).select("trace_id", array_to_vector("z").alias("features"))
 
 
-def cluster_traces(z: DataFrame, most: int = 8, seed: int = 1) -> DataFrame:
-    """k-means labels for the k from 2 to `most` with the best silhouette."""
+def cluster_traces(z: DataFrame, most: int = 8, seed: int = 1, traces: DataFrame | None = None) -> DataFrame:
+    """k-means labels for the k from 2 to min(`most`, traces - 1) with the best silhouette; trace_id, cluster, k, silhouette.
+
+    Where nothing splits (fewer than three traces, or equal ones) all are in cluster 0, k is 1 and the silhouette -1.
+    `traces` (trace_id) adds traces that have no varying feature, and so no row in `z`.
+    """
+    whole = (z if traces is None else traces).select("trace_id").distinct().select("trace_id", F.lit(0).alias("cluster"), F.lit(1).alias("k"), F.lit(-1.0).alias("silhouette"))
     rows = vectors(z)
     best = None
-    for k in range(2, most + 1):
+    for k in range(2, min(most, rows.count() - 1) + 1):
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
-        score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(model.transform(rows))
+        labels = model.transform(rows)
+        if labels.select("cluster").distinct().count() < 2:
+            continue
+        score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labels)
         if best is None or score > best[0]:
             best = score, k, model
-    return best[2].transform(rows).select("trace_id", "cluster", F.lit(best[1]).alias("k"))
+    if best is None:
+        return whole
+    found = best[2].transform(rows).select("trace_id", "cluster", F.lit(best[1]).alias("k"), F.lit(float(best[0])).alias("silhouette"))
+    return found if traces is None else found.unionByName(whole.join(found, "trace_id", "left_anti"))
 
 
 def pca_projection(z: DataFrame) -> DataFrame:

@@ -63,8 +63,8 @@ def h20(spark, d):
 
 def h24(spark, d):
     """Clusters of the traces; how many there are, what k was chosen."""
-    z = X.standardised(X.long_features(A.completed(spark, d), A.regions(spark)))
-    return X.cluster_traces(z)
+    reads = A.completed(spark, d)
+    return X.cluster_traces(X.standardised(X.long_features(reads, A.regions(spark))), traces=reads)
 
 
 METRIC_COLUMNS = ", ".join(f"{r6(c)} AS {c}" for c in X.SUMMARY if c not in ("total_reads", "unique_offsets", "repeated_reads", "bytes_read", "passes", "region_count", "file_size"))
