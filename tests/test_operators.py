@@ -88,7 +88,10 @@ def test_joins_against_brute_force(spark, seed):
     frame, table = reads(spark, traces), regions(spark, spans)
     assert sorted((x.trace_id, x.event_order, x.region_name) for x in R.overlap(frame, table, "inner").collect()) == want
     assert sorted((x.trace_id, x.event_order, x.region_name) for x in R.overlap_binned(frame, table, 4096).collect()) == want
-    assert R.unmapped(frame, table).count() == sum(len(e) for e in traces.values()) - len({(t, k) for t, k, _ in want})
+    lone = sum(len(e) for e in traces.values()) - len({(t, k) for t, k, _ in want})
+    assert R.unmapped(frame, table).count() == lone
+    both = R.overlap_binned(frame, table, 512, "left").collect()
+    assert sorted((x.trace_id, x.event_order, x.region_name) for x in both if x.region_name) == want and sum(x.region_name is None for x in both) == lone
 
 
 @pytest.mark.parametrize("seed", [3, 4])
@@ -309,3 +312,76 @@ def test_equal_reads_stay_apart_in_region_lookups(spark):
     rvas = spark.createDataFrame([(7, 15), (7, 15), (7, 3)], "file_id LONG, rva LONG")
     sections = spark.createDataFrame([(7, 0, 10, 10, 100)], "file_id LONG, section_ord INT, va LONG, vsize LONG, raw_ptr LONG")
     assert sorted(r.file_offset for r in rva_to_offset(rvas, sections).collect()) == [3, 105, 105]
+
+
+def test_joins_by_bins_equal_joins_by_file(spark, monkeypatch):
+    frame = reads(spark, {1: [(0, 0, 10), (1, 9_000_000, 40_000_000), (2, 2**40, 2**33), (3, 65_535, 1), (4, 65_536, 1), (5, 70_000, 5)]})
+    table = regions(spark, [("a", 0, 65_535), ("b", 65_536, 65_536), ("c", 10_000_000, 70_000_000), ("d", 2**40 + 2**33 - 1, 2**40 + 2**33), ("none", 5, 4)])
+    by_file = sorted(map(str, R.overlap(frame, table).collect())), R.unmapped(frame, table).count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(R, "large", lambda regions: True)
+        assert (sorted(map(str, R.overlap(frame, table).collect())), R.unmapped(frame, table).count()) == by_file
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["c1_map_reads", "c2_unmapped_reads", "c3_range_map", "e1_region_statistics", "g1_timeline"])
+def test_queries_by_bins_match_sql(spark, monkeypatch, name):
+    from __spark_entry__ import queries
+    from tests.conftest import compare
+
+    found = [n for n in queries() if n.startswith(name.split("_")[0] + "_") and not n.endswith("files")]
+    monkeypatch.setattr(R, "large", lambda regions: True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for each in found:
+            compare(spark, each)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_clusters_of_few_or_equal_traces_are_one(spark):
+    schema = "trace_id LONG, feature STRING, z DOUBLE"
+    for rows in ([], [(1, "x", 0.0)], [(1, "x", -1.0), (2, "x", 1.0)], [(t, "x", 0.0) for t in range(4)]):
+        z = spark.createDataFrame(rows, schema)
+        found = X.cluster_traces(z, traces=spark.createDataFrame([(t,) for t in {r[0] for r in rows} | {9}], "trace_id LONG")).collect()
+        assert {(x.trace_id, x.cluster, x.k, x.silhouette) for x in found} == {(t, 0, 1, -1.0) for t in {r[0] for r in rows} | {9}}
+
+
+def test_distances_in_blocks_against_loops(spark):
+    rng = random.Random(3)
+    points = {t: {f: rng.uniform(-2, 2) for f in "abc"} for t in range(30)}
+    z = spark.createDataFrame([(t, f, v) for t, p in points.items() for f, v in p.items()], "trace_id LONG, feature STRING, z DOUBLE")
+    found = {(r.a, r.b): r.distance for r in X.distances(z, F.col("trace_id") % 3 == 0, block=4).collect()}
+    want = {(a, b): sum((points[a][f] - points[b][f]) ** 2 for f in "abc") ** 0.5 for a in range(0, 30, 3) for b in range(30) if a != b}
+    assert found == {k: pytest.approx(v) for k, v in want.items()}
+    assert X.distances(z.where("trace_id < 0"), F.lit(True)).count() == 0
+
+
+def test_times_of_files_pass_midnight_and_blocks(spark, tmp_path):
+    line = '{},a.exe,12,ReadFile,C:\\x,SUCCESS,"Offset: {}, Length: 10"\n'
+    times = ["11:59:58.0 PM", "11:59:59.0 PM", "12:00:01.0 AM", "12:00:00.5 AM", "6:00:00.0 PM", "1:00:00.0 AM"] * 40
+    for k in ("000003", "000004"):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "trace.csv").write_text(",".join(V.HEADERS) + "\n" + "".join(line.format(t, n) for n, t in enumerate(times)))
+    (tmp_path / "000003" / "metadata.json").write_text('{"experiment_id": 3, "sample": "s", "size": 5000, "timestamp": "2024-02-28T10:00:00Z"}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = V.reads(V.scan(spark, f"{tmp_path}/*/*.csv", trace=V.IN_FOLDER, placed=True))
+        assert rows.select("block").distinct().count() > 4
+        found = V.timed(rows, C.facts(C.metadata(spark, str(tmp_path)))).orderBy("trace_id", "event_order").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    of_day = {"11:59:58.0 PM": 86398.0, "11:59:59.0 PM": 86399.0, "12:00:01.0 AM": 1.0, "12:00:00.5 AM": 0.5, "6:00:00.0 PM": 64800.0, "1:00:00.0 AM": 3600.0}
+    day, before, want = 0, None, []
+    for t in times:
+        day += before is not None and before - of_day[t] > 43200
+        before = of_day[t]
+        want.append(timedelta(days=day, seconds=before))
+    three, four = [r for r in found if r.trace_id == 3], [r for r in found if r.trace_id == 4]
+    assert [r.ts - datetime(2024, 2, 28) for r in three] == want == [r.ts - datetime(1970, 1, 1) for r in four]
+    assert [r.event_order for r in three] == list(range(1, len(times) + 1)) and [r.read_offset for r in three] == list(range(len(times)))
+    assert {(r.file_id, r.file_size) for r in three} == {(3, 5000)} and {(r.file_id, r.file_size) for r in four} == {(None, None)}

@@ -11,6 +11,6 @@ def test_query_matches_sql(spark, name):
     compare(spark, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - {"h24_cluster_traces"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_has_rows(spark, data, name):
     assert registry.QUERIES[name](spark, data).count() > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAGICS, PROFILES, READ_OPS
-
+from ..functions.expressions import layer, rounded
 from ..functions.storage import scratch
 from ..operators import statistics as S
 from ..operators import timeline as L
@@ -16,10 +16,24 @@ from ..sources import trace_csv as V
 from ..streaming import traces as T
 from . import adapters as A
 from .prelude import big, columns, names, sql, values
+from .read_queries import B2_SQL, PHASES, RULES
 
 DAY = "epoch_us(ts) % 86400000000"
 GOOD = "event_order % 97 <> 0 AND event_order % 89 <> 0 AND event_order % 83 <> 0"
 RAW = ("raw", f"SELECT *, {DAY} AS us_of_day FROM reads")
+PARSED = (
+    "parsed",
+    f"SELECT *, lag(us_of_day) OVER (PARTITION BY trace_id ORDER BY event_order) AS before FROM raw WHERE operation IN ({names(READ_OPS)}) AND {GOOD}",
+)
+DAYS = ("days", "SELECT trace_id, epoch_us(date_trunc('day', min(ts))) AS day_us, max(file_size) AS size FROM reads GROUP BY trace_id")
+#: Reads in file order; midnight has passed where the time falls by more than half a day.
+FILED = (
+    "filed",
+    """SELECT p.* EXCLUDE (ts, event_order, file_size), d.size AS file_size, row_number() OVER (PARTITION BY p.trace_id ORDER BY p.event_order) AS event_order,
+    make_timestamp(CAST(d.day_us + p.us_of_day + 86400000000 * sum(CASE WHEN p.before - p.us_of_day > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY p.trace_id ORDER BY p.event_order) AS BIGINT)) AS ts
+    FROM parsed p JOIN days d ON d.trace_id = p.trace_id""",
+)
+FROM_FILES = (RAW, PARSED, DAYS, FILED, ("ok", "SELECT * FROM filed WHERE result = 'SUCCESS'"))
 HEADERS = ("headers", f"SELECT {columns(A.HEADER_COLUMNS)} FROM part")
 SECTIONS = ("sections", f"SELECT file_id, s.* FROM headers, (VALUES {values(A.SECTIONS)}) s(section_ord, name, va, vsize, raw_ptr, raw_size) WHERE {A.SECTION_KEPT}")
 DIRECTORIES = ("directories", f"SELECT file_id, d.* FROM headers, (VALUES {values(A.DIRECTORIES)}) d(dir_ord, name, va, size, is_file_offset) WHERE {A.DIRECTORY_KEPT}")
@@ -56,6 +70,29 @@ def a2(spark, d):
     return V.reads(A.raw_rows(spark, d)).select("trace_id", "event_order", "us_of_day", "process_name", "process_id", "operation", "read_offset", "length", "result")
 
 
+def from_files(spark, d):
+    """Reads of both layers from CSV files, one folder per trace in the order of event_order; the day is that of the trace's first event."""
+    path = scratch(spark, "trace-folders")
+    rows = A.raw_rows(spark, d).repartition("trace_id").sortWithinPartitions("trace_id", "event_order")
+    named = rows.select("trace_id", *[F.col(n).alias(h) for h, n in zip(V.HEADERS, V.NAMES)])
+    named.write.partitionBy("trace_id").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    days = A.reads(spark, d).groupBy("trace_id").agg(F.to_date(F.min("ts")).alias("day"), F.max("file_id").alias("file_id"), F.max("file_size").alias("file_size"))
+    return V.timed(V.reads(V.scan(spark, f"{path}/*/part-*", trace=V.IN_FOLDER, placed=True)), days)
+
+
+def a2_from_files(spark, d):
+    return from_files(spark, d).select("trace_id", "event_order", F.unix_micros("ts").alias("us"), "read_offset", "length", "file_size")
+
+
+def d1_from_files(spark, d):
+    return rounded(S.read_stats(layer(from_files(spark, d))))
+
+
+def g4_from_files(spark, d):
+    reads = layer(from_files(spark, d))
+    return rounded(L.detect_phases(L.timeline(reads, A.regions(spark)), RULES))
+
+
 def a6(spark, d):
     """Orders written as capture metadata, some without a sample or category, read with the metadata schema."""
     path = scratch(spark, "metadata")
@@ -71,10 +108,10 @@ def a8(spark, d):
 
 
 def a10(spark, d):
-    """Pages written as text files, one folder per language; inventory by folder."""
+    """A text file per supplier below a folder of its number; the inventory has each file's size and digest."""
     path = scratch(spark, "inventory")
-    A.table(spark, d, "documents").select("lang", "text").write.partitionBy("lang").json(path)
-    return C.inventory(spark, path, ["json"]).groupBy("category").agg(F.min(F.length("sha256")).alias("hash_length"))
+    A.table(spark, d, "supplier").selectExpr("s_suppkey", "concat(s_name, ' of ', s_nationkey) AS value").repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    return C.inventory(spark, path, ["txt"]).select("category", "size", "sha256")
 
 
 def a12(spark, d):
@@ -131,6 +168,18 @@ def raw(f):
 TABLE = {
     "a1_trace_csv_scan": (a1, sql("SELECT process_name, operation, result, count(*) AS rows, count(*) AS details FROM reads GROUP BY ALL")),
     "a2_parse_reads": (a2, sql(f"SELECT trace_id, event_order, us_of_day, process_name, CAST(1000 + trace_id AS INT) AS process_id, operation, read_offset, length, result FROM raw WHERE operation IN ({names(READ_OPS)}) AND {GOOD}", RAW)),
+    "a2_reads_from_files": (a2_from_files, sql("SELECT trace_id, event_order, epoch_us(ts) AS us, read_offset, length, file_size FROM filed", *FROM_FILES)),
+    "d1_read_stats_from_files": (
+        d1_from_files,
+        sql("SELECT trace_id, total_reads, unique_offsets, repeated_reads, bytes_read, round(read_amplification, 6) AS read_amplification FROM stats", *FROM_FILES),
+    ),
+    "g4_phases_from_files": (
+        g4_from_files,
+        sql(
+            "SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY start_us, rule) AS phase_ord, phase, start_us, end_us, end_us - start_us AS duration_us, entry_count FROM phases",
+            *FROM_FILES, *PHASES,
+        ),
+    ),
     "a3_parse_rejects": (
         lambda s, d: V.rejects(A.raw_rows(s, d)).select("trace_id", "event_order", "reason"),
         sql(f"SELECT trace_id, event_order, CASE WHEN event_order % 83 = 0 THEN 'pid' WHEN event_order % 97 = 0 THEN 'offset' ELSE 'length' END AS reason FROM reads WHERE operation IN ({names(READ_OPS)}) AND NOT ({GOOD})"),
@@ -153,7 +202,10 @@ TABLE = {
         sql("SELECT capture_id, error = '' AS ok, error FROM (SELECT capture_id, CASE WHEN NOT has_events THEN 'no events file' WHEN NOT has_sample THEN 'no sample file' WHEN capture_id NOT IN (SELECT trace_id FROM ok) THEN 'no reads' ELSE '' END AS error FROM caps)", CAPTURES),
     ),
     "a9_collection_summary": (lambda s, d: C.collection_summary(A.captures(s, d)), sql("SELECT count(*) FILTER (state <> 'skipped') AS processed, count(*) FILTER (state = 'success') AS successful, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'skipped') AS skipped FROM caps", CAPTURES)),
-    "a10_sample_inventory": (a10, "SELECT 'lang=' || lang AS category, 64 AS hash_length FROM documents GROUP BY lang"),
+    "a10_sample_inventory": (
+        a10,
+        "SELECT 's_suppkey=' || s_suppkey AS category, CAST(strlen(v) AS BIGINT) AS size, sha256(v) AS sha256 FROM (SELECT s_suppkey, s_name || ' of ' || s_nationkey || chr(10) AS v FROM supplier)",
+    ),
     "a11_sample_index": (
         lambda s, d: C.index_counts(A.samples(s, d)),
         f"SELECT category, size_class, count(*) AS samples, {big('sum(size_bytes)')} AS bytes FROM (SELECT p_brand AS category, size_bytes, CASE WHEN size_bytes < 102400 THEN 'tiny' WHEN size_bytes < 512000 THEN 'small' WHEN size_bytes < 2097152 THEN 'medium' WHEN size_bytes < 10485760 THEN 'large' ELSE 'huge' END AS size_class FROM (SELECT p_brand, CAST(p_size AS BIGINT) * p_size * 10000 AS size_bytes FROM part)) GROUP BY ROLLUP (category, size_class)",

@@ -25,6 +25,11 @@ def metadata(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("sample", "category")})
 
 
+def facts(rows: DataFrame) -> DataFrame:
+    """trace_id, day, file_id, file_size of capture metadata, as trace_csv.timed() takes them; a capture's file has its number."""
+    return rows.select(F.col("capture_id").cast("long").alias("trace_id"), F.to_date("timestamp").alias("day"), F.col("capture_id").cast("long").alias("file_id"), F.col("size").alias("file_size"))
+
+
 def manifests(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{root}/*/manifest.json")
     return rows.select(_capture_of().alias("capture_id"), "status", "sample", "capture")

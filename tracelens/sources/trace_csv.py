@@ -11,16 +11,23 @@ from ..functions.constants import PROFILES, READ_OPS
 HEADERS = ["Time of Day", "Process Name", "PID", "Operation", "Path", "Result", "Detail"]
 NAMES = ["time_of_day", "process_name", "pid", "operation", "path", "result", "detail"]
 RAW = T.StructType([T.StructField(h, T.StringType()) for h in HEADERS])
+#: Where the number of a trace stands in its file's path: in the file's name, or in the name of its folder.
+IN_NAME, IN_FOLDER = r"(\d+)[^/]*$", r"(\d+)/[^/]*$"
+DAY_US = 86_400_000_000
 TIME = r"^\s*(\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,6})\d*)?\s*([AP]M)?\s*$"
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
+def scan(spark: SparkSession, path: str, *, trace: str = IN_NAME, placed: bool = False) -> DataFrame:
     """Raw rows with trace_id, the number in the file's name. A header that differs from the seven names fails the read.
 
-    `path` may be a folder or a pattern; quoted fields may hold commas, a byte order mark is dropped.
+    `path` may be a folder or a pattern; quoted fields may hold commas, a byte order mark is dropped. With `placed` rows
+    say where they stand, as timed() needs it: `block`, the file and the start of the part that one task read, and `line`,
+    which rises within a block.
     """
     rows = spark.read.schema(RAW).option("header", True).option("enforceSchema", False).option("quote", '"').option("escape", '"').csv(path)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)[^/]*$", 1).cast("long").alias("trace_id"), *[F.col(f"`{h}`").alias(n) for h, n in zip(HEADERS, NAMES)])
+    place = [F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    found = F.regexp_extract(F.col("_metadata.file_path"), trace, 1).cast("long").alias("trace_id")
+    return rows.select(found, *[F.col(f"`{h}`").alias(n) for h, n in zip(HEADERS, NAMES)], *(place if placed else []))
 
 
 def plain(raw: Column) -> Column:
@@ -74,6 +81,27 @@ def reads(raw: DataFrame, *, strict: bool = False) -> DataFrame:
     return rows.where("reason IS NULL").drop("reason", "time_of_day", "pid", "detail")
 
 
+def timed(rows: DataFrame, captures: DataFrame) -> DataFrame:
+    """Parsed reads of a placed scan with ts, event_order (from 1, in file order) and the file_id and file_size of `captures`.
+
+    captures: trace_id, day, file_id, file_size. The first read is on the capture's day (1970-01-01 where it is not known);
+    where the time falls by more than half a day from one read to the next, midnight has passed. Blocks are walked on their
+    own, then joined with what passed in the blocks before: no task holds a whole trace.
+    """
+    in_block, in_trace = Window.partitionBy("trace_id", "block").orderBy("line"), Window.partitionBy("trace_id").orderBy("block")
+    falls = lambda now, before: F.coalesce(before - now > DAY_US // 2, F.lit(False)).cast("long")
+    fallen = rows.withColumn("_fall", falls(F.col("us_of_day"), F.lag("us_of_day").over(in_block)))
+    marked = fallen.withColumns({"_days": F.sum("_fall").over(in_block), "_n": F.row_number().over(in_block)})
+    blocks = marked.groupBy("trace_id", "block").agg(F.max("_n").alias("n"), F.max("_days").alias("days"), F.min_by("us_of_day", "line").alias("first"), F.max_by("us_of_day", "line").alias("last"))
+    steps = blocks.withColumn("step", F.coalesce(F.lag("days").over(in_trace), F.lit(0)) + falls(F.col("first"), F.lag("last").over(in_trace)))
+    before = steps.select("trace_id", "block", F.sum("step").over(in_trace).alias("_days_before"), (F.sum("n").over(in_trace) - F.col("n")).alias("_n_before"))
+    joined = marked.join(before, ["trace_id", "block"]).join(captures.select("trace_id", "day", "file_id", "file_size"), "trace_id", "left")
+    midnight = F.unix_micros(F.coalesce("day", F.lit("1970-01-01").cast("date")).cast("timestamp"))
+    us = midnight + (F.col("_days_before") + F.col("_days")) * DAY_US + F.col("us_of_day")
+    out = joined.withColumns({"ts": F.timestamp_micros(us), "event_order": (F.col("_n_before") + F.col("_n")).cast("long")})
+    return out.drop("block", "line", "day", "us_of_day", "_fall", "_days", "_n", "_days_before", "_n_before")
+
+
 def rejects(raw: DataFrame) -> DataFrame:
     return parsed(raw).where("reason IS NOT NULL")
 
