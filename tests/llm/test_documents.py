@@ -382,3 +382,35 @@ def test_sharding_every_row(spark):
     half = {r.doc_id: r.shard for r in H.shard_documents(docs.where("doc_id % 2 = 0"), 24).collect()}
     assert all(half[r.doc_id] == r.shard for r in found if r.doc_id in half)
     assert H.shard_documents(docs.limit(0), 24).count() == 0
+
+
+def test_slot_maps_are_reopened_and_appended(spark, tmp_path):
+    path = f"file://{tmp_path}/maps"
+    assert H.append_map(spark, path, H.first_map(4, 64)) == 0
+    assert H.load_map(spark, path) == H.first_map(4, 64)
+    sizes = spark.createDataFrame([(3, 5000), (9, 10), (9 + 1, 70)], "virtual_slot INT, bytes LONG")
+    assert H.append_rebalanced(spark, path, sizes) == 1
+    size = [{3: 5000, 9: 10, 10: 70}.get(k, 0) for k in range(64)]
+    assert H.load_map(spark, path) == H.load_map(spark, path, 1) == H.rebalance(H.first_map(4, 64), size)
+    assert H.append_map(spark, path, H.grown(H.load_map(spark, path))) == 2 and H.load_map(spark, path, 0) == H.first_map(4, 64)
+
+
+def test_sharding_query_against_brute_force(spark, data):
+    import xxhash
+
+    from tracelens.llm import queries
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    slot = {d: (xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), seed=42)) % H.SLOTS for d in docs}
+    owner = H.first_map(24)
+    after, size, by_slot = H.grown(owner), {d: len(t.encode()) + 8 for d, t in docs.items()}, collections.Counter()
+    for d in docs:
+        by_slot[slot[d]] += size[d]
+    balanced = H.rebalance(owner, [by_slot[k] for k in range(H.SLOTS)])
+    place, nth = {}, collections.Counter()
+    crc = {d: zlib.crc32(t.encode()) for d, t in docs.items()}
+    for d in sorted(docs, key=lambda d: (slot[d], crc[d] % H.LOTS, d)):
+        place[d] = nth[owner[slot[d]]]
+        nth[owner[slot[d]]] += 1
+    want = {(d, size[d], crc[d], "key", owner[slot[d]], place[d], after[slot[d]], balanced[slot[d]], slot[d], by_slot[slot[d]]) for d in docs}
+    assert {tuple(r) for r in queries.op8_sharding(spark, data).collect()} == want

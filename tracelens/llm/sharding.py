@@ -2,8 +2,10 @@
 
 The first map of n shards depends on n and the slot count alone (law `key`): each added shard takes slots from
 the fullest shards until all are even, so that growth moves rows only into the new shard. rebalance() edits a map
-by the bytes of its slots. A record's place in its shard is the count of rows in the shard's earlier slots plus
-its rank in its own slot, so that no task numbers a whole shard.
+by the bytes of its slots. Maps stand in a folder of one part per version (version, slot, shard); append_map() adds a
+version to it, load_map() reads one or the last. A record's place in its shard is the count of rows in the shard's
+earlier slots and lots (parts of a slot by the text's CRC) plus its rank in its own lot, so that no task numbers a whole
+shard, nor the slot of an id that many rows have.
 
 Null ids share one slot; null texts have no bytes and CRC 0; repeated rows each get a place of their own; other
 columns are ignored; an empty table gives no rows.
@@ -11,12 +13,15 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import shared_path, stored, text_of
 
 SLOTS = 4096
+#: Parts of a slot that are numbered apart.
+LOTS = 16
 
 
 def slot_of(id_col: str, slots: int = SLOTS) -> Column:
@@ -60,30 +65,57 @@ def rebalance(owner: list[int], size: list[int]) -> list[int]:
         total[light] += size[slot]
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """version, slot, shard of each map; bounded by versions x slots."""
-    flat = F.array(*[F.array(*[F.lit(x) for x in v]) for v in versions])
-    slots = spark.range(len(versions[0])).select(F.col("id").cast("int").alias("slot"), flat.alias("maps"))
-    return slots.select("slot", F.posexplode("maps").alias("version", "owners")).select("version", "slot", F.get("owners", F.col("slot")).alias("shard"))
+def last_version(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).agg(F.max("version")).first()[0]
 
 
-def slot_bytes(rows: DataFrame) -> DataFrame:
-    """virtual_slot, rows and bytes of each."""
-    return rows.groupBy("virtual_slot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+def append_map(spark: SparkSession, path: str, owner: list[int]) -> int:
+    """Write a map as the next version of the store at `path` (0 where there is none); versions before it stay as they are."""
+    try:
+        version = last_version(spark, path) + 1
+    except AnalysisException:  # no such folder
+        version = 0
+    rows = spark.createDataFrame(list(enumerate(owner)), "slot INT, shard INT").coalesce(1)
+    rows.write.parquet(f"{path}/version={version}")
+    return version
 
 
-def shard_documents(docs: DataFrame, shards: int, *, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, size, text_crc32, law, shard, slot (place in the shard), grown_shard, virtual_slot and its bytes."""
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
+    """The shard of each slot in a version of the store, the last one by default; at most as many rows as slots."""
+    version = last_version(spark, path) if version is None else version
+    return [r.shard for r in spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()]
+
+
+def append_rebalanced(spark: SparkSession, path: str, sizes: DataFrame) -> int:
+    """The last map edited by the bytes of its slots (virtual_slot, bytes: at most one row per slot), as the next version."""
+    owner = load_map(spark, path)
+    found = {r.virtual_slot: r.bytes for r in sizes.collect()}
+    return append_map(spark, path, rebalance(owner, [found.get(slot, 0) for slot in range(len(owner))]))
+
+
+def shard_documents(docs: DataFrame, shards: int, *, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", maps: str | None = None) -> DataFrame:
+    """id, size, text_crc32, law, shard, slot (place in the shard), grown_shard, balanced_shard, virtual_slot and its bytes.
+
+    The store of maps (`maps`, or a new folder) gets three versions: the map of one more shard (`grown_shard`), the map of law `key`
+    (`shard`), and this one rebalanced by the bytes of its slots (`balanced_shard`).
+    """
     spark = docs.sparkSession
-    owner = first_map(shards, slots)
-    versions = stored(map_table(spark, [owner, grown(owner)]), "slot-map")
+    path = maps or shared_path(spark, "slot-maps")
     raw = F.encode(text_of(text_col), "UTF-8")
     rows = docs.select(F.col(id_col), (F.length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(id_col, slots).alias("virtual_slot"))
-    maps = versions.groupBy("slot").pivot("version", [0, 1]).agg(F.first("shard")).select(F.col("slot").alias("virtual_slot"), F.col("0").alias("shard"), F.col("1").alias("grown_shard"))
-    earlier = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = maps.join(slot_bytes(rows), "virtual_slot").withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size"))
+    rows = rows.withColumn("_lot", (F.col("text_crc32") % LOTS).cast("int"))
+    lots = stored(rows.groupBy("virtual_slot", "_lot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")), "slot-bytes")
+    owner = first_map(shards, slots)
+    grown_version = append_map(spark, path, grown(owner))
+    first = append_map(spark, path, owner)
+    balanced = append_rebalanced(spark, path, lots.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")))
+    read = lambda version, name: spark.read.parquet(f"{path}/version={version}").select(F.col("slot").alias("virtual_slot"), F.col("shard").alias(name))
+    owners = read(first, "shard").join(read(grown_version, "grown_shard"), "virtual_slot").join(read(balanced, "balanced_shard"), "virtual_slot")
+    earlier = Window.partitionBy("shard").orderBy("virtual_slot", "_lot").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("bytes").over(Window.partitionBy("virtual_slot")).alias("slot_bytes")
+    placed = owners.join(lots, "virtual_slot").select("virtual_slot", "_lot", "shard", "grown_shard", "balanced_shard", whole, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot", "_lot").orderBy(id_col, "text_crc32", "size"))
     ranked = rows.select("*", rank.alias("rank"))
-    return ranked.join(F.broadcast(placed), "virtual_slot").select(  # at most `slots` rows
-        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), "grown_shard", "virtual_slot", F.col("bytes").alias("slot_bytes")
+    return ranked.join(F.broadcast(placed), ["virtual_slot", "_lot"]).select(  # at most `slots` x LOTS rows
+        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), "grown_shard", "balanced_shard", "virtual_slot", "slot_bytes"
     )
