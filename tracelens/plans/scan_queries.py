@@ -16,7 +16,7 @@ from ..sources import trace_csv as V
 from ..streaming import traces as T
 from . import adapters as A
 from .prelude import big, columns, names, sql, values
-from .read_queries import B2_SQL, PHASES, RULES
+from .read_queries import PHASES, RULES
 
 DAY = "epoch_us(ts) % 86400000000"
 GOOD = "event_order % 97 <> 0 AND event_order % 89 <> 0 AND event_order % 83 <> 0"
