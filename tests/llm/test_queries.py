@@ -20,8 +20,8 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_query_covers_its_table(spark, data, name):
     n = queries.QUERIES[name](spark, data).count()
-    whole = {"op9_url_filters": "pages"}.get(name, "documents")
-    assert n == table(spark, data, whole).count() or name in ("op3_source_mixing", "op6_decontamination") and n > 0
+    whole, each = {"op9_url_filters": ("pages", 1), "op12_whitening": ("embeddings", 32)}.get(name, ("documents", 1))
+    assert n == each * table(spark, data, whole).count() or name in ("op3_source_mixing", "op6_decontamination") and n > 0
 
 
 def test_stage_decisions_take_effect(spark, data):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import BASE, LEAST_TENTHS, LOOKED_UP, NEEDED, TEMPLATES
 from .quality_rules import FEATURES, PRIOR, REACH
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -77,4 +78,46 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(17 + length(head) + length(body)) AS BIGINT) AS formatted_chars FROM escaped GROUP BY conv_id
 """
 
-SQL = {"op2_quality_rules": QUALITY, "op4_ngram_join": NGRAMS, "op5_warc": WARC, "op7_chat_formatting": CHAT}
+_TEMPLATE_WORDS = ", ".join(f"({t}, '{label}', {len(text.split())}, {k}, '{w}')" for t, (label, text, _) in enumerate(TEMPLATES) for k, w in enumerate(text.split()))
+_MUST = ", ".join(f"({t}, {k})" for t, (_, text, phrases) in enumerate(TEMPLATES) for p in phrases for at in [text.split(p)[0].count(" ")] for k in range(at, at + len(p.split())))
+_BASE_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, i AS place, '{label}' AS label FROM words WHERE " + " AND ".join(f"{('w', 'a', 'b')[k]} = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in BASE
+)
+LICENSES = f"""
+WITH listed AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+each AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM listed),
+words AS (SELECT doc_id, i, w, lead(w, 1) OVER o AS a, lead(w, 2) OVER o AS b FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+base AS ({_BASE_PLACES}),
+posted(t, label, size, p, w) AS (VALUES {_TEMPLATE_WORDS}),
+must(t, p) AS (VALUES {_MUST}),
+vocabulary AS (SELECT w, row_number() OVER (ORDER BY coalesce(n, 0), w) AS rank FROM (SELECT DISTINCT w FROM posted) LEFT JOIN (SELECT w, count(DISTINCT doc_id) AS n FROM each WHERE w IN (SELECT w FROM posted) GROUP BY w) USING (w)),
+present AS (SELECT DISTINCT doc_id, w, rank FROM each JOIN vocabulary USING (w)),
+covered AS (SELECT doc_id, t FROM present JOIN posted USING (w) GROUP BY doc_id, t, size HAVING count(*) * 10 >= size * {LEAST_TENTHS}),
+top AS (SELECT doc_id, t, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY rank) AS k FROM (SELECT DISTINCT doc_id, t, w, rank FROM covered JOIN present USING (doc_id) JOIN posted USING (t, w))) WHERE k <= {LOOKED_UP}),
+candidates AS (SELECT doc_id, t, e.i - p.p AS place FROM top JOIN each e USING (doc_id, w) JOIN posted p USING (t, w) GROUP BY ALL HAVING count(*) >= {NEEDED}),
+stands AS (SELECT c.doc_id, c.t, c.place, p.label, p.size, p.p FROM candidates c JOIN posted p USING (t) JOIN each e ON e.doc_id = c.doc_id AND e.i = c.place + p.p AND e.w = p.w),
+judged AS (SELECT doc_id, t, place, s.label, count(*) / s.size AS share, count(*) * 10 >= s.size * {LEAST_TENTHS} AND count(m.p) = (SELECT count(*) FROM must x WHERE x.t = s.t) AS verified FROM stands s LEFT JOIN must m USING (t, p) GROUP BY doc_id, t, place, s.label, s.size),
+labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM judged WHERE verified) GROUP BY doc_id),
+bases AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
+best AS (SELECT doc_id, max(share) AS share FROM judged GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(b.n, 0) AS n_base, b.first_word, b.last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM listed LEFT JOIN bases b USING (doc_id) LEFT JOIN labelled l USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+#: CRC-32 bit by bit; DuckDB has no function for it.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT)"
+TRIE = f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+built AS (SELECT c.conv_id, 0 AS part, i, role, text FROM convs c JOIN turns t ON t.conv_id = c.base WHERE i <= h UNION ALL SELECT conv_id, 1, i, role, text FROM convs JOIN turns USING (conv_id) WHERE i > h),
+numbered AS (SELECT conv_id, row_number() OVER o AS d, len(list_filter(string_split_regex(text, '{SPACES}'), lambda w: w <> '')) AS words, string_agg(sha256(length(role) || ':' || role || text), '') OVER o AS key FROM built WINDOW o AS (PARTITION BY conv_id ORDER BY part, i)),
+paths AS (SELECT conv_id, 0 AS d, 0 AS words, '' AS key, NULL AS parent FROM convs UNION ALL SELECT conv_id, d, words, sha256(key), CASE WHEN d = 1 THEN '' ELSE sha256(left(key, length(key) - 64)) END FROM numbered),
+nodes AS (SELECT key, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(parent) AS parent, any_value(words) AS words, count(*) AS n_convs FROM paths GROUP BY key),
+children AS (SELECT parent AS key, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (SELECT p.key, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((x.n_convs - 1) * x.words) AS saved FROM nodes x LEFT JOIN children c USING (key) JOIN paths p ON p.conv_id = x.conv_id AND p.d <= x.depth GROUP BY p.key),
+ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(key, d) AS key FROM paths GROUP BY conv_id) GROUP BY key)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s USING (key) LEFT JOIN children c USING (key) LEFT JOIN nodes up ON up.key = n.parent LEFT JOIN ends e ON e.key = n.key
+"""
+
+SQL = {"op2_quality_rules": QUALITY, "op4_ngram_join": NGRAMS, "op5_warc": WARC, "op7_chat_formatting": CHAT, "op11_license_scan": LICENSES, "op13_prefix_trie": TRIE}

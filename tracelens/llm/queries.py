@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from .chat import digest, format_table, read_back
 from .common import table
 from .decontamination import contaminated
+from .license_scan import scan_licenses
 from .mixing import mix_report
 from .ngram_join import similar_documents
 from .oracles import SQL as ORACLES
+from .prefix_trie import conversation_trie
 from .quality_rules import quality_report
 from .sharding import shard_documents
 from .token_counts import token_counts
 from .token_output import token_output
 from .url_filter import filter_urls
 from .warc import round_trip
+from .whitening import whiten
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -67,6 +70,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_source_mixing, op4_ngram_join, op5_warc, op6_decontamination, op7_chat_formatting, op8_sharding, op9_url_filters, op10_token_counts)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_source_mixing, op4_ngram_join, op5_warc, op6_decontamination, op7_chat_formatting, op8_sharding, op9_url_filters, op10_token_counts, op11_license_scan, op12_whitening, op13_prefix_trie)}
 
 SQL: dict[str, str] = dict(ORACLES)
