@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAGICS, PROFILES, READ_OPS
@@ -70,14 +71,23 @@ def a2(spark, d):
     return V.reads(A.raw_rows(spark, d)).select("trace_id", "event_order", "us_of_day", "process_name", "process_id", "operation", "read_offset", "length", "result")
 
 
+def first_days(spark, d):
+    """What is known of each trace's capture: the day of its first event, its file and the file's size."""
+    return A.reads(spark, d).groupBy("trace_id").agg(F.to_date(F.min("ts")).alias("day"), F.max("file_id").alias("file_id"), F.max("file_size").alias("file_size"))
+
+
+def stored_rows(rows, path):
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def from_files(spark, d):
     """Reads of both layers from CSV files, one folder per trace in the order of event_order; the day is that of the trace's first event."""
     path = scratch(spark, "trace-folders")
     rows = A.raw_rows(spark, d).repartition("trace_id").sortWithinPartitions("trace_id", "event_order")
     named = rows.select("trace_id", *[F.col(n).alias(h) for h, n in zip(V.HEADERS, V.NAMES)])
     named.write.partitionBy("trace_id").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    days = A.reads(spark, d).groupBy("trace_id").agg(F.to_date(F.min("ts")).alias("day"), F.max("file_id").alias("file_id"), F.max("file_size").alias("file_size"))
-    return V.timed(V.reads(V.scan(spark, f"{path}/*/part-*", trace=V.IN_FOLDER, placed=True)), days)
+    return V.timed(V.reads(V.scan(spark, f"{path}/*/part-*", trace=V.IN_FOLDER, placed=True)), first_days(spark, d))
 
 
 def a2_from_files(spark, d):
@@ -147,12 +157,20 @@ def a19(spark, d):
 
 
 def s1(spark, d):
-    out, mark = scratch(spark, "stream-out"), scratch(spark, "stream-mark")
-    query = T.stream_reads(spark, written_raw(spark, d), out, mark)
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
-    return spark.read.parquet(out).groupBy("process_name").agg(F.count("*").alias("reads"), F.sum("length").alias("bytes"))
+    """Three parts of every trace arrive in three runs on one checkpoint; of every fifth trace the middle part comes last."""
+    root, out, mark = scratch(spark, "stream-in"), scratch(spark, "stream-out"), scratch(spark, "stream-mark")
+    order = Window.partitionBy("trace_id").orderBy("event_order")
+    rows = A.raw_rows(spark, d).withColumns({"k": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("trace_id"))}).withColumn("part", F.expr("CAST(k * 3 div n AS INT)"))
+    run = F.when((F.col("trace_id") % 5 == 0) & (F.col("part") > 0), F.when(F.col("part") == 1, 2).otherwise(0)).otherwise(F.col("part"))
+    rows = stored_rows(rows.select("trace_id", "part", "event_order", run.alias("run"), *[F.col(n).alias(h) for h, n in zip(V.HEADERS, V.NAMES)]), scratch(spark, "stream-rows"))
+    for k in range(3):
+        arrived = rows.where(F.col("run") == k).repartition("trace_id", "part").sortWithinPartitions("trace_id", "part", "event_order").drop("event_order", "run")
+        arrived.write.partitionBy("trace_id", "part").mode("append").option("header", True).option("escape", '"').option("quoteAll", True).csv(root)
+        query = T.append_timed(spark, f"{root}/*/*/part-*", first_days(spark, d), out, mark, trace=T.TRACE_IN_FOLDER, part=T.PART_IN_FOLDER)
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+    return spark.read.parquet(out).select("trace_id", "event_order", F.unix_micros("ts").alias("us"), "read_offset", "length", "file_size")
 
 
 def s2(spark, d):
@@ -251,7 +269,7 @@ TABLE = {
             HEADERS, SECTIONS, DIRECTORIES,
         ),
     ),
-    "s1_stream_reads": (s1, sql(f"SELECT process_name, count(*) AS reads, {big('sum(length)')} AS bytes FROM reads WHERE operation IN ({names(READ_OPS)}) AND {GOOD} GROUP BY process_name")),
+    "s1_stream_reads": (s1, sql("SELECT trace_id, event_order, epoch_us(ts) AS us, read_offset, length, file_size FROM filed", *FROM_FILES)),
     "s2_quiet_traces": (
         s2,
         sql(

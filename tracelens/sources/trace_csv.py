@@ -53,12 +53,13 @@ def time_of_day() -> Column:
     return F.when((hour < 24) & (minute < 60) & (second < 60), (hours.cast("long") * 3600 + minute * 60 + second) * 1_000_000 + fraction)
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """Rows of read operations with their values and `reason`, null where the row is good.
+def parsed(raw: DataFrame, *, besides: Column | None = None) -> DataFrame:
+    """Rows of read operations (and those `besides`) with their values and `reason`, null where the row is good.
 
     Texts are cut out below a generator of one row: filters on `reason` stay above it, so that no pattern runs twice.
     """
-    rows = raw.where(F.trim("operation").isin(READ_OPS))
+    wanted = F.trim("operation").isin(READ_OPS)
+    rows = raw.where(wanted if besides is None else wanted | besides)
     parts = {c: F.regexp_extract("time_of_day", TIME, k) for k, c in enumerate(("_h", "_m", "_s", "_f", "_half"), 1)}
     trimmed = {c: F.trim(c) for c in ("process_name", "operation", "path", "result")}
     texts = parts | trimmed | {"_o": plain(field("Offset")), "_l": plain(field("Length"))}
