@@ -1,4 +1,4 @@
-"""Operators over the ordered reads of a trace; all windows share the partitioning by trace_id."""
+"""Operators over the ordered reads of a trace; windows share the partitioning by trace_id, of hot traces that by slice (slices.py)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.constants import BLOCK
-from ..functions.expressions import earlier, in_order, by_trace, count_where, micros, ratio, region_class, top
+from ..functions.expressions import in_order, by_trace, count_where, micros, ratio, region_class, top
+from .slices import cut, running
 from .regions import annotation, first_holding, point_region, region_lists
 
 
@@ -14,9 +15,17 @@ def end_of() -> Column:
     return F.col("read_offset") + F.col("length")
 
 
+def steps(reads: DataFrame) -> DataFrame:
+    """Reads with idx (from 0), and of the reads before them: offset, end and time of the last one, the greatest offset."""
+    rows = cut(reads, ["trace_id"], micros())
+    return running(
+        rows, ["trace_id"], ["ts", "event_order"], idx=("sum", F.lit(1)), previous=("last", F.col("read_offset")), before=("last", end_of()), before_us=("last", micros()), most=("max", F.col("read_offset"))
+    )
+
+
 def read_sequence(reads: DataFrame) -> DataFrame:
-    before = F.lag(end_of()).over(in_order())
-    return reads.select("*", F.row_number().over(in_order()).alias("read_number"), end_of().alias("read_end"), F.coalesce(F.col("read_offset") - before, F.lit(0)).alias("delta"))
+    rows = steps(reads)
+    return rows.select(*reads.columns, (F.col("idx") + 1).cast("int").alias("read_number"), end_of().alias("read_end"), F.coalesce(F.col("read_offset") - F.col("before"), F.lit(0)).alias("delta"))
 
 
 def annotated(reads: DataFrame) -> DataFrame:
@@ -26,53 +35,62 @@ def annotated(reads: DataFrame) -> DataFrame:
 
 def sequential_metrics(reads: DataFrame) -> DataFrame:
     """Contiguous and forward shares and mean start jump over the n - 1 steps; 1, 1, 0 for a single read."""
-    steps = reads.select("trace_id", "read_offset", F.lag(end_of()).over(in_order()).alias("before"), F.lag("read_offset").over(in_order()).alias("previous"))
     n = F.count("before")
-    return steps.groupBy("trace_id").agg(
+    return steps(reads).groupBy("trace_id").agg(
         F.coalesce(ratio(count_where(F.col("read_offset") == F.col("before")), n), F.lit(1.0)).alias("contiguous"),
         F.coalesce(ratio(count_where(F.col("read_offset") >= F.col("previous")), n), F.lit(1.0)).alias("forward"),
         F.coalesce(ratio(F.sum(F.abs(F.col("read_offset") - F.col("previous"))), n), F.lit(0.0)).alias("avg_jump"),
     )
 
 
-def _restarts(reads: DataFrame) -> DataFrame:
-    return reads.select("*", (F.row_number().over(in_order()) - 1).alias("idx"), F.max("read_offset").over(earlier()).alias("most"), F.lag("read_offset").over(in_order()).alias("previous"))
-
-
 def scan_passes(reads: DataFrame) -> DataFrame:
     """A pass starts below the greatest offset so far, right after a read at or beyond what was the greatest then."""
-    rows = _restarts(reads)
+    rows = steps(reads)
     start = (F.col("idx") == 0) | ((F.col("read_offset") < F.col("most")) & (F.col("previous") >= F.col("most")))
     return rows.groupBy("trace_id").agg(count_where(start).alias("passes"), F.array_sort(F.collect_list(F.when(start, F.col("idx")))).alias("starts")).select("trace_id", "passes", F.array_join(F.transform("starts", lambda x: x.cast("string")), ";").alias("pass_starts"))
 
 
 def pass_labels(reads: DataFrame) -> DataFrame:
     below = F.when(F.col("read_offset") < F.col("most"), 1).otherwise(0)
-    return _restarts(reads).withColumn("below", below).select("trace_id", "idx", "read_offset", (F.sum("below").over(upto_index()) + 1).alias("pass_label"))
+    return numbered_runs(steps(reads).withColumn("_below", below), "_below", "pass_label").select("trace_id", F.col("idx").cast("int").alias("idx"), "read_offset", "pass_label")
 
 
-def upto_index() -> WindowSpec:
-    return by_trace().orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+def numbered_runs(rows: DataFrame, starts: str, name: str) -> DataFrame:
+    """`rows` with the number, from 1, of the run that each is in; `starts` is 1 where one begins."""
+    return running(rows, ["trace_id"], ["idx"], **{name: ("sum", F.col(starts))}).withColumn(name, F.col(name) + F.col(starts) + 1)
 
 
 def drop_passes(reads: DataFrame, least: int = 100_000) -> DataFrame:
     drop = F.when((F.col("read_offset") < F.col("previous")) & (F.col("previous") > least), 1).otherwise(0)
-    marked = _restarts(reads).withColumn("drop", drop).withColumn("segment", F.sum("drop").over(upto_index()) + 1)
-    return marked.groupBy("trace_id", "segment").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("reads"), F.sum("length").alias("bytes"))
+    marked = numbered_runs(steps(reads).withColumn("_drop", drop), "_drop", "segment")
+    return marked.groupBy("trace_id", "segment").agg(F.min("idx").cast("int").alias("first_idx"), F.max("idx").cast("int").alias("last_idx"), F.count("*").alias("reads"), F.sum("length").alias("bytes"))
 
 
-def time_stages(reads: DataFrame) -> DataFrame:
-    """Stages cut at gaps over ten times the median gap, 500 microseconds at least; fewer than three reads are one stage.
+def gap_limits(gaps: DataFrame) -> DataFrame:
+    """_trace and limit: ten times the median gap, twice, in whole microseconds so that the median needs no fraction; 1000 at least.
 
-    Compared as twice the gap in whole microseconds, so that the median needs no fraction.
+    gaps: trace_id and gap. Medians are read off running counts of the distinct gaps, not off lists.
     """
-    rows = reads.select("trace_id", "length", (F.row_number().over(in_order()) - 1).alias("idx"), (micros() - F.lag(micros()).over(in_order())).alias("gap"), F.count("*").over(by_trace()).alias("n"))
-    ranked = rows.select("*", F.row_number().over(by_trace().orderBy(F.col("gap").asc_nulls_last(), "idx")).alias("k"))
-    middle = lambda k: F.max(F.when(F.col("k") == F.expr(k), F.col("gap"))).over(by_trace())
-    limit = F.greatest(10 * (middle("n div 2") + middle("(n + 1) div 2")), F.lit(1000))
-    cut = F.when((F.col("n") >= 3) & (2 * F.col("gap") > F.col("limit")), 1).otherwise(0)
-    marked = ranked.withColumn("limit", limit).withColumn("cut", cut).withColumn("stage", F.sum("cut").over(upto_index()) + 1)
-    return marked.groupBy("trace_id", "stage").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.count("*").alias("events"))
+    counts = gaps.where("gap IS NOT NULL").groupBy("trace_id", "gap").agg(F.count("*").alias("c"))
+    upto = running(cut(counts, ["trace_id"], F.col("gap")), ["trace_id"], ["gap"], upto=("sum", F.col("c")))
+    n = gaps.groupBy(F.col("trace_id").alias("_trace")).agg(F.count("*").alias("n"))
+    holds = lambda k: F.min(F.when((F.col("upto") < F.expr(k)) & (F.expr(k) <= F.col("upto") + F.col("c")), F.col("gap")))
+    return upto.join(n, F.col("trace_id").eqNullSafe(F.col("_trace"))).groupBy("_trace").agg(F.max("n").alias("n"), F.greatest(10 * (holds("n div 2") + holds("(n + 1) div 2")), F.lit(1000)).alias("limit")).where("n >= 3").drop("n")
+
+
+def time_stages(reads: DataFrame) -> DataFrame:
+    """Stages cut at gaps over ten times the median gap, 500 microseconds at least; fewer than three reads are one stage."""
+    rows = steps(reads).withColumn("gap", micros() - F.col("before_us"))
+    cuts = F.when(2 * F.col("gap") > F.col("limit"), 1).otherwise(0)
+    if "_slice" not in rows.columns:
+        whole = by_trace()
+        ranked = rows.select("*", F.count("*").over(whole).alias("n"), F.row_number().over(whole.orderBy(F.col("gap").asc_nulls_last(), "idx")).alias("k"))
+        middle = lambda k: F.max(F.when(F.col("k") == F.expr(k), F.col("gap"))).over(whole)
+        marked = ranked.withColumn("limit", F.when(F.col("n") >= 3, F.greatest(10 * (middle("n div 2") + middle("(n + 1) div 2")), F.lit(1000))))
+    else:
+        marked = rows.join(gap_limits(rows.select("trace_id", "gap")), F.col("trace_id").eqNullSafe(F.col("_trace")), "left")
+    staged = numbered_runs(marked.withColumn("_cut", cuts), "_cut", "stage")
+    return staged.groupBy("trace_id", "stage").agg(F.min("idx").cast("int").alias("start_idx"), F.max("idx").cast("int").alias("end_idx"), F.count("*").alias("events"))
 
 
 def jumps(reads: DataFrame, regions: DataFrame, large: int = 50_000) -> DataFrame:

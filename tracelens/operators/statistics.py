@@ -95,10 +95,11 @@ def block_coverage(reads: DataFrame) -> DataFrame:
 
 
 def merge_ranges(reads: DataFrame, gap: int = BLOCK) -> DataFrame:
-    spans = reads.select("trace_id", "read_offset", "length", F.col("read_offset").alias("lo"), (F.col("read_offset") + F.col("length")).alias("hi"))
-    marked = islands(spans, ["trace_id"], F.col("lo"), F.desc("length"), gap=gap)
+    """Ranges of reads at most `gap` apart; reads of one offset count together, as they are in one range whatever their lengths."""
+    spans = reads.groupBy("trace_id", F.col("read_offset").alias("lo")).agg(F.max(F.col("read_offset") + F.col("length")).alias("hi"), F.count("*").alias("n"))
+    marked = islands(spans, ["trace_id"], "lo", gap=gap)
     return marked.groupBy("trace_id", "island").agg(
-        F.min("lo").alias("range_start"), F.max("hi").alias("range_end"), (F.max("hi") - F.min("lo")).alias("range_size"), F.count("*").alias("read_count"), F.count_distinct("read_offset").alias("unique_offsets")
+        F.min("lo").alias("range_start"), F.max("hi").alias("range_end"), (F.max("hi") - F.min("lo")).alias("range_size"), F.sum("n").alias("read_count"), F.count("*").alias("unique_offsets")
     )
 
 
