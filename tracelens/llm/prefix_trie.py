@@ -34,7 +34,7 @@ ROOT = bytes(16)
 #: A block of a node's ends has the ids that are equal but for so many bits.
 BLOCK_BITS = 12
 #: Nodes above `limit` are at most turns / limit: with the default fewer than this, 40 bytes each.
-MOST_UPPER = 1 << 20
+MOST_UPPER, LEAST_LIMIT = 1 << 20, 100
 #: Nodes that a shard is meant to have.
 SHARD_NODES = 200_000
 
@@ -225,7 +225,7 @@ def prefix_trie(turns: DataFrame, *, limit: int | None = None, shard_nodes: int
     paths = stored(prefixes(turns), "prefixes")
     nodes = stored(paths.groupBy("digest").agg(F.count("*").alias("n_convs"), F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("words").alias("words"), F.min("conv_id").alias("conv_id")), "nodes")
     size = nodes.agg(F.count("*").alias("nodes"), F.sum("n_convs").alias("rows")).first()
-    limit = max(1000, (size.rows or 0) // MOST_UPPER) if limit is None else max(1, limit)
+    limit = max(LEAST_LIMIT, (size.rows or 0) // MOST_UPPER) if limit is None else max(1, limit)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size.nodes // shard_nodes)
     zero = F.lit(0).cast("long")
 
