@@ -351,6 +351,12 @@ def test_decontamination_finds_short_items_as_whole_words(spark, tmp_path):
     assert sorted(r.doc_id for r in clean.collect()) == [1, 4, 6, 8, 9, 10]
 
 
+def test_decontamination_gives_short_items_their_edits(spark):
+    items = spark.createDataFrame([(1, "seventeen letters"), (2, "a quick brown fox jumps"), (3, "sixteen letters.")], "item_id LONG, text STRING")
+    docs = spark.createDataFrame([(1, "xx seventeen lettXrs yy"), (2, "a quick br0wn fox jumps"), (3, "a qu1ck br0wn fox jumps"), (4, "sixteen lett3rs."), (5, "so sixteen letters. and a quick brown fox jumps " * 2)], "doc_id LONG, text STRING")
+    assert sorted(tuple(r) for r in D.contaminated(docs, items).collect()) == [(1, 1, 1), (2, 2, 1), (5, 2, 0), (5, 3, 0)]
+
+
 def test_growth_moves_rows_only_into_the_new_shard():
     owner = H.first_map(24)
     sizes = collections.Counter(owner)
@@ -395,6 +401,21 @@ def test_slot_maps_are_reopened_and_appended(spark, tmp_path):
     assert H.append_map(spark, path, H.grown(H.load_map(spark, path))) == 2 and H.load_map(spark, path, 0) == H.first_map(4, 64)
 
 
+def test_rows_are_placed_by_the_stored_version(spark, tmp_path):
+    path, rng = f"file://{tmp_path}/maps", random.Random(6)
+    docs = spark.createDataFrame([(k, "x" * rng.choice([1, 1, 1, 9000])) for k in range(400)], "doc_id LONG, text STRING")
+    first = {r.doc_id: (r.shard, r.balanced_shard, r.law) for r in H.shard_documents(docs, 5, slots=64, maps=path).collect()}
+    again = {r.doc_id: (r.shard, r.law) for r in H.shard_documents(docs, 5, slots=64, maps=path).collect()}
+    assert H.last_version(spark, path) == 1  # nothing more to move, so no new version
+    assert again == {d: (balanced, "map") for d, (_, balanced, _) in first.items()} and {x for _, _, x in first.values()} == {"key"}
+    old = {r.doc_id: (r.shard, r.law) for r in H.shard_documents(docs, 5, slots=64, maps=path, version=0).collect()}
+    assert old == {d: (shard, law) for d, (shard, _, law) in first.items()}
+    more = {r.doc_id: r.shard for r in H.shard_documents(docs, 6, slots=64, maps=path).collect()}
+    assert all(s in (again[d][0], 5) for d, s in more.items()) and 5 in more.values()
+    with pytest.raises(ValueError):
+        H.shard_documents(docs, 4, slots=64, maps=path)
+
+
 def test_sharding_query_against_brute_force(spark, data):
     import xxhash
 
@@ -414,3 +435,22 @@ def test_sharding_query_against_brute_force(spark, data):
         nth[owner[slot[d]]] += 1
     want = {(d, size[d], crc[d], "key", owner[slot[d]], place[d], after[slot[d]], balanced[slot[d]], slot[d], by_slot[slot[d]]) for d in docs}
     assert {tuple(r) for r in queries.op8_sharding(spark, data).collect()} == want
+
+
+def test_sets_of_any_size_have_a_band():
+    low, allowed = N.bands(largest=64)
+    assert N.LOW[-1] > 1 << 31 and len(low) < len(N.LOW) and (N.LOW[: len(low)] == low).all() and (N.ALLOWED[: len(low)] == allowed).all()
+    own = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 200_000).astype(np.uint64))
+    near = np.concatenate([own[:-20_000], own[-20_000:] + np.uint64(1)])
+    assert np.intersect1d(N.signatures(own), N.signatures(np.sort(near))).size
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 51, 1_000_000])
+def test_buckets_of_signatures(buckets):
+    sig = np.sort(np.concatenate([np.random.default_rng(2).integers(0, 1 << 48, 5000), [0, (1 << 48) - 1]]).astype(np.uint64))
+    assert N.bucket_of(sig, buckets).tolist() == [int(s) * buckets >> 48 for s in sig]
+
+
+def test_a_set_beyond_sixteen_million_shingles():
+    band = int(np.searchsorted(N.LOW, 16_330_737 + 1, "right")) - 1
+    assert band + 1 < len(N.LOW) and N.LOW[band] <= 16_330_738 < N.LOW[band + 1]

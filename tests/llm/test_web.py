@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -146,11 +147,66 @@ def test_a_long_shared_path_is_one_item(spark):
     rows = [(f"http://a{k}.org/{path}/x", True) for k in range(60)] + [(f"http://b{k}.org/y/{k}", False) for k in range(120)]
     rules = U.mine_rules(spark.createDataFrame(rows, "url STRING, bad BOOLEAN")).collect()
     assert rules and all(r.confidence == 1.0 for r in rules)
-    hit = U.matched_urls(spark.createDataFrame([(f"http://a777.net/{path}",), ("http://new.net/y",)], "url STRING"), spark.createDataFrame(rules))
-    assert [r.url for r in hit.collect()] == [f"http://a777.net/{path}"]
+    found = [f"http://a777.net/{path}/x", f"http://a777.net/{path}", "http://new.net/y"]  # a rule asks for all items that always came together
+    hit = U.matched_urls(spark.createDataFrame([(u,) for u in found], "url STRING"), spark.createDataFrame(rules))
+    assert [r.url for r in hit.collect()] == found[:1]
 
 
 def test_events_of_one_seq_and_without_seq(spark):
     log = [(1, 1, 5, "delta", "user", "a"), (1, 1, 5, "edit", "user", "b"), (1, 1, 6, "delta", "user", "c"), (1, 2, None, "delta", "assistant", "x"), (1, 2, 0, "delta", "user", "y"), (1, 2, 0, "delta", "user", "y"), (1, 3, 1, "regenerate", "user", "z"), (1, 3, 1, "regenerate", "user", "z"), (1, 3, None, "edit", None, "w")]
     found = C.fold_events(spark.createDataFrame(log, "conv_id LONG, message INT, seq INT, op STRING, role STRING, text STRING")).orderBy("message").collect()
     assert [(r.role, r.text) for r in found] == [("user", "bc"), ("assistant", "xyy"), ("", "z")]
+
+
+def brute_verdicts(rows, bad, least, confidence, lift):
+    """Verdicts of urls made of path words alone, by all subsets of the words' classes."""
+    words = {k: frozenset(u.removeprefix("h://").split("/")[1:]) for k, u in rows}
+    labelled = [k for k in words if k in bad]
+    holders = collections.defaultdict(set)
+    for k in labelled:
+        for w in words[k]:
+            holders[w].add(k)
+    classes = collections.defaultdict(set)
+    for w, ks in holders.items():
+        classes[frozenset(ks)].add(w)
+    base = sum(bad[k] for k in labelled) / len(labelled)
+    rules = {}
+    for size in range(1, len(classes) + 1):
+        for some in itertools.combinations(classes, size):
+            both = frozenset.intersection(*some)
+            hits = sum(bad[k] for k in both)
+            if hits >= least and hits / len(both) >= confidence and hits / len(both) / base >= lift:
+                rules[frozenset(some)] = hits / len(both)
+    kept = {s: c for s, c in rules.items() if not any(o < s and d >= c for o, d in rules.items())}
+    closed = [(frozenset().union(*(classes[c] for c in s)), c) for s, c in kept.items()]
+    return {k: max((c for items, c in closed if items <= w), default=None) for k, w in words.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mining_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows, bad = [], {}
+    for k in range(400):
+        words = [w for w in ("alpha", "beta", "gamma", "delta") if rng.random() < 0.45]
+        words += ["down", "load"] if rng.random() < 0.3 else []  # always together where labelled
+        rows.append((k, "h://x/" + "/".join(words or ["none"])))
+        if k < 320:
+            risk = 0.85 if {"alpha", "beta"} <= set(words) else 0.75 if "down" in words else 0.1
+            bad[k] = rng.random() < risk
+    rows += [(1000, "h://x/down"), (1001, "h://x/load"), (1002, "h://x/load/down"), (1003, "h://x/")]
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING")
+    labels = spark.createDataFrame([(k, 0 if b else 1, 0) for k, b in bad.items()], "doc_id LONG, quality INT, toxic INT")
+    found = {r.page_id: (r.verdict, r.confidence) for r in U.filter_urls(pages, labels, rules=[]).collect()}
+    # scheme and host are in every url: they are of no class that raises a confidence, so that subsets of path words are all there is
+    want = brute_verdicts(rows, bad, 25, 0.6, 1.5)
+    assert {k: c is not None for k, c in want.items()} == {k: v == "block" for k, (v, _) in found.items()}
+    assert all(abs(c - found[k][1]) < 1e-9 for k, c in want.items() if c is not None)
+    assert want[1000] is None and want[1001] is None and want[1002] is not None
+
+
+def test_one_of_many_items_that_come_together_blocks_nothing(spark):
+    rows = [(k, f"http://s{k}.org/download/free") for k in range(60)] + [(100 + k, f"http://s{k}.com/news") for k in range(120)] + [(500, "http://x.org/"), (501, "http://wiki.net/download/"), (502, "http://y.org/download/free")]
+    labels = [(k, int(k >= 60), 0) for k in [*range(60), *range(100, 220)]]
+    found = U.filter_urls(spark.createDataFrame(rows, "page_id LONG, url STRING"), spark.createDataFrame(labels, "doc_id LONG, quality INT, toxic INT"), rules=[])
+    verdicts = {r.page_id: r.verdict for r in found.collect()}
+    assert [verdicts[k] for k in (500, 501, 502)] == ["allow", "allow", "block"] and all(verdicts[k] == "block" for k in range(60))

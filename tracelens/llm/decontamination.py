@@ -6,8 +6,9 @@ automaton of all pieces runs over each whole text; around every hit the Myers bi
 the item to a passage there, and counts the item as found at e or less.
 
 The items are the stated query set: they are shipped to the tasks in blocks of at most BLOCK_CHARS characters, each of
-which is one pass over the texts. Items under `least` characters are found where they stand exactly and begin and end no
-word halfway; `short=False` leaves them out. Empty and null items are ignored. Null texts hold nothing;
+which is one pass over the texts. Items too short for an edit (under 17 characters at RATE) are found where they stand exactly
+and begin and end no word halfway; `short=False` leaves out items under `least` characters. An item found at several
+places of a text is one row with its least distance; very long texts and items are searched whole. Empty and null items are ignored. Null texts hold nothing;
 repeated rows are reported each; null ids are kept; other columns do not matter; empty tables give no rows.
 """
 
@@ -79,11 +80,10 @@ class Item:
 
 
 class Matcher:
-    """Items under `least` characters are matched exactly, at the bounds of words."""
+    """Items that are allowed no edit are matched at the bounds of words."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: int = RATE, least: int = LEAST):
-        self.least = least
-        self.items = [Item(i, t, rate if len(t) >= least else 0) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], rate: int = RATE):
+        self.items = [Item(i, t, rate) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):
             for at, piece in item.pieces:
@@ -105,7 +105,7 @@ class Matcher:
                 item, start = self.items[k], end + 1 - size - at
                 if best.get(k) == 0 or (k, start) in tried:
                     continue
-                if item.size < self.least:
+                if not item.budget:
                     if whole_words(text, start, end + 1):
                         best[k] = 0
                     continue
@@ -132,11 +132,11 @@ def blocks_of(items: DataFrame, least: int, short: bool, id_col: str, text_col:
 _MATCHERS: dict[int, tuple[list, Matcher]] = {}
 
 
-def matcher(shared, rate: int, least: int) -> Matcher:
+def matcher(shared, rate: int) -> Matcher:
     """The worker's matcher of a broadcast block."""
     if id(shared.value) not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[id(shared.value)] = shared.value, Matcher(shared.value, rate, least)
+        _MATCHERS[id(shared.value)] = shared.value, Matcher(shared.value, rate)
     return _MATCHERS[id(shared.value)][1]
 
 
@@ -150,7 +150,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, rate: int = RATE, least:
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = matcher(shared, rate, least)
+            own = matcher(shared, rate)
             for batch in batches:
                 found = [(k, *hit) for k, t in enumerate(texts_of(batch.column(1))) for hit in own.find(normal(t))]
                 at = pa.array([k for k, _, _ in found], pa.int64())
@@ -168,7 +168,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, *, rate: int = RATE, leas
         rows = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = matcher(shared, rate, least)
+            own = matcher(shared, rate)
             for batch in batches:
                 good = [not own.find(normal(t)) for t in texts_of(batch.column(0).field(text_col))]
                 yield batch.filter(pa.array(good, pa.bool_()))

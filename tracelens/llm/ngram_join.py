@@ -85,7 +85,7 @@ def shingles(text: bytes, words: WordHashes, size: int = SIZE) -> np.ndarray:
     return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
-def bands(similar: int = SIMILAR, of: int = OF, largest: int = 1 << 24) -> tuple[np.ndarray, np.ndarray]:
+def bands(similar: int = SIMILAR, of: int = OF, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     """Least size of each band and the most elements in which similar sets up to its largest size differ."""
     low, allowed, size = [], [], 1
     while size < largest:
@@ -121,6 +121,12 @@ def cut(own: np.ndarray, band: int, seed: int, allowed: int, last: bool) -> tupl
     return (found if over and last else found[n > 0]), over
 
 
+def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """The part of the range of 48-bit signatures that each is in, out of fewer than 2^31; rises with the signature."""
+    n, low = np.uint64(buckets), np.uint64((1 << 24) - 1)
+    return (((sig >> np.uint64(24)) * n + ((sig & low) * n >> np.uint64(24))) >> np.uint64(24)).astype(np.int64)
+
+
 def signatures(own: np.ndarray) -> np.ndarray:
     """48-bit signatures of a set in its band and the next."""
     band = int(np.searchsorted(LOW, len(own), "right")) - 1
@@ -247,8 +253,9 @@ def enumerate_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         plain = ~crowd | (node == lead)
         out: list[tuple[int, int, bytes]] = []
         own_sig, own_node = sig[plain], node[plain]
-        ends = np.searchsorted(own_sig, np.array([(k << 48) // buckets for k in range(buckets + 1)], np.uint64))
-        out += [(k, PACKED, packed(own_sig[a:b], own_node[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+        where = bucket_of(own_sig, buckets)
+        ends = np.flatnonzero(np.diff(where, prepend=-1, append=buckets))
+        out += [(int(where[a]), PACKED, packed(own_sig[a:b], own_node[a:b])) for a, b in zip(ends[:-1], ends[1:])]
         at = np.flatnonzero(crowd)
         for k in range(0, len(at), 4096):
             part = at[k : k + 4096]

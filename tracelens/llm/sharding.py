@@ -3,7 +3,8 @@
 The first map of n shards depends on n and the slot count alone (law `key`): each added shard takes slots from
 the fullest shards until all are even, so that growth moves rows only into the new shard. rebalance() edits a map
 by the bytes of its slots. Maps stand in a folder of one part per version (version, slot, shard); append_map() adds a
-version to it, load_map() reads one or the last. A record's place in its shard is the count of rows in the shard's
+version to it, load_map() reads one or the last. Rows are placed by a stored version; only an empty store gets a first map,
+and a version is added only if it differs from the last. A record's place in its shard is the count of rows in the shard's
 earlier slots and lots (parts of a slot by the text's CRC) plus its rank in its own lot, so that no task numbers a whole
 shard, nor the slot of an id that many rows have.
 
@@ -86,18 +87,43 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return [r.shard for r in spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()]
 
 
-def append_rebalanced(spark: SparkSession, path: str, sizes: DataFrame) -> int:
-    """The last map edited by the bytes of its slots (virtual_slot, bytes: at most one row per slot), as the next version."""
-    owner = load_map(spark, path)
+def open_map(spark: SparkSession, path: str, shards: int, slots: int, version: int | None = None) -> list[int]:
+    """The map of a version (by default the last) of the store; an empty one gets the first map, one of fewer shards grows by a version."""
+    try:
+        owner = load_map(spark, path, version)
+    except AnalysisException:  # no such folder
+        if version is not None:
+            raise
+        append_map(spark, path, first_map(shards, slots))
+        return load_map(spark, path)
+    have = max(owner) + 1
+    if len(owner) != slots or have > shards or (have < shards and version is not None):
+        raise ValueError(f"the map has {len(owner)} slots and {have} shards")
+    while max(owner) + 1 < shards:
+        owner = grown(owner)
+    if have < shards:
+        append_map(spark, path, owner)
+    return owner
+
+
+def rebalanced(spark: SparkSession, path: str, sizes: DataFrame, version: int | None = None) -> list[int]:
+    """A stored map (by default the last) edited by the bytes of its slots (virtual_slot, bytes: at most one row per slot)."""
+    owner = load_map(spark, path, version)
     found = {r.virtual_slot: r.bytes for r in sizes.collect()}
-    return append_map(spark, path, rebalance(owner, [found.get(slot, 0) for slot in range(len(owner))]))
+    return rebalance(owner, [found.get(slot, 0) for slot in range(len(owner))])
+
+
+def append_rebalanced(spark: SparkSession, path: str, sizes: DataFrame) -> int:
+    """The last map edited by the bytes of its slots, as the next version."""
+    return append_map(spark, path, rebalanced(spark, path, sizes))
 
 
-def shard_documents(docs: DataFrame, shards: int, *, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", maps: str | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int, *, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", maps: str | None = None, version: int | None = None) -> DataFrame:
     """id, size, text_crc32, law, shard, slot (place in the shard), grown_shard, balanced_shard, virtual_slot and its bytes.
 
-    The store of maps (`maps`, or a new folder) gets three versions: the map of one more shard (`grown_shard`), the map of law `key`
-    (`shard`), and this one rebalanced by the bytes of its slots (`balanced_shard`).
+    Rows are placed by a version (by default the last) of the store of maps (`maps`, or a new folder): `shard`. `law` is `key` where
+    that map is the first of its shards, else `map`. `grown_shard` is what one more shard would make of it, and `balanced_shard`
+    what the bytes of its slots make of it, which is stored as the next version.
     """
     spark = docs.sparkSession
     path = maps or shared_path(spark, "slot-maps")
@@ -105,17 +131,17 @@ def shard_documents(docs: DataFrame, shards: int, *, slots: int = SLOTS, id_col:
     rows = docs.select(F.col(id_col), (F.length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(id_col, slots).alias("virtual_slot"))
     rows = rows.withColumn("_lot", (F.col("text_crc32") % LOTS).cast("int"))
     lots = stored(rows.groupBy("virtual_slot", "_lot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")), "slot-bytes")
-    owner = first_map(shards, slots)
-    grown_version = append_map(spark, path, grown(owner))
-    first = append_map(spark, path, owner)
-    balanced = append_rebalanced(spark, path, lots.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")))
-    read = lambda version, name: spark.read.parquet(f"{path}/version={version}").select(F.col("slot").alias("virtual_slot"), F.col("shard").alias(name))
-    owners = read(first, "shard").join(read(grown_version, "grown_shard"), "virtual_slot").join(read(balanced, "balanced_shard"), "virtual_slot")
+    owner = open_map(spark, path, shards, slots, version)
+    balanced = rebalanced(spark, path, lots.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")), version)
+    if balanced != load_map(spark, path):
+        append_map(spark, path, balanced)
+    law = "key" if owner == first_map(shards, slots) else "map"
+    owners = spark.createDataFrame(list(zip(range(slots), owner, grown(owner), balanced, strict=True)), "virtual_slot INT, shard INT, grown_shard INT, balanced_shard INT").coalesce(1)
     earlier = Window.partitionBy("shard").orderBy("virtual_slot", "_lot").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.sum("bytes").over(Window.partitionBy("virtual_slot")).alias("slot_bytes")
     placed = owners.join(lots, "virtual_slot").select("virtual_slot", "_lot", "shard", "grown_shard", "balanced_shard", whole, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot", "_lot").orderBy(id_col, "text_crc32", "size"))
     ranked = rows.select("*", rank.alias("rank"))
     return ranked.join(F.broadcast(placed), ["virtual_slot", "_lot"]).select(  # at most `slots` x LOTS rows
-        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), "grown_shard", "balanced_shard", "virtual_slot", "slot_bytes"
+        id_col, "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), "grown_shard", "balanced_shard", "virtual_slot", "slot_bytes"
     )

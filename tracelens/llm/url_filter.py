@@ -3,8 +3,8 @@
 A URL's items are its scheme, host parts, words of the path, query keys, query keys with values, and fragment. Rules `items -> bad`
 stay when their support, confidence and lift reach the parameters, and when no rule on fewer of the same items
 is as confident. A rule is indexed under its rarest item; a URL looks up its items there and is tested for the
-rest. Of items that are in the same labelled URLs one stands for all, so that long shared paths do not multiply frequent
-sets. All of it is DataFrame work and Spark's own FP-growth; what reaches the driver is bounded by min_support.
+rest. Of items that are in the same labelled URLs one stands for all while rules are mined, so that long shared paths do not
+multiply frequent sets; a rule then asks for all of them (a closed set). All of it is DataFrame work and Spark's own FP-growth; what reaches the driver is bounded by min_support.
 
 Null URLs and those without `://` have an empty host and path, no items and are allowed; repeated pages are judged
 each; only the id and url columns are read; without labels no rule is mined; an empty table gives no rows.
@@ -60,16 +60,16 @@ def items(url: str = "url") -> Column:
     return F.when(F.instr(F.col(url), "://") > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-def apart(baskets: DataFrame) -> DataFrame:
-    """The baskets with one item (the least) of each class of items that are in the same baskets.
+def item_classes(each: DataFrame) -> DataFrame:
+    """item and first: the least of the items that are in the same baskets; the label is a class of its own.
 
-    Such items make as many frequent sets as they have subsets, all of one support and confidence. The label stays.
+    Such items make as many frequent sets as they have subsets, all of one support and confidence. A class has no more items than a basket.
     """
-    each = baskets.select("basket", F.explode("items").alias("item"))
     place = F.xxhash64("basket").cast("decimal(20,0)")
     classes = each.groupBy("item").agg(F.count("*").alias("n"), F.sum(place).alias("places"))
-    first = classes.groupBy("n", "places", (F.col("item") == BAD).alias("label")).agg(F.min("item").alias("item")).select("item")
-    return each.join(first, "item").groupBy("basket").agg(F.collect_list("item").alias("items"))
+    same = ["n", "places", "label"]
+    marked = classes.withColumn("label", F.col("item") == BAD)
+    return marked.join(marked.groupBy(*same).agg(F.min("item").alias("first")), same).select("item", "first")
 
 
 def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: int = 25, min_confidence: float = 0.6, min_lift: float = 1.5) -> DataFrame:
@@ -81,7 +81,10 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: in
     baskets = labelled.select(F.when(F.col("bad"), F.array_append(items(), F.lit(BAD))).otherwise(items()).alias("items")).where(F.size("items") > 0)
     baskets = stored(baskets.select(F.monotonically_increasing_id().alias("basket"), "items"), "baskets")
     support = min(1.0, max(min_support, min_count / max(1, baskets.count())))
-    baskets = stored(apart(baskets), "closed-baskets")
+    each = baskets.select("basket", F.explode("items").alias("item"))
+    classes = stored(item_classes(each), "item-classes")
+    firsts = classes.where("item = first").select("item")
+    baskets = stored(each.join(firsts, "item").groupBy("basket").agg(F.collect_list("item").alias("items")), "closed-baskets")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= min_lift))
     rules = stored(found.select(F.array_sort("antecedent").alias("items"), "confidence"), "url-rules")
@@ -96,7 +99,9 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.002, min_count: in
     kept = rules.join(narrower, "items", "left_anti")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("item"), "freq")
     rarest = kept.select("items", "confidence", F.explode("items").alias("item")).join(single, "item").groupBy("items", "confidence").agg(F.min_by("item", F.struct("freq", "item")).alias("key"))
-    return rarest.select("key", "items", "confidence")
+    member = classes.select(F.col("first").alias("item"), F.col("item").alias("member"))
+    closed = rarest.select("key", "items", "confidence", F.explode("items").alias("item")).join(member, "item").groupBy("key", F.col("items").alias("_mined"), "confidence")
+    return closed.agg(F.array_sort(F.collect_list("member")).alias("items")).select("key", "items", "confidence")
 
 
 def matched_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
