@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracelens.functions.constants import CHUNK_BANDS
 from tracelens.operators import cross as X
 from tracelens.operators import regions as R
+from tracelens.operators import segments
 from tracelens.operators import sequence as Q
 from tracelens.operators import statistics as S
 from tracelens.operators import timeline as L
@@ -320,7 +321,7 @@ def test_joins_by_bins_equal_joins_by_file(spark, monkeypatch):
     by_file = sorted(map(str, R.overlap(frame, table).collect())), R.unmapped(frame, table).count()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        monkeypatch.setattr(R, "large", lambda regions: True)
+        monkeypatch.setattr(segments, "MANY", 0)
         assert (sorted(map(str, R.overlap(frame, table).collect())), R.unmapped(frame, table).count()) == by_file
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -332,7 +333,7 @@ def test_queries_by_bins_match_sql(spark, monkeypatch, name):
     from tests.conftest import compare
 
     found = [n for n in queries() if n.startswith(name.split("_")[0] + "_") and not n.endswith("files")]
-    monkeypatch.setattr(R, "large", lambda regions: True)
+    monkeypatch.setattr(segments, "MANY", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         for each in found:

@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio, region_class, top
 from .intervals import covered
-
-#: Width of the narrowest bins of the binned range join; each further level is 16 times as wide.
-BIN, LEVELS = 65_536, 12
-#: Region sets of more rows are joined by bins: they are too large to broadcast, and the file alone is too coarse a key.
-MOST_REGIONS = 100_000
-
+from .segments import BIN, apart, asof, large_files, named_marks, sound, split_reads, touching
 
 def ranked(regions: DataFrame) -> DataFrame:
     """Regions with their rank by start; ties in reverse order of definition."""
@@ -23,88 +18,75 @@ def ranked(regions: DataFrame) -> DataFrame:
 
 
 def _touches() -> Column:
-    return (F.col("read_offset") <= F.col("end_offset")) & (F.col("read_offset") + F.col("length") - 1 >= F.col("start_offset"))
+    return (F.col("length") > 0) & (F.col("read_offset") <= F.col("end_offset")) & (F.col("read_offset") + F.col("length") - 1 >= F.col("start_offset"))
 
 
 def _spans(regions: DataFrame, *others: str) -> DataFrame:
-    return regions.select(F.col("file_id").alias("_file"), *others, "start_offset", "end_offset")
-
-
-def _binned_join(reads: DataFrame, spans: DataFrame, how: str, width: int) -> DataFrame:
-    """Joins of any kind by (file, level, bin): a read is one row, in the bin of its start on the level of its length.
-
-    A level's bins are as wide as its longest read, so that a region is listed in the bins that it covers and the one
-    before them, on every level. Rows are dealt by bin: one hot file is no hot task. A region takes a row per `width`
-    bytes that it covers.
-    """
-    wide = [width * 16**k for k in range(LEVELS)]
-    level = F.lit(LEVELS - 1)
-    for k in range(LEVELS - 2, -1, -1):
-        level = F.when(F.col("length") <= wide[k], k).otherwise(level)
-    placed = reads.withColumn("_level", level).withColumn("_bin", F.expr("read_offset div element_at(array(" + ", ".join(f"{w}L" for w in wide) + "), _level + 1)"))
-
-    def bins(k: int) -> Column:
-        first, last = F.greatest(F.expr(f"start_offset div {wide[k]}L") - 1, F.lit(0).cast("long")), F.expr(f"end_offset div {wide[k]}L")
-        return F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>")), lambda b: F.struct(F.lit(k).alias("_level2"), b.alias("_bin2")))
+    return sound(regions).select(F.col("file_id").alias("_file"), *others, "start_offset", "end_offset")
 
-    levels = F.flatten(F.array(*[bins(k) for k in range(LEVELS)]))
-    listed = spans.withColumn("_b", F.explode(levels)).select(*spans.columns, "_b.*")
-    same = (F.col("file_id") == F.col("_file")) & (F.col("_level") == F.col("_level2")) & (F.col("_bin") == F.col("_bin2"))
-    return placed.join(listed, same & _touches(), how).drop("_level", "_bin", "_level2", "_bin2")
 
-
-def large(regions: DataFrame, most: int = MOST_REGIONS) -> bool:
-    """Whether there are more than `most` regions; counts no further. The answer picks a path, never a result."""
-    key = regions.sparkSession.sparkContext.applicationId, regions.semanticHash(), most
-    if key not in large.known:
-        if len(large.known) > 1000:
-            large.known.clear()
-        large.known[key] = regions.limit(most + 1).count() > most
-    return large.known[key]
-
-
-large.known = {}
+def _levels_join(reads: DataFrame, regions: DataFrame, spans: DataFrame, how: str, width: int = BIN) -> DataFrame:
+    """Inner, left and anti joins by levels; a left join is the touching reads and the others."""
+    if how == "left_anti":
+        return apart(reads, regions)
+    met = touching(reads, spans, width)
+    return met if how == "inner" else met.unionByName(apart(reads, regions), allowMissingColumns=True)
 
 
 def _join(reads: DataFrame, regions: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    if large(regions):
-        return _binned_join(reads, spans, how, BIN)
-    return reads.join(spans, (F.col("file_id") == F.col("_file")) & _touches(), how)
+    """By file, which Spark broadcasts by size, where a file has few regions; by levels where it has many."""
+    files = large_files(regions)
+    plain = lambda rows: rows.join(spans, (F.col("file_id") == F.col("_file")) & _touches(), how)
+    if files is None:
+        return plain(reads)
+    of_large, others = split_reads(reads, files)
+    large = sound(regions).join(files, F.col("file_id") == F.col("_file"), "left_semi")
+    return _levels_join(of_large, large, spans.join(files, "_file", "left_semi"), how).unionByName(plain(others))
 
 
 def overlap(reads: DataFrame, regions: DataFrame, how: str = "left") -> DataFrame:
-    """Every read with every region that it touches: by file where regions are few, which Spark broadcasts by size, else by bins."""
+    """Every read with every region that it touches."""
     return _join(reads, regions, _spans(ranked(regions), "region_name", "region_ord", "region_rank"), how).drop("_file")
 
 
 def overlap_binned(reads: DataFrame, regions: DataFrame, width: int = BIN, how: str = "inner") -> DataFrame:
-    """overlap() by bins, whatever the size of `regions`."""
-    return _binned_join(reads, _spans(ranked(regions), "region_name", "region_ord", "region_rank"), how, width).drop("_file")
+    """overlap() by levels, however many regions a file has."""
+    return _levels_join(reads, regions, _spans(ranked(regions), "region_name", "region_ord", "region_rank"), how, width).drop("_file")
 
 
 def unmapped(reads: DataFrame, regions: DataFrame) -> DataFrame:
     return _join(reads, regions, _spans(regions), "left_anti")
 
 
-def region_lists(regions: DataFrame, *order: str) -> DataFrame:
-    """_file, its regions as one array in an order, and the bounds of all; as many elements as the file has regions."""
+def _first_of_few(rows: DataFrame, regions: DataFrame, at: str, out: str, order: tuple[str, ...], outside: tuple[str | None, str | None, str | None]) -> DataFrame:
+    """A file's regions (MANY at most) come to its rows as one array."""
     span = F.struct(*order, F.col("start_offset").alias("_s"), F.col("end_offset").alias("_e"), F.col("region_name").alias("_name"))
-    return regions.groupBy(F.col("file_id").alias("_file")).agg(F.array_sort(F.collect_list(span)).alias("_spans"), F.min("start_offset").alias("_first"), F.max("end_offset").alias("_last"))
+    lists = sound(regions).groupBy(F.col("file_id").alias("_file")).agg(F.array_sort(F.collect_list(span)).alias("_spans"), F.min("start_offset").alias("_first"), F.max("end_offset").alias("_last"))
+    before, between, behind = (F.lit(x).cast("string") for x in outside)
+    holding = F.get(F.filter("_spans", lambda r: (F.col(at) >= r["_s"]) & (F.col(at) <= r["_e"])), F.lit(0))["_name"]
+    joined = rows.join(lists, F.col("file_id") == F.col("_file"), "left")
+    label = F.coalesce(holding, F.when(F.col(at) < F.col("_first"), before).when(F.col(at) > F.col("_last"), behind).otherwise(between))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], label.alias(out))
 
 
-def first_holding(at: str) -> Column:
-    """The name of the first region of `_spans` that holds the offset; null where none does."""
-    return F.get(F.filter("_spans", lambda r: (F.col(at) >= r["_s"]) & (F.col(at) <= r["_e"])), F.lit(0))["_name"]
+def first_region(rows: DataFrame, regions: DataFrame, at: str, out: str, order: tuple[str, ...], outside: tuple[str | None, str | None, str | None]) -> DataFrame:
+    """`rows` with the first region of their file, in an order, that holds an offset; else what stands for before, between and behind.
 
+    One row for each row, equal ones included: from a list where a file has few regions, by an as-of join with segments where it has many.
+    """
+    files = large_files(regions)
+    if files is None:
+        return _first_of_few(rows, regions, at, out, order, outside)
+    of_large, others = split_reads(rows, files)
+    own = F.col("file_id") == F.col("_file")
+    found = asof(of_large, named_marks(regions.join(files, own, "left_semi"), order, outside), at, "_mark")
+    named = found.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(F.col("_mark").isNull(), F.lit(outside[1])).otherwise(F.col("_mark.name")).alias(out))
+    return named.unionByName(_first_of_few(others, regions.join(files, own, "left_anti"), at, out, order, outside))
 
-def point_region(reads: DataFrame, regions: DataFrame, at: str = "read_offset", out: str = "region") -> DataFrame:
-    """The first region by order of definition that holds an offset; header, trailing or Unknown otherwise.
 
-    One row for each row of `reads`, equal ones included. A file's regions come to its reads as one array: reads are not grouped.
-    """
-    joined = reads.join(region_lists(regions, "region_ord"), F.col("file_id") == F.col("_file"), "left")
-    label = F.coalesce(first_holding(at), F.when(F.col(at) < F.col("_first"), "header").when(F.col(at) > F.col("_last"), "trailing").otherwise("Unknown"))
-    return joined.select(*[F.col(c) for c in reads.columns], label.alias(out))
+def point_region(reads: DataFrame, regions: DataFrame, at: str = "read_offset", out: str = "region") -> DataFrame:
+    """The first region by order of definition that holds an offset; header, trailing or Unknown otherwise."""
+    return first_region(reads, regions, at, out, ("region_ord",), ("header", "Unknown", "trailing"))
 
 
 def by_region(reads: DataFrame, regions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import BLOCK
 from ..functions.expressions import in_order, by_trace, count_where, micros, ratio, region_class, top
 from .slices import cut, running
-from .regions import annotation, first_holding, point_region, region_lists
+from .regions import annotation, first_region, point_region
 
 
 def end_of() -> Column:
@@ -118,8 +118,7 @@ def bracket_probes(reads: DataFrame) -> DataFrame:
 def access_ladder(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Normalised offset against index, with the class of the first region by start that holds the offset."""
     rows = reads.select("trace_id", "file_id", "file_size", "read_offset", (F.row_number().over(in_order()) - 1).alias("idx"), F.count("*").over(by_trace()).alias("n"))
-    lists = region_lists(regions, "start_offset", "region_ord")
-    found = rows.join(lists, F.col("file_id") == F.col("_file"), "left").withColumn("region_name", first_holding("read_offset"))
+    found = first_region(rows, regions, "read_offset", "region_name", ("start_offset", "region_ord"), (None, None, None))
     return found.select("trace_id", "idx", ratio(F.col("idx"), F.greatest(F.col("n") - 1, F.lit(1))).alias("position"), ratio(F.col("read_offset"), F.col("file_size")).alias("offset_fraction"), region_class().alias("region_class"))
 
 
