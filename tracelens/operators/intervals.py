@@ -24,7 +24,8 @@ def covered(df: DataFrame, keys: list[str], low: str = "lo", high: str = "hi") -
 
 def islands(df: DataFrame, keys: list[str], *order: str, low: str = "lo", high: str = "hi", gap: int = 0) -> DataFrame:
     """`df` with `island`: intervals that start at most `gap` after the greatest end so far belong together; `order` begins with `low`."""
-    ran = running(cut(df, keys, F.col(low)), keys, list(order), _reach=("max", F.col(high)))
+    rows = df if "_slice" in df.columns else cut(df, keys, F.col(low))
+    ran = running(rows, keys, list(order), _reach=("max", F.col(high)))
     new = F.when(F.col("_reach").isNull() | (F.col(low) > F.col("_reach") + gap), 1).otherwise(0)
     counted = running(ran.withColumn("_new", new), keys, list(order), island=("sum", F.col("_new")))
     return counted.withColumn("island", F.col("island") + F.col("_new")).drop("_new", "_reach", "_slice")

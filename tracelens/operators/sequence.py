@@ -19,7 +19,7 @@ def steps(reads: DataFrame) -> DataFrame:
     """Reads with idx (from 0), and of the reads before them: offset, end and time of the last one, the greatest offset."""
     rows = cut(reads, ["trace_id"], micros())
     return running(
-        rows, ["trace_id"], ["ts", "event_order"], idx=("sum", F.lit(1)), previous=("last", F.col("read_offset")), before=("last", end_of()), before_us=("last", micros()), most=("max", F.col("read_offset"))
+        rows, ["trace_id"], ["ts", "event_order"], idx=("count", F.lit(1)), previous=("last", F.col("read_offset")), before=("last", end_of()), before_us=("last", micros()), most=("max", F.col("read_offset"))
     )
 
 

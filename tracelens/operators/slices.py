@@ -53,13 +53,13 @@ def cut(rows: DataFrame, keys: list[str], by: Column) -> DataFrame:
 def running(rows: DataFrame, keys: list[str], order: list[str], **wanted: tuple[str, Column]) -> DataFrame:
     """`rows` with a column for each name: what (kind, column) gives over the rows of the group before this one.
 
-    Kinds: `sum` (0 for the first row), `max`, `last`, and `latest`, the last that is not null (null for the first row).
+    Kinds: `count` (its column does not matter) and `sum` (0 for the first row), `max`, `last`, and `latest`, the last that is not null (null for the first row).
     """
     sliced = "_slice" in rows.columns
     group = Window.partitionBy(*keys, *(["_slice"] if sliced else []))
     own = group.orderBy(*order)
     before = own.rowsBetween(Window.unboundedPreceding, -1)
-    found = {"sum": lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)), "max": lambda c: F.max(c).over(before), "last": lambda c: F.lag(c).over(own), "latest": lambda c: F.last(c, True).over(before)}
+    found = {"count": lambda c: F.row_number().over(own).cast("long") - 1, "sum": lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)), "max": lambda c: F.max(c).over(before), "last": lambda c: F.lag(c).over(own), "latest": lambda c: F.last(c, True).over(before)}
     inside = {name: found[kind](c) for name, (kind, c) in wanted.items()}
     if not sliced:
         return rows.withColumns(inside)
@@ -67,18 +67,18 @@ def running(rows: DataFrame, keys: list[str], order: list[str], **wanted: tuple[
     hot = rows.where(F.col("_slice") > 0).select(*keys).distinct()
     place = F.struct(*order)
     latest = lambda c: F.max_by(F.struct(c.alias("v")), F.when(c.isNotNull(), place))
-    total = {"sum": F.sum, "max": F.max, "last": lambda c: F.max_by(F.struct(c.alias("v")), place), "latest": latest}
+    total = {"count": lambda c: F.count("*"), "sum": F.sum, "max": F.max, "last": lambda c: F.max_by(F.struct(c.alias("v")), place), "latest": latest}
     sums = rows.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys, "_slice").agg(
         *[total[kind](c).alias(f"_{name}") for name, (kind, c) in wanted.items()]
     )
     slices = Window.partitionBy(*keys).orderBy("_slice")
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    over = {"sum": lambda c: F.sum(c).over(earlier), "max": lambda c: F.max(c).over(earlier), "last": lambda c: F.lag(c).over(slices), "latest": lambda c: F.last(F.when(c["v"].isNotNull(), c), True).over(earlier)}
+    over = {"count": lambda c: F.sum(c).over(earlier), "sum": lambda c: F.sum(c).over(earlier), "max": lambda c: F.max(c).over(earlier), "last": lambda c: F.lag(c).over(slices), "latest": lambda c: F.last(F.when(c["v"].isNotNull(), c), True).over(earlier)}
     ahead = sums.select(*keys, "_slice", *[over[kind](F.col(f"_{name}")).alias(f"_{name}") for name, (kind, _) in wanted.items()])
     first = F.row_number().over(own) == 1
     joined = rows.withColumns(inside | {"_first": first}).join(F.broadcast(ahead), [*keys, "_slice"], "left")
     whole = {
-        name: F.col(name) + F.coalesce(f"_{name}", F.lit(0)) if kind == "sum" else F.greatest(name, f"_{name}") if kind == "max" else F.coalesce(F.col(name), F.col(f"_{name}")["v"]) if kind == "latest" else F.when(F.col("_first"), F.col(f"_{name}")["v"]).otherwise(F.col(name))
+        name: F.col(name) + F.coalesce(f"_{name}", F.lit(0)) if kind in ("sum", "count") else F.greatest(name, f"_{name}") if kind == "max" else F.coalesce(F.col(name), F.col(f"_{name}")["v"]) if kind == "latest" else F.when(F.col("_first"), F.col(f"_{name}")["v"]).otherwise(F.col(name))
         for name, (kind, _) in wanted.items()
     }
     return joined.withColumns(whole).drop("_first", *[f"_{name}" for name in wanted])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import BLOCK, CHUNK_BANDS, DECLINED, READ_OPS
 from ..functions.expressions import in_order, by_trace, band, count_where, ratio, top
 from .intervals import covered, islands
+from .slices import cut
 
 
 def layer_split(reads: DataFrame) -> DataFrame:
@@ -95,11 +96,12 @@ def block_coverage(reads: DataFrame) -> DataFrame:
 
 
 def merge_ranges(reads: DataFrame, gap: int = BLOCK) -> DataFrame:
-    """Ranges of reads at most `gap` apart; reads of one offset count together, as they are in one range whatever their lengths."""
-    spans = reads.groupBy("trace_id", F.col("read_offset").alias("lo")).agg(F.max(F.col("read_offset") + F.col("length")).alias("hi"), F.count("*").alias("n"))
-    marked = islands(spans, ["trace_id"], "lo", gap=gap)
-    return marked.groupBy("trace_id", "island").agg(
-        F.min("lo").alias("range_start"), F.max("hi").alias("range_end"), (F.max("hi") - F.min("lo")).alias("range_size"), F.sum("n").alias("read_count"), F.count("*").alias("unique_offsets")
+    """Ranges of reads at most `gap` apart; of a hot trace, reads of one offset are counted together first, as they are in one range."""
+    spans = cut(reads.select("trace_id", F.col("read_offset").alias("lo"), (F.col("read_offset") + F.col("length")).alias("hi"), F.lit(1).cast("long").alias("n")), ["trace_id"], F.col("read_offset"))
+    if "_slice" in spans.columns:
+        spans = spans.groupBy("trace_id", "_slice", "lo").agg(F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    return islands(spans, ["trace_id"], "lo", gap=gap).groupBy("trace_id", "island").agg(
+        F.min("lo").alias("range_start"), F.max("hi").alias("range_end"), (F.max("hi") - F.min("lo")).alias("range_size"), F.sum("n").alias("read_count"), F.count_distinct("lo").alias("unique_offsets")
     )
 
 

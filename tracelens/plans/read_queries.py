@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BAND_SYSTEMS, PHASE_RULES, READ_OPS
 from ..functions.expressions import region_class, rounded
+from ..functions.storage import scratch
 from ..operators import regions as R
 from ..operators import sequence as Q
 from ..operators import statistics as S
@@ -120,6 +121,16 @@ def claims(rules) -> list[tuple[str, str]]:
 
 
 PHASES = claims(RULES)
+
+
+def rules_from_table(spark, d):
+    """Phases by rules that are read from a file."""
+    path = scratch(spark, "rules")
+    L.rule_table(spark, RULES).write.parquet(path)
+    entries = L.timeline(A.completed(spark, d), A.regions(spark))
+    return L.detect_phases(entries, spark.read.parquet(path)).drop("phase_ord", "duration_us")
+
+
 TABLE = {
     "b1_layer_split": (lambda s, d: S.layer_split(A.reads(s, d)), sql(f"SELECT trace_id, count(*) FILTER (operation = 'ReadFile') AS read_ops, count(*) FILTER (operation = 'ReadFile' AND result = 'SUCCESS') AS success_reads, count(*) FILTER (operation = 'ReadFile' AND result <> 'SUCCESS') AS declined_reads, {big("coalesce(sum(length) FILTER (operation = 'ReadFile' AND result <> 'SUCCESS'), 0)")} AS declined_bytes FROM reads GROUP BY trace_id")),
     "b2_length_bands": (b2, sql(B2_SQL)),
@@ -169,6 +180,7 @@ TABLE = {
     "g2_timeline_summary": (timed(L.timeline_summary), sql("SELECT e.trace_id, e.entries, e.duration_us, e.first_region, e.last_region, k.regions, k.regions_in_order, k.first_ten, k.most_visited FROM (SELECT trace_id, count(*) AS entries, max(us) - min(us) AS duration_us, arg_min(region, pos) AS first_region, arg_max(region, pos) AS last_region FROM entries GROUP BY trace_id) e JOIN (SELECT trace_id, CAST(count(*) AS INT) AS regions, string_agg(region, ' > ' ORDER BY rank) AS regions_in_order, string_agg(region, ' > ' ORDER BY rank) FILTER (rank <= 10) AS first_ten, string_agg(region, ' > ' ORDER BY visits DESC, pos) FILTER (vr <= 3) AS most_visited FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY visits DESC, pos) AS vr FROM ranks) GROUP BY trace_id) k USING (trace_id)")),
     "g3_region_runs": (timed(L.region_runs), sql(RUNS_SQL)),
     "g4_detect_phases": (timed(lambda e: L.detect_phases(e, RULES)), sql("SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY start_us, rule) AS phase_ord, phase, start_us, end_us, end_us - start_us AS duration_us, entry_count FROM phases", *PHASES)),
+    "g4_rules_from_table": (rules_from_table, sql("SELECT trace_id, phase, start_us, end_us, entry_count FROM phases", *PHASES)),
     "g5_phase_confidence": (timed(lambda e: L.phase_confidence(e, RULES)), sql("SELECT trace_id, CAST(phases AS INT) AS phases, claimed_moments, moments, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM confidence", *PHASES)),
     "g6_rule_matches": (timed(lambda e: L.rule_matches(e, RULES)), sql(f"SELECT t.trace_id, r.rule_ord, r.phase, p.rule IS NOT NULL AS matched FROM (SELECT DISTINCT trace_id FROM entries) t CROSS JOIN (VALUES {', '.join(f"({k}, '{r[0]}')" for k, r in enumerate(RULES))}) r(rule_ord, phase) LEFT JOIN phases p ON p.trace_id = t.trace_id AND p.rule = r.rule_ord", *PHASES)),
     "g7_phase_summary": (timed(lambda e: L.phase_summary(e, RULES)), sql("SELECT c.trace_id, CASE WHEN c.phases = 0 THEN 'No phases detected.' ELSE 'Detected ' || c.phases || ' phase(s): ' || l || '; confidence ' || CAST(round(100 * CAST(c.confidence AS DOUBLE)) AS INT) || '%' END AS summary FROM confidence c LEFT JOIN (SELECT trace_id, string_agg(phase, ', ' ORDER BY start_us, rule) AS l FROM phases GROUP BY trace_id) USING (trace_id)", *PHASES)),
