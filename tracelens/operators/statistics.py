@@ -97,7 +97,7 @@ def block_coverage(reads: DataFrame) -> DataFrame:
 
 def merge_ranges(reads: DataFrame, gap: int = BLOCK) -> DataFrame:
     """Ranges of reads at most `gap` apart; of a hot trace, reads of one offset are counted together first, as they are in one range."""
-    spans = cut(reads.select("trace_id", F.col("read_offset").alias("lo"), (F.col("read_offset") + F.col("length")).alias("hi"), F.lit(1).cast("long").alias("n")), ["trace_id"], F.col("read_offset"))
+    spans = cut(reads.select("trace_id", F.col("read_offset").alias("lo"), (F.col("read_offset") + F.col("length")).alias("hi"), F.lit(1).cast("long").alias("n")), ["trace_id"], F.col("lo"))
     if "_slice" in spans.columns:
         spans = spans.groupBy("trace_id", "_slice", "lo").agg(F.max("hi").alias("hi"), F.sum("n").alias("n"))
     return islands(spans, ["trace_id"], "lo", gap=gap).groupBy("trace_id", "island").agg(
