@@ -87,23 +87,20 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return [r.shard for r in spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()]
 
 
-def open_map(spark: SparkSession, path: str, shards: int, slots: int, version: int | None = None) -> list[int]:
-    """The map of a version (by default the last) of the store; an empty one gets the first map, one of fewer shards grows by a version."""
+def open_map(spark: SparkSession, path: str, shards: int, slots: int, version: int | None = None) -> int:
+    """The version (by default the last) of the store to place rows by; an empty store gets the first map, one of fewer shards grows by a version."""
     try:
         owner = load_map(spark, path, version)
     except AnalysisException:  # no such folder
         if version is not None:
             raise
-        append_map(spark, path, first_map(shards, slots))
-        return load_map(spark, path)
+        return append_map(spark, path, first_map(shards, slots))
     have = max(owner) + 1
     if len(owner) != slots or have > shards or (have < shards and version is not None):
         raise ValueError(f"the map has {len(owner)} slots and {have} shards")
     while max(owner) + 1 < shards:
         owner = grown(owner)
-    if have < shards:
-        append_map(spark, path, owner)
-    return owner
+    return append_map(spark, path, owner) if have < shards else last_version(spark, path) if version is None else version
 
 
 def rebalanced(spark: SparkSession, path: str, sizes: DataFrame, version: int | None = None) -> list[int]:
@@ -131,12 +128,14 @@ def shard_documents(docs: DataFrame, shards: int, *, slots: int = SLOTS, id_col:
     rows = docs.select(F.col(id_col), (F.length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), slot_of(id_col, slots).alias("virtual_slot"))
     rows = rows.withColumn("_lot", (F.col("text_crc32") % LOTS).cast("int"))
     lots = stored(rows.groupBy("virtual_slot", "_lot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")), "slot-bytes")
-    owner = open_map(spark, path, shards, slots, version)
-    balanced = rebalanced(spark, path, lots.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")), version)
-    if balanced != load_map(spark, path):
-        append_map(spark, path, balanced)
+    version = open_map(spark, path, shards, slots, version)
+    owner, more = load_map(spark, path, version), shared_path(spark, "grown-map")
+    append_map(spark, more, grown(owner))
+    edited = rebalanced(spark, path, lots.groupBy("virtual_slot").agg(F.sum("bytes").alias("bytes")), version)
+    balanced = last_version(spark, path) if edited == load_map(spark, path) else append_map(spark, path, edited)
     law = "key" if owner == first_map(shards, slots) else "map"
-    owners = spark.createDataFrame(list(zip(range(slots), owner, grown(owner), balanced, strict=True)), "virtual_slot INT, shard INT, grown_shard INT, balanced_shard INT").coalesce(1)
+    read = lambda store, of, name: spark.read.parquet(f"{store}/version={of}").select(F.col("slot").alias("virtual_slot"), F.col("shard").alias(name))
+    owners = read(path, version, "shard").join(read(more, 0, "grown_shard"), "virtual_slot").join(read(path, balanced, "balanced_shard"), "virtual_slot")
     earlier = Window.partitionBy("shard").orderBy("virtual_slot", "_lot").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.sum("bytes").over(Window.partitionBy("virtual_slot")).alias("slot_bytes")
     placed = owners.join(lots, "virtual_slot").select("virtual_slot", "_lot", "shard", "grown_shard", "balanced_shard", whole, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
