@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests on one machine) a temporary folder stands in."""
+    """A new path under spark.checkpoint.dir; where that is unset a temporary folder stands in on one machine, a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", "") or getattr(scratch, "base", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = scratch.base = "file://" + tempfile.mkdtemp(prefix="tracelens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import MAGICS, PROFILES, READ_OPS
+from ..functions.constants import CHUNK_BANDS, MAGICS, PROFILES, READ_OPS
 from ..functions.expressions import layer, rounded
 from ..functions.storage import scratch
 from ..operators import statistics as S
@@ -16,8 +16,8 @@ from ..sources import sinks as K
 from ..sources import trace_csv as V
 from ..streaming import traces as T
 from . import adapters as A
-from .prelude import big, columns, names, sql, values
-from .read_queries import PHASES, RULES
+from .prelude import band_of, big, columns, names, sql, values
+from .read_queries import MERGE_SQL, PHASES, RULES
 
 DAY = "epoch_us(ts) % 86400000000"
 GOOD = "event_order % 97 <> 0 AND event_order % 89 <> 0 AND event_order % 83 <> 0"
@@ -117,6 +117,35 @@ def a8(spark, d):
     return C.batch_status(caps, A.completed(spark, d).select(F.col("trace_id").alias("capture_id")).distinct())
 
 
+def a7_listed(spark, d):
+    """A folder per supplier with an events file, a sample and a manifest, some of which are missing or empty; read back from a listing and the manifests."""
+    root = scratch(spark, "captures")
+    rows = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("capture_id"), "s_name", "s_nationkey")
+    put = lambda df, kind, **options: df.repartition("capture_id").write.mode("append").partitionBy("capture_id").options(**options).format(kind).save(root)
+    put(rows.where("capture_id % 5 > 0").select("capture_id", "s_name"), "csv")
+    put(rows.where("capture_id % 7 > 0").select("capture_id", F.col("s_name").alias("value")), "text")
+    put(rows.where("capture_id % 3 > 0").select("capture_id", F.col("capture_id").cast("int").alias("experiment"), F.when(F.col("s_nationkey") % 2 == 0, "completed").otherwise("failed").alias("status")), "json")
+    found = C.listed(spark, root, sample="txt").join(C.manifests(spark, root, "*.json", C.IN_PARTITION).select("capture_id", F.col("status").alias("manifest_status")), "capture_id", "left")
+    return C.completed(found.withColumn("metadata_result", F.lit(None).cast("string"))).select("capture_id", "has_events", "has_sample", "event_bytes", "completed")
+
+
+def a8_files(spark, d):
+    """A file per trace: of every seventh the header is wrong, of every eleventh the last line is cut, of every thirteenth there is none."""
+    root = scratch(spark, "checked")
+    rows = A.raw_rows(spark, d)
+    line = F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(n, F.lit("")), F.lit('"')) for n in V.NAMES])
+    last = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("event_order"))) == 1
+    cut = F.when((F.col("trace_id") % 11 == 0) & last, F.expr("left(value, length(value) - 9)")).otherwise(F.col("value"))
+    body = rows.select("trace_id", "event_order", line.alias("value")).select("trace_id", F.col("event_order").alias("k"), cut.alias("value"))
+    names = F.when(F.col("trace_id") % 7 == 0, ",".join(V.HEADERS).replace("PID", "Pid No")).otherwise(",".join(V.HEADERS))
+    heads = rows.select("trace_id").distinct().select("trace_id", F.lit(-1).cast("long").alias("k"), names.alias("value"))
+    whole = heads.unionByName(body).where("trace_id % 13 > 0").repartition("trace_id").sortWithinPartitions("trace_id", "k").drop("k")
+    whole.write.partitionBy("trace_id").text(root)
+    checks = V.file_checks(spark, f"{root}/*/part-*", trace=V.IN_FOLDER)
+    reads = V.reads(V.scan_sound(spark, f"{root}/*/part-*", checks, trace=V.IN_FOLDER))
+    return C.file_status(rows.select(F.col("trace_id").alias("capture_id")).distinct(), checks, reads)
+
+
 def a10(spark, d):
     """A text file per supplier below a folder of its number; the inventory has each file's size and digest."""
     path = scratch(spark, "inventory")
@@ -148,12 +177,25 @@ def a18(spark, d):
     return spark.read.option("header", True).schema("trace_id BIGINT, total_reads BIGINT, unique_offsets BIGINT, repeated_reads BIGINT, bytes_read BIGINT, regions STRING").csv(path)
 
 
+def nested(reads, regions):
+    """trace_id and the nested result of a trace: its statistics, length bands, ranges and phases."""
+    lists = lambda df, name, *fields: df.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    stats = S.read_stats(reads).select("trace_id", F.struct("total_reads", "unique_offsets", "repeated_reads", "bytes_read").alias("stats"))
+    bands, ranges = lists(S.length_bands(reads), "bands", "band_ord", "band", "reads"), lists(S.merge_ranges(reads), "ranges", "range_start", "range_end", "read_count")
+    phases = lists(L.detect_phases(L.timeline(reads, regions), RULES), "phases", "phase_ord", "phase", "entry_count")
+    return stats.join(bands, "trace_id").join(ranges, "trace_id").join(phases, "trace_id", "left").select("trace_id", F.struct("stats", "bands", "ranges", "phases").alias("result"))
+
+
 def a19(spark, d):
+    """The nested results are stored, every fourth is replaced by one with a field more, and all are loaded and flattened."""
     path = scratch(spark, "store")
-    reads = A.completed(spark, d)
-    bands = S.length_bands(reads).groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("band", "reads"))).alias("bands"), F.array_sort(F.collect_list(F.struct("band_ord", "reads"))).alias("list"))
-    K.save(bands, path)
-    return K.load(spark, path).select("trace_id", F.posexplode("list").alias("pos", "item")).select("trace_id", "item.band_ord", "item.reads")
+    rows = stored_rows(nested(A.completed(spark, d), A.regions(spark)), scratch(spark, "nested"))
+    K.replace(rows, path)
+    K.replace(rows.where("trace_id % 4 = 0").withColumn("result", F.col("result").withField("revision", F.lit(2).cast("long"))), path)
+    found = K.load(spark, path).select(F.col("trace_id").cast("long").alias("trace_id"), "result.*")
+    counts = [F.size("ranges").cast("long").alias("ranges"), F.coalesce(F.size("phases"), F.lit(0)).cast("long").alias("phases")]
+    each = found.select("trace_id", "stats.total_reads", "stats.bytes_read", "revision", *counts, F.explode("bands").alias("b"))
+    return each.select("trace_id", "total_reads", "bytes_read", "revision", "ranges", "phases", "b.band_ord", F.col("b.reads").alias("band_reads"))
 
 
 def s1(spark, d):
@@ -219,6 +261,18 @@ TABLE = {
         a8,
         sql("SELECT capture_id, error = '' AS ok, error FROM (SELECT capture_id, CASE WHEN NOT has_events THEN 'no events file' WHEN NOT has_sample THEN 'no sample file' WHEN capture_id NOT IN (SELECT trace_id FROM ok) THEN 'no reads' ELSE '' END AS error FROM caps)", CAPTURES),
     ),
+    "a7_listed_captures": (
+        a7_listed,
+        """SELECT s_suppkey AS capture_id, s_suppkey % 5 > 0 AS has_events, s_suppkey % 7 > 0 AS has_sample, CASE WHEN s_suppkey % 5 > 0 THEN CAST(strlen(s_name) + 1 AS BIGINT) ELSE 0 END AS event_bytes,
+        s_suppkey % 5 > 0 AND s_suppkey % 7 > 0 AND s_suppkey % 3 > 0 AND s_nationkey % 2 = 0 AS completed FROM supplier WHERE s_suppkey % 105 > 0""",
+    ),
+    "a8_file_quarantine": (
+        a8_files,
+        sql(
+            f"""SELECT trace_id AS capture_id, error = '' AS ok, error, CASE WHEN error = '' THEN n ELSE 0 END AS reads FROM (SELECT *, CASE WHEN trace_id % 13 = 0 THEN 'no events file' WHEN trace_id % 7 = 0 THEN 'header' WHEN trace_id % 11 = 0 THEN 'cut line' WHEN n = 0 THEN 'no reads' ELSE '' END AS error
+            FROM (SELECT trace_id, count(*) FILTER (operation IN ({names(READ_OPS)}) AND {GOOD}) AS n FROM reads GROUP BY trace_id))"""
+        ),
+    ),
     "a9_collection_summary": (lambda s, d: C.collection_summary(A.captures(s, d)), sql("SELECT count(*) FILTER (state <> 'skipped') AS processed, count(*) FILTER (state = 'success') AS successful, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'skipped') AS skipped FROM caps", CAPTURES)),
     "a10_sample_inventory": (
         a10,
@@ -258,7 +312,15 @@ TABLE = {
         ),
     ),
     "a18_csv_sinks": (a18, sql("SELECT s.trace_id, total_reads, unique_offsets, repeated_reads, bytes_read, regions FROM stats s JOIN (SELECT trace_id, string_agg(region, ' > ' ORDER BY region) AS regions FROM (SELECT DISTINCT trace_id, region FROM entries) GROUP BY trace_id) USING (trace_id)")),
-    "a19_result_store": (a19, None),
+    "a19_result_store": (
+        a19,
+        sql(
+            f"""SELECT s.trace_id, s.total_reads, s.bytes_read, CASE WHEN s.trace_id % 4 = 0 THEN 2 END AS revision, i.n AS ranges, coalesce(p.n, 0) AS phases, b.band_ord, coalesce(k.n, 0) AS band_reads
+            FROM stats s JOIN (SELECT trace_id, count(*) AS n FROM ({MERGE_SQL}) GROUP BY trace_id) i USING (trace_id) LEFT JOIN (SELECT trace_id, count(*) AS n FROM phases GROUP BY trace_id) p USING (trace_id)
+            CROSS JOIN (VALUES {', '.join(f"({k}, '{n}')" for k, (*_, n) in enumerate(CHUNK_BANDS))}) b(band_ord, band) LEFT JOIN (SELECT trace_id, {band_of()} AS band, count(*) AS n FROM ok GROUP BY ALL) k ON k.trace_id = s.trace_id AND k.band = b.band""",
+            *PHASES,
+        ),
+    ),
     "a20_file_facts": (
         lambda s, d: G.file_facts(A.headers(s, d), A.sections(s, d), A.directories(s, d)),
         sql(

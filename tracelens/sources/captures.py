@@ -14,8 +14,12 @@ SUFFIXES = ["exe", "dll", "sys"]
 KB = 1024
 
 
-def _capture_of() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)/[^/]*$", 1).cast("int")
+#: Where a capture's number stands in its files' paths: the name of the folder, or the end of that name.
+IN_FOLDER, IN_PARTITION = r"/(\d+)/[^/]*$", r"(\d+)/[^/]*$"
+
+
+def _capture_of(capture: str = IN_FOLDER) -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), capture, 1).cast("int")
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
@@ -30,9 +34,32 @@ def facts(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("capture_id").cast("long").alias("trace_id"), F.to_date("timestamp").alias("day"), F.col("capture_id").cast("long").alias("file_id"), F.col("size").alias("file_size"))
 
 
-def manifests(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{root}/*/manifest.json")
-    return rows.select(_capture_of().alias("capture_id"), "status", "sample", "capture")
+def manifests(spark: SparkSession, root: str, name: str = "manifest.json", capture: str = IN_FOLDER) -> DataFrame:
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{root}/*/{name}")
+    return rows.select(_capture_of(capture).alias("capture_id"), "status", "sample", "capture")
+
+
+def listed(spark: SparkSession, root: str, *, events: str = "csv", sample: str = "exe", capture: str = r"(\d+)/[^/]*$") -> DataFrame:
+    """capture_id, has_events, has_sample, event_bytes and newest (time) from a listing of the capture folders below `root`: no file is opened.
+
+    A capture has its events or its sample if it has a file of that suffix, any case, which is not empty.
+    """
+    files = spark.read.format("binaryFile").load(f"{root}/*/*").select("path", "length", "modificationTime")
+    of = lambda suffix: (F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)) == suffix) & (F.col("length") > 0)
+    rows = files.select(F.regexp_extract("path", capture, 1).try_cast("long").alias("capture_id"), of(events).alias("e"), of(sample).alias("s"), "length", "modificationTime").where("capture_id IS NOT NULL")
+    return rows.groupBy("capture_id").agg(F.max("e").alias("has_events"), F.max("s").alias("has_sample"), F.coalesce(F.sum(F.when(F.col("e"), F.col("length"))), F.lit(0)).alias("event_bytes"), F.max("modificationTime").alias("newest"))
+
+
+def file_status(captures: DataFrame, checks: DataFrame, reads: DataFrame) -> DataFrame:
+    """capture_id, ok, error and reads of each capture (capture_id): what its files' checks (trace_csv.file_checks) say, or that there is none.
+
+    The first reason in order stands for a capture of several bad files; a capture of sound files without reads is `no reads`.
+    """
+    by_file = checks.groupBy(F.col("trace_id").alias("capture_id")).agg(F.min("reason").alias("reason"), F.count("*").alias("files"))
+    counted = reads.groupBy(F.col("trace_id").alias("capture_id")).agg(F.count("*").alias("reads"))
+    joined = captures.select("capture_id").join(by_file, "capture_id", "left").join(counted, "capture_id", "left")
+    error = F.when(F.col("files").isNull(), "no events file").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("reads").isNull(), "no reads").otherwise("")
+    return joined.select("capture_id", (error == "").alias("ok"), error.alias("error"), F.coalesce("reads", F.lit(0)).alias("reads"))
 
 
 def completed(captures: DataFrame) -> DataFrame:

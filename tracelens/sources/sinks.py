@@ -31,5 +31,11 @@ def save(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def replace(df: DataFrame, path: str, key: str = "trace_id") -> None:
+    """Write the captures that `df` has and leave all others of the store as they are: one partition per capture."""
+    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The store; fields that later results have are null in earlier ones, inside structs too."""
+    return spark.read.option("mergeSchema", True).parquet(path)

@@ -30,6 +30,36 @@ def scan(spark: SparkSession, path: str, *, trace: str = IN_NAME, placed: bool =
     return rows.select(found, *[F.col(f"`{h}`").alias(n) for h, n in zip(HEADERS, NAMES)], *(place if placed else []))
 
 
+#: A line of seven fields, each plain or quoted with doubled quotes inside.
+WHOLE_LINE = r'^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*)){6}$'
+
+
+def lines(spark: SparkSession, path: str, trace: str = IN_NAME) -> DataFrame:
+    """trace_id, path, block, line and value of every line of the files, the header lines too (is_header); is_text where its bytes are UTF-8."""
+    rows = spark.read.text(path).select(F.is_valid_utf8("value").alias("is_text"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), F.col("_metadata.file_path").alias("path"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    header = F.regexp_replace("value", '"', "") == ",".join(HEADERS)
+    return rows.select(F.regexp_extract("path", trace, 1).try_cast("long").alias("trace_id"), "*", ((F.col("block.file_block_start") == 0) & header).alias("is_header"))
+
+
+def file_checks(spark: SparkSession, path: str, *, trace: str = IN_NAME) -> DataFrame:
+    """trace_id, path, rows and reason of each file that has any line; reason is null where the file is sound.
+
+    `encoding`: bytes that are no UTF-8; `header`: no header of the seven names; `cut line`: a line without all its fields.
+    """
+    all_ = lines(spark, path, trace)
+    some = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    broken = (F.col("value") != "") & ~F.col("value").rlike(WHOLE_LINE)
+    facts = all_.groupBy("trace_id", "path").agg((F.count_if(F.col("value") != "") - F.count_if("is_header")).alias("rows"), some(~F.col("is_text")).alias("_bytes"), some(F.col("is_header")).alias("_header"), some(broken).alias("_cut"))
+    return facts.select("trace_id", "path", "rows", F.when(F.col("_bytes"), "encoding").when(~F.col("_header"), "header").when(F.col("_cut"), "cut line").alias("reason"))
+
+
+def scan_sound(spark: SparkSession, path: str, checks: DataFrame, *, trace: str = IN_NAME, placed: bool = False) -> DataFrame:
+    """Raw rows, as scan() gives them, of the files without a reason in `checks`: one bad file never fails the read of the others."""
+    good = lines(spark, path, trace).join(checks.where("reason IS NOT NULL").select("path"), "path", "left_anti").where("NOT is_header AND value <> ''")
+    fields = F.from_csv("value", ", ".join(f"{n} STRING" for n in NAMES), {"quote": '"', "escape": '"'})
+    return good.select("trace_id", fields.alias("f"), *(["block", "line"] if placed else [])).select("trace_id", "f.*", *(["block", "line"] if placed else []))
+
+
 def plain(raw: Column) -> Column:
     return F.lower(F.replace(F.trim(raw), F.lit(","), F.lit("")))
 
