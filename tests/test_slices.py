@@ -66,3 +66,22 @@ def test_a_hot_trace_is_spread(spark, hot):
 def test_without_hot_traces_there_are_no_slices(spark, hot):
     hot(False)
     assert "_slice" not in slices.cut(reads(spark), ["trace_id"], F.unix_micros("ts")).columns
+
+
+def test_components_against_numpy(spark):
+    import numpy as np
+
+    from tracelens.operators import cross as X
+
+    rng = np.random.default_rng(5)
+    made = rng.normal(size=(80, 4)) @ np.array([[3, 1, 0, 0], [0, 1, 2, 0], [0, 0, 0.3, 1], [1, 0, 0, 0.1]])
+    made -= made.mean(axis=0)
+    z = spark.createDataFrame([(k, f"f{c}", float(made[k, c])) for k in range(80) for c in range(4)], "trace_id INT, feature STRING, z DOUBLE").repartition(4)
+    axes = np.linalg.eigh(made.T @ made / 80)[1][:, ::-1].T
+    axes = np.array([v * np.sign(v[np.abs(v).argmax()]) for v in axes])
+    assert np.allclose(X.principal_components(z, 3), axes[:3], atol=1e-9)
+    found = np.array([(r.pc1, r.pc2) for r in X.pca_projection(z).orderBy("trace_id").collect()])
+    assert np.allclose(found, made @ axes[:2].T, atol=1e-9)
+    assert X.pca_projection(z.limit(0)).count() == 0
+    one = X.pca_projection(z.where("feature = 'f0'")).orderBy("trace_id").collect()
+    assert np.allclose([r.pc1 for r in one], made[:, 0]) and {r.pc2 for r in one} == {None}

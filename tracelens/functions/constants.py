@@ -54,3 +54,8 @@ PHASE_RULES = [
 
 # Leading bytes of file kinds, hexadecimal.
 MAGICS = [("executable", "4D5A"), ("archive", "504B0304"), ("pdf", "25504446"), ("png", "89504E470D0A1A0A"), ("office", "D0CF11E0A1B11AE1")]
+
+# Fixed values: (least, greatest, note) of the offsets that annotations name, both ends inclusive; the first that fits counts.
+NOTE_RANGES = [
+    (0x600, 0x5FFF, "early code probe"), (0xBB800, 0xCFFFF, "import region probe"), (0xF2A00, 0xF71FF, "TLS structure"), (0xF7200, 0xF7BFF, "resource section"), (0xF8600, 0xF9FFF, "relocation section"),
+]

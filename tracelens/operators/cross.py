@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -345,8 +345,37 @@ def cluster_traces(z: DataFrame, most: int = 8, seed: int = 1, traces: DataFrame
     return found if traces is None else found.unionByName(whole.join(found, "trace_id", "left_anti"))
 
 
-def pca_projection(z: DataFrame) -> DataFrame:
-    """The first two principal components; z is centred already."""
-    rows = vectors(z)
-    out = PCA(k=2, inputCol="features", outputCol="pc").fit(rows).transform(rows)
-    return out.select("trace_id", *[F.get(vector_to_array("pc"), k).alias(f"pc{k + 1}") for k in range(2)])
+def trace_vectors(z: DataFrame) -> DataFrame:
+    """trace_id and v: (feature, z) in the order of features."""
+    return z.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("feature", "z"))).alias("v"))
+
+
+def feature_covariance(z: DataFrame) -> DataFrame:
+    """a, b (features, a <= b) and their population covariance; z is centred already.
+
+    The products of a trace's vector are summed in the tasks first, so that at most one row per pair of features leaves each.
+    """
+    pairs = trace_vectors(z).select("v", F.explode("v").alias("x")).select("x", F.explode("v").alias("y")).where("x.feature <= y.feature")
+    return pairs.groupBy(F.col("x.feature").alias("a"), F.col("y.feature").alias("b")).agg((F.sum(F.col("x.z") * F.col("y.z")) / F.count("*")).alias("covariance"))
+
+
+def principal_components(z: DataFrame, k: int = 2) -> np.ndarray:
+    """The first k unit eigenvectors of the features' covariance, one per row; the entry of largest size is positive."""
+    found = feature_covariance(z).collect()  # at most one row per pair of FEATURES
+    place = {name: n for n, name in enumerate(sorted({r.a for r in found}))}
+    matrix = np.zeros((len(place), len(place)))
+    for r in found:
+        matrix[place[r.a], place[r.b]] = matrix[place[r.b], place[r.a]] = r.covariance
+    axes = np.linalg.eigh(matrix)[1][:, ::-1][:, :k].T
+    return np.array([v * np.sign(v[np.abs(v).argmax()]) for v in axes])
+
+
+def pca_projection(z: DataFrame, k: int = 2) -> DataFrame:
+    """trace_id and pc1 to pck: the traces' vectors on the first principal components, null where there are fewer."""
+    axes = principal_components(z, k)
+    own = trace_vectors(z).select("trace_id", F.col("v.z").alias("v"))
+
+    def on(axis: np.ndarray) -> Column:
+        return F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axis]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    return own.select("trace_id", *[(on(axes[c]) if c < len(axes) else F.lit(None).cast("double")).alias(f"pc{c + 1}") for c in range(k)])

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import NOTE_RANGES
 from ..functions.expressions import ratio, region_class, top
 from .intervals import covered
 from .segments import BIN, apart, asof, large_files, named_marks, sound, split_reads, touching
@@ -159,11 +160,13 @@ def region_cells(reads: DataFrame, regions: DataFrame, width: int = 50) -> DataF
     return coverage_cells(spans, ["trace_id", "region_name"], width)
 
 
-def annotation(region: str = "region") -> Column:
-    """The first note that fits a read, by its number, offset, length, the file's size and region."""
+def annotation(ranges: list[tuple[int, int, str]] = NOTE_RANGES) -> Column:
+    """The first note that fits a read, by its number, offset and length, the file's size, and the ranges that are named."""
     at, size = F.col("read_offset"), F.col("length")
-    return (
+    note = (
         F.when((at == 0) & (F.col("read_number") <= 2), "header probe").when(at > F.col("file_size") - 10000, "footer").when(at == 0, "re-read: header validation").when(size >= 524288, "bulk scan chunk")
-        .when((size <= 4096) & (at < 1536), "header structure probe").when(at.between(1536, 24575), "early code probe").when(at.between(200000, 204095), "import region probe")
-        .when(at.between(524288, 786431), "read-only data").when(at.between(786432, 917503), "resource section").when(at.between(917504, 921599), "relocation section").otherwise("")
+        .when((size <= 4096) & (at < 1536), "header structure probe")
     )
+    for least, greatest, name in ranges:
+        note = note.when(at.between(least, greatest), name)
+    return note.otherwise("")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.constants import BLOCK
+from ..functions.constants import BLOCK, NOTE_RANGES
 from ..functions.expressions import in_order, by_trace, count_where, micros, ratio, region_class, top
 from .slices import cut, running
 from .regions import annotation, first_region, point_region
@@ -28,9 +28,9 @@ def read_sequence(reads: DataFrame) -> DataFrame:
     return rows.select(*reads.columns, (F.col("idx") + 1).cast("int").alias("read_number"), end_of().alias("read_end"), F.coalesce(F.col("read_offset") - F.col("before"), F.lit(0)).alias("delta"))
 
 
-def annotated(reads: DataFrame) -> DataFrame:
+def annotated(reads: DataFrame, ranges: list[tuple[int, int, str]] = NOTE_RANGES) -> DataFrame:
     out = read_sequence(reads).withColumn("hex_offset", F.format_string("0x%08X", "read_offset"))
-    return out.select("trace_id", "read_number", "read_offset", "hex_offset", "length", "read_end", annotation().alias("note"))
+    return out.select("trace_id", "read_number", "read_offset", "hex_offset", "length", "read_end", annotation(ranges).alias("note"))
 
 
 def sequential_metrics(reads: DataFrame) -> DataFrame:

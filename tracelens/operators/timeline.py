@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.constants import PHASE_RULES
+from ..functions.constants import NOTE_RANGES, PHASE_RULES
 from ..functions.expressions import by_trace, micros, ratio
 from .regions import overlap
 from .slices import cut, running
 
+IMPORT_RANGE = next((least, greatest) for least, greatest, note in NOTE_RANGES if note == "import region probe")
 #: phase, required regions, optional regions in order, least entries.
 Rule = tuple[str, list[str], list[str], int]
 
@@ -150,11 +151,11 @@ def phase_counts(entries: DataFrame, rules: Rules = PHASE_RULES) -> DataFrame:
     return detect_phases(entries, rules).groupBy("phase").agg(F.count("*").alias("traces"))
 
 
-def candidate_rules(reads: DataFrame) -> DataFrame:
-    """Hits and share of five per-read predicates."""
+def candidate_rules(reads: DataFrame, imports: tuple[int, int] = IMPORT_RANGE) -> DataFrame:
+    """Hits and share of five per-read predicates; imports: least and greatest offset of the import range."""
     order = by_trace().orderBy("ts", "event_order")
     rows = reads.select("*", F.lag("length").over(order).alias("previous"))
     pair = F.col("length").isin(262144, 258048) & F.col("previous").isin(262144, 258048) & (F.col("length") != F.col("previous"))
-    tests = {"offset zero": F.col("read_offset") == 0, "tail read": F.col("read_offset") + F.col("length") >= F.col("file_size"), "import range": F.col("read_offset").between(200000, 204095), "bulk 512K": F.col("length") == 524288, "alternation": F.coalesce(pair, F.lit(False))}
+    tests = {"offset zero": F.col("read_offset") == 0, "tail read": F.col("read_offset") + F.col("length") >= F.col("file_size"), "import range": F.col("read_offset").between(*imports), "bulk 512K": F.col("length") == 524288, "alternation": F.coalesce(pair, F.lit(False))}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("predicate"), t.cast("int").alias("hit")) for k, t in tests.items()])).alias("t")
     return rows.select("trace_id", each).groupBy("trace_id", "t.predicate").agg(F.sum("t.hit").alias("hits"), F.count("*").alias("reads")).select("trace_id", "predicate", "hits", ratio(F.col("hits"), F.col("reads")).alias("share"))

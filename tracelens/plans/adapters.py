@@ -26,6 +26,9 @@ REGIONS = [
     ("DOS Header", 0, 63), ("DOS Stub", 64, 127), ("NT Headers", 128, 391), ("File Header", 132, 151), ("Optional Header", 152, 391), ("Section Table", 392, 1023), (".text", 1024, 524287), ("Import Directory", 200000, 204095),
     (".rdata", 524288, 786431), (".rsrc", 786432, 917503), ("Resource Directory", 786432, 790527), ("Relocation Directory", 917504, 921599), ("Overlay", 960000, 1048575),
 ]
+#: The adapters' file has its named ranges where its regions are.
+NOTE_RANGES = [(1536, 24575, "early code probe"), (200000, 204095, "import region probe"), (524288, 786431, "read-only data"), (786432, 917503, "resource section"), (917504, 921599, "relocation section")]
+IMPORT_RANGE = (200000, 204095)
 LAST_REGION_END = max(end for _, _, end in REGIONS)
 
 

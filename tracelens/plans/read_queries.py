@@ -136,7 +136,7 @@ TABLE = {
     "b2_length_bands": (b2, sql(B2_SQL)),
     "b3_region_class": (lambda s, d: A.regions(s).select("region_name", region_class().alias("region_class")).join(R.by_region(A.completed(s, d), A.regions(s)), "region_name").groupBy("region_name", "region_class").agg(F.count("*").alias("traces")), sql(f"SELECT region_name, {class_of()} AS region_class, count(*) AS traces FROM byreg GROUP BY ALL")),
     "b4_point_region": (lambda s, d: R.point_region(A.completed(s, d).select("trace_id", "event_order", "file_id", "read_offset"), A.regions(s)).drop("file_id"), sql(f"SELECT trace_id, event_order, read_offset, {POINT.format('read_offset')} AS region FROM ok")),
-    "b5_read_annotations": (ok(Q.annotated), sql(f"SELECT trace_id, n AS read_number, read_offset, printf('0x%08X', read_offset) AS hex_offset, length, read_offset + length AS read_end, {NOTE_SQL} AS note FROM seq")),
+    "b5_read_annotations": (ok(lambda r: Q.annotated(r, A.NOTE_RANGES)), sql(f"SELECT trace_id, n AS read_number, read_offset, printf('0x%08X', read_offset) AS hex_offset, length, read_offset + length AS read_end, {NOTE_SQL} AS note FROM seq")),
     "b6_coverage_status": (mapped(R.coverage_status), sql(f"SELECT trace_id, region_name, region_size, covered, round(pct, 6) AS coverage_pct, {STATUS_SQL} AS status FROM (SELECT trace_id, coalesce(region_name, 'TOTAL') AS region_name, {big('sum(s)')} AS region_size, {big('sum(c)')} AS covered, 100.0 * sum(c) / sum(s) AS pct FROM (SELECT t.trace_id, r.region_name, r.end_offset - r.start_offset + 1 AS s, coalesce(v.covered, 0) AS c FROM (SELECT DISTINCT trace_id FROM ok) t CROSS JOIN regions r LEFT JOIN regcov v ON v.trace_id = t.trace_id AND v.region_name = r.region_name) GROUP BY GROUPING SETS ((trace_id, region_name), (trace_id)))")),
     "b7_amplification_band": (ok(lambda r: S.read_stats(r).select("trace_id", "read_amplification", F.when(F.col("read_amplification") > 3, "high").when(F.col("read_amplification") > 1.5, "medium").otherwise("low").alias("band"))), sql("SELECT trace_id, round(read_amplification, 6) AS read_amplification, CASE WHEN read_amplification > 3 THEN 'high' WHEN read_amplification > 1.5 THEN 'medium' ELSE 'low' END AS band FROM stats")),
     "b8_pattern_class": (ok(S.pattern_class), sql(CLASS_SQL, FEATURES_SQL)),
@@ -185,5 +185,5 @@ TABLE = {
     "g6_rule_matches": (timed(lambda e: L.rule_matches(e, RULES)), sql(f"SELECT t.trace_id, r.rule_ord, r.phase, p.rule IS NOT NULL AS matched FROM (SELECT DISTINCT trace_id FROM entries) t CROSS JOIN (VALUES {', '.join(f"({k}, '{r[0]}')" for k, r in enumerate(RULES))}) r(rule_ord, phase) LEFT JOIN phases p ON p.trace_id = t.trace_id AND p.rule = r.rule_ord", *PHASES)),
     "g7_phase_summary": (timed(lambda e: L.phase_summary(e, RULES)), sql("SELECT c.trace_id, CASE WHEN c.phases = 0 THEN 'No phases detected.' ELSE 'Detected ' || c.phases || ' phase(s): ' || l || '; confidence ' || CAST(round(100 * CAST(c.confidence AS DOUBLE)) AS INT) || '%' END AS summary FROM confidence c LEFT JOIN (SELECT trace_id, string_agg(phase, ', ' ORDER BY start_us, rule) AS l FROM phases GROUP BY trace_id) USING (trace_id)", *PHASES)),
     "g8_phase_counts": (timed(lambda e: L.phase_counts(e, RULES)), sql("SELECT phase, count(*) AS traces FROM phases GROUP BY phase", *PHASES)),
-    "g9_candidate_rules": (ok(L.candidate_rules), sql(" UNION ALL ".join(f"SELECT trace_id, '{k}' AS predicate, {big(f'count(*) FILTER ({t})')} AS hits, round(count(*) FILTER ({t}) / count(*), 6) AS share FROM lagged GROUP BY trace_id" for k, t in (("offset zero", "read_offset = 0"), ("tail read", "read_offset + length >= file_size"), ("import range", "read_offset BETWEEN 200000 AND 204095"), ("bulk 512K", "length = 524288"), ("alternation", "length IN (262144, 258048) AND prev_length IN (262144, 258048) AND length <> prev_length"))), ("lagged", f"SELECT *, lag(length) OVER {W} AS prev_length FROM ok"))),
+    "g9_candidate_rules": (ok(lambda r: L.candidate_rules(r, A.IMPORT_RANGE)), sql(" UNION ALL ".join(f"SELECT trace_id, '{k}' AS predicate, {big(f'count(*) FILTER ({t})')} AS hits, round(count(*) FILTER ({t}) / count(*), 6) AS share FROM lagged GROUP BY trace_id" for k, t in (("offset zero", "read_offset = 0"), ("tail read", "read_offset + length >= file_size"), ("import range", "read_offset BETWEEN 200000 AND 204095"), ("bulk 512K", "length = 524288"), ("alternation", "length IN (262144, 258048) AND prev_length IN (262144, 258048) AND length <> prev_length"))), ("lagged", f"SELECT *, lag(length) OVER {W} AS prev_length FROM ok"))),
 }
