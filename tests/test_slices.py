@@ -85,3 +85,32 @@ def test_components_against_numpy(spark):
     assert X.pca_projection(z.limit(0)).count() == 0
     one = X.pca_projection(z.where("feature = 'f0'")).orderBy("trace_id").collect()
     assert np.allclose([r.pc1 for r in one], made[:, 0]) and {r.pc2 for r in one} == {None}
+
+
+@pytest.mark.parametrize("on", [False, True])
+def test_measures_off_shared_counts_are_those_of_the_operators(spark, hot, on):
+    frame = reads(spark).where("trace_id IS NOT NULL")
+    hot(False)
+    coverage = S.byte_coverage(frame).select("trace_id", (100 * F.col("coverage")).alias("coverage_pct"))
+    want = S.read_stats(frame)
+    for part in (coverage, S.block_coverage(frame).select("trace_id", "block_coverage_pct"), S.offset_entropy(frame), S.alignment(frame), S.read_size_stats(frame)):
+        want = want.join(part, "trace_id")
+    rows = lambda df: [{k: pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for k, v in r.asDict().items()} for r in df.orderBy("trace_id").collect()]
+    want = rows(want)
+    hot(on)
+    assert [r.asDict() for r in S.counted_measures(frame).orderBy("trace_id").collect()] == want
+    assert len(want) == 6
+
+
+def test_trace_metrics_scan_the_reads_once_for_each_order(spark, hot, data):
+    from tracelens.operators import cross as X
+
+    hot(False)
+    plan = X.trace_metrics(A.completed(spark, data), A.regions(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 3
+
+
+def test_percentiles_of_lengths_are_interpolated(spark):
+    rows = [(1, v) for v in [10, 10, 10, 20, 400]] + [(2, 7), (3, None), (3, 1), (3, 2)]
+    found = {r.trace_id: tuple(r)[1:] for r in S.size_distribution(spark.createDataFrame(rows, "trace_id LONG, length LONG")).collect()}
+    assert found[1] == pytest.approx((10, 10, 10, 20, 324)) and found[2] == (7.0,) * 5 and found[3] == pytest.approx((1.05, 1.25, 1.5, 1.75, 1.95))

@@ -22,15 +22,13 @@ CORRELATED = SUMMARY[:13]
 
 
 def trace_metrics(reads: DataFrame, regions: DataFrame) -> DataFrame:
-    """One wide row per trace; every part is keyed by trace_id."""
-    size = reads.groupBy("trace_id").agg(F.max("file_size").alias("file_size"), ((F.max(micros()) - F.min(micros())) / 1e6).alias("duration_seconds"), count_where(F.col("read_offset") + F.col("length") > F.col("file_size")).alias("reads_beyond_eof"))
-    parts = [
-        S.read_stats(reads), S.byte_coverage(reads).select("trace_id", (100 * F.col("coverage")).alias("coverage_pct")), S.block_coverage(reads).select("trace_id", "block_coverage_pct"), S.offset_entropy(reads), Q.sequential_metrics(reads),
-        Q.scan_passes(reads), S.read_size_stats(reads), S.alignment(reads),
-    ]
-    out = size
-    for part in parts:
-        out = out.join(part, "trace_id")
+    """One wide row per trace: one exchange of ordered reads, one of their counts by offset and length, one of the regions that they touch."""
+    us = micros()
+    ordered = Q.steps(reads).groupBy("trace_id").agg(
+        F.max("file_size").alias("file_size"), ((F.max(us) - F.min(us)) / 1e6).alias("duration_seconds"), count_where(F.col("read_offset") + F.col("length") > F.col("file_size")).alias("reads_beyond_eof"),
+        *Q.jump_measures(), *Q.pass_measures(),
+    )
+    out = ordered.join(S.counted_measures(reads), "trace_id")
     touched = R.by_region(reads, regions).groupBy("trace_id").agg(F.count("*").alias("region_count"))
     return out.join(touched, "trace_id", "left").withColumn("region_count", F.coalesce("region_count", F.lit(0)))
 

@@ -33,21 +33,29 @@ def annotated(reads: DataFrame, ranges: list[tuple[int, int, str]] = NOTE_RANGES
     return out.select("trace_id", "read_number", "read_offset", "hex_offset", "length", "read_end", annotation(ranges).alias("note"))
 
 
-def sequential_metrics(reads: DataFrame) -> DataFrame:
-    """Contiguous and forward shares and mean start jump over the n - 1 steps; 1, 1, 0 for a single read."""
+def jump_measures() -> list[Column]:
+    """Aggregates over steps(): contiguous and forward shares and mean start jump over the n - 1 steps; 1, 1, 0 for a single read."""
     n = F.count("before")
-    return steps(reads).groupBy("trace_id").agg(
+    return [
         F.coalesce(ratio(count_where(F.col("read_offset") == F.col("before")), n), F.lit(1.0)).alias("contiguous"),
         F.coalesce(ratio(count_where(F.col("read_offset") >= F.col("previous")), n), F.lit(1.0)).alias("forward"),
         F.coalesce(ratio(F.sum(F.abs(F.col("read_offset") - F.col("previous"))), n), F.lit(0.0)).alias("avg_jump"),
-    )
+    ]
 
 
-def scan_passes(reads: DataFrame) -> DataFrame:
-    """A pass starts below the greatest offset so far, right after a read at or beyond what was the greatest then."""
-    rows = steps(reads)
+def sequential_metrics(reads: DataFrame) -> DataFrame:
+    return steps(reads).groupBy("trace_id").agg(*jump_measures())
+
+
+def pass_measures() -> list[Column]:
+    """Aggregates over steps(): a pass starts below the greatest offset so far, right after a read at or beyond what was the greatest then."""
     start = (F.col("idx") == 0) | ((F.col("read_offset") < F.col("most")) & (F.col("previous") >= F.col("most")))
-    return rows.groupBy("trace_id").agg(count_where(start).alias("passes"), F.array_sort(F.collect_list(F.when(start, F.col("idx")))).alias("starts")).select("trace_id", "passes", F.array_join(F.transform("starts", lambda x: x.cast("string")), ";").alias("pass_starts"))
+    starts = F.array_sort(F.collect_list(F.when(start, F.col("idx"))))
+    return [count_where(start).alias("passes"), F.array_join(F.transform(starts, lambda x: x.cast("string")), ";").alias("pass_starts")]
+
+
+def scan_passes(reads: DataFrame) -> DataFrame:
+    return steps(reads).groupBy("trace_id").agg(*pass_measures())
 
 
 def pass_labels(reads: DataFrame) -> DataFrame:

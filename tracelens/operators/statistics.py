@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BLOCK, CHUNK_BANDS, DECLINED, READ_OPS
-from ..functions.expressions import in_order, by_trace, band, count_where, ratio, top
+from ..functions.expressions import in_order, by_trace, band, count_where, micros, ratio, top
 from .intervals import covered, islands
-from .slices import cut
+from .slices import cut, hot_bounds, running
 
 
 def layer_split(reads: DataFrame) -> DataFrame:
@@ -42,9 +42,17 @@ def read_size_stats(reads: DataFrame) -> DataFrame:
 
     Lengths are counted first; a quartile is read off the cumulative counts, so that no list of lengths is built.
     """
+    return length_counts(reads).groupBy("trace_id").agg(*size_measures()).select("*", *mode_columns()).drop("_mode")
+
+
+def length_counts(reads: DataFrame) -> DataFrame:
+    """The distinct lengths of a trace with n reads each, upto of them up to this length, and total."""
     counts = reads.groupBy("trace_id", "length").agg(F.count("*").alias("n"))
-    order = by_trace().orderBy("length")
-    upto = counts.select("*", F.sum("n").over(order).alias("upto"), F.sum("n").over(by_trace()).alias("total"))
+    return counts.select("*", F.sum("n").over(by_trace().orderBy("length")).alias("upto"), F.sum("n").over(by_trace()).alias("total"))
+
+
+def size_measures(counted: str = "n") -> list[Column]:
+    """Aggregates over the rows of length_counts(); rows in which these columns are null do not matter."""
 
     def at(position: Column) -> Column:
         """The length at this 1-based position."""
@@ -57,12 +65,54 @@ def read_size_stats(reads: DataFrame) -> DataFrame:
         return F.when(F.max("total") == 1, F.min("length").cast("double")).otherwise((low * (4 - F.max(part)) + high * F.max(part)) / 4.0)
 
     middle = (at(F.expr("(total + 1) div 2")) + at(F.expr("(total + 2) div 2"))) / 2.0
-    n, total, squares = F.sum("n"), F.sum(F.col("n") * F.col("length")), F.sum((F.col("n") * F.col("length")).cast("double") * F.col("length"))
-    return upto.groupBy("trace_id").agg(
+    own = F.col(counted)
+    n, total, squares = F.sum(own), F.sum(own * F.col("length")), F.sum((own * F.col("length")).cast("double") * F.col("length"))
+    return [
         F.min("length").alias("min_read"), F.max("length").alias("max_read"), ratio(total, n).alias("mean_read"), middle.alias("median_read"),
         F.sqrt(F.greatest(squares / n - F.pow(total / n, 2), F.lit(0.0))).alias("std_read"), quartile(1).alias("q1_read"), quartile(3).alias("q3_read"),
-        F.max(F.struct("n", (-F.col("length")).alias("neg"))).alias("m"),
-    ).select("*", (-F.col("m.neg")).alias("mode_read"), F.col("m.n").alias("mode_count")).drop("m")
+        F.max(F.when(own.isNotNull(), F.struct(own.alias("n"), (-F.col("length")).alias("neg")))).alias("_mode"),
+    ]
+
+
+def mode_columns() -> list[Column]:
+    return [(-F.col("_mode.neg")).alias("mode_read"), F.col("_mode.n").alias("mode_count")]
+
+
+def counted_measures(reads: DataFrame) -> DataFrame:
+    """read_stats, read_size_stats, alignment, and the coverages and entropy of a trace's offsets, one row a trace.
+
+    Reads are counted by offset and by length in one exchange; what follows works on the counts. A trace's file_size is
+    taken to be one value. Where a trace is hot, its counts are cut into slices.
+    """
+    sets = reads.groupingSets([["trace_id", "read_offset"], ["trace_id", "length"]], "trace_id", "read_offset", "length")
+    counts = sets.agg(F.grouping("read_offset").alias("kind"), F.count("*").alias("n"), F.sum(F.col("length")).alias("bytes"), F.max(F.col("read_offset") + F.col("length")).alias("hi"), F.max("file_size").alias("file_size"))
+    by_offset, by_length = F.col("kind") == 0, F.col("kind") == 1
+    rows = counts.select("trace_id", "kind", F.when(by_length, F.col("length")).otherwise(F.col("read_offset")).alias("value"), "n", "bytes", "hi", "file_size")
+    keys = ["trace_id", "kind"]
+    sliced = hot_bounds(reads, ["trace_id"], micros()) is not None
+    if sliced:
+        rows = cut(rows, keys, F.col("value"))
+    block = F.expr(f"value div {BLOCK}")
+    ran = running(rows, keys, ["value"], _n=("sum", F.col("n")), _reach=("max", F.col("hi")), _block=("last", block))
+    # only lengths need their total, so that a hot trace's offsets stay spread
+    all_ = F.sum("n").over(Window.partitionBy(*keys, *([F.when(by_offset, F.col("value"))] if sliced else [])))
+    in_cell = F.sum("n").over(Window.partitionBy(*keys, F.when(by_offset, F.least(block, blocks_in_file() - 1))))
+    wide = ran.select(
+        "trace_id", "file_size", F.when(by_length, F.col("value")).alias("length"), F.when(by_length, F.col("n")).alias("own"), F.when(by_length, F.col("_n") + F.col("n")).alias("upto"), F.when(by_length, all_).alias("total"),
+        *[F.when(by_offset, c).alias(name) for name, c in {
+            "n": F.col("n"), "bytes": F.col("bytes"), "aligned": F.when(F.col("value") % BLOCK == 0, F.col("n")).otherwise(0), "cell_log": F.col("n") * F.log2(in_cell),
+            "new_block": F.when(F.col("_block") == block, 0).otherwise(1), "beyond": F.greatest(F.col("hi") - F.greatest(F.col("value"), F.coalesce("_reach", F.col("value"))), F.lit(0)),
+        }.items()],
+    )
+    n, size, blocks = F.sum("n"), F.max("file_size"), F.max(blocks_in_file())
+    aligned = ratio(F.sum("aligned"), n)
+    entropy = F.greatest(F.log2(n) - F.sum("cell_log") / n, F.lit(0.0))
+    found = wide.groupBy("trace_id").agg(
+        n.alias("total_reads"), F.count("n").alias("unique_offsets"), (n - F.count("n")).alias("repeated_reads"), F.sum("bytes").alias("bytes_read"), F.coalesce(ratio(F.sum("bytes"), size), F.lit(0.0)).alias("read_amplification"),
+        (100 * F.least(ratio(F.sum("beyond"), size), F.lit(1.0))).alias("coverage_pct"), (100 * ratio(F.sum("new_block"), blocks)).alias("block_coverage_pct"),
+        F.coalesce(F.try_divide(entropy, F.nullif(F.log2(blocks), F.lit(0.0))), F.lit(0.0)).alias("offset_entropy"), (aligned * 100).alias("aligned_pct"), (1 - aligned).alias("unaligned_fraction"), *size_measures("own"),
+    )
+    return found.select("*", *mode_columns()).drop("_mode")
 
 
 def alignment(reads: DataFrame) -> DataFrame:
@@ -146,8 +196,16 @@ def offset_histogram(reads: DataFrame, bins: int = 64) -> DataFrame:
 
 
 def size_distribution(reads: DataFrame) -> DataFrame:
-    points = F.percentile("length", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    return reads.groupBy("trace_id").agg(points.alias("p")).select("trace_id", *[F.get("p", k).alias(name) for k, name in enumerate(("p05", "p25", "p50", "p75", "p95"))])
+    """Interpolated percentiles of the lengths, read off their cumulative counts."""
+
+    def percentile(share: float) -> Column:
+        place = share * (F.col("total") - 1)
+        at = lambda k: F.min(F.when(F.col("upto") > k, F.col("length")))
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return F.when(low == high, low.cast("double")).otherwise((1 - part) * low + part * high)
+
+    shares = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    return length_counts(reads.where("length IS NOT NULL")).groupBy("trace_id").agg(*[percentile(share).alias(name) for name, share in shares.items()])
 
 
 def coverage_cells(spans: DataFrame, keys: list[str], width: int = 80) -> DataFrame:
