@@ -1,11 +1,12 @@
-"""A scratch folder that driver and executors share."""
+"""A scratch folder that driver and executors share, and how rows are dealt over the files of one."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -16,3 +17,13 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = scratch.base = "file://" + tempfile.mkdtemp(prefix="tracelens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` with all rows of a key in one task, over a stated number of tasks.
+
+    A repartition by the keys themselves is left out over a union whose sides are dealt by them, and then each side gets files of its
+    own; without a number it is merged to few tasks by bytes, whatever number of files these have to write.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), F.xxhash64(*keys))

@@ -35,8 +35,11 @@ WHOLE_LINE = r'^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*)){6}$'
 
 
 def lines(spark: SparkSession, path: str, trace: str = IN_NAME) -> DataFrame:
-    """trace_id, path, block, line and value of every line of the files, the header lines too (is_header); is_text where its bytes are UTF-8."""
-    rows = spark.read.text(path).select(F.is_valid_utf8("value").alias("is_text"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), F.col("_metadata.file_path").alias("path"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    """trace_id, path, block, line and value of every line of the files, the header lines too (is_header); is_text where its bytes are UTF-8.
+
+    A folder is listed with all below it, in tasks; a pattern is resolved by the driver, folder by folder.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select(F.is_valid_utf8("value").alias("is_text"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), F.col("_metadata.file_path").alias("path"), F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     header = F.regexp_replace("value", '"', "") == ",".join(HEADERS)
     return rows.select(F.regexp_extract("path", trace, 1).try_cast("long").alias("trace_id"), "*", ((F.col("block.file_block_start") == 0) & header).alias("is_header"))
 
