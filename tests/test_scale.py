@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import compare
+from tracelens.functions.expressions import fixed
 from tracelens.functions.storage import dealt
 from tracelens.operators import cross as X
 from tracelens.operators import statistics as S
@@ -42,3 +43,10 @@ def test_files_of_a_quarantine_are_whole_where_sides_are_merged_apart(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+
+
+def test_a_double_as_text_is_rounded_by_its_binary_value(spark):
+    rng = random.Random(5)
+    values = [None, 0.0625, 0.3125, 1.0005, 2.0015, 0.0005, 12.0625, 1e17, 123456.7895, 0.0, -2.0625, *(rng.randrange(10**9) / 1e4 + 0.00005 for _ in range(500)), *(rng.randrange(10**6) / 16 for _ in range(200))]
+    rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE").select("v", fixed(F.col("v"), 3).alias("t")).collect()
+    assert [(r.v, r.t) for r in rows] == [(v, None if v is None else f"{v:.3f}") for v in values]

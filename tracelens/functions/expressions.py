@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +10,6 @@ from pyspark.sql import types as T
 from .constants import CHUNK_BANDS, READ_OPS, REGION_CLASSES
 
 
-
 def by_trace() -> WindowSpec:
     return Window.partitionBy("trace_id")
 
@@ -53,6 +53,15 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A double as text with so many decimals, as C's printf writes it: its binary value is rounded, ties to even. format_string rounds its shortest decimal form, ties up."""
+
+    def texts(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.{places}f}", na_action="ignore").astype(object)
+
+    return F.pandas_udf(texts, "string")(value)
+
+
 def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 

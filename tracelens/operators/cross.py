@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CHUNK_BANDS, LIBRARY_BANDS, VECTOR_CLASSES
-from ..functions.expressions import band, count_where, micros, ratio, region_class, top
+from ..functions.expressions import band, count_where, fixed, micros, ratio, region_class, top
 from ..functions.storage import scratch
 from . import regions as R
 from . import sequence as Q
@@ -228,8 +228,8 @@ def rule_outliers(metrics: DataFrame, phases: DataFrame, overlay: DataFrame, pro
 
 def anomaly_report(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """All anomalies in one schema with their rank in the order (trace, type, metric)."""
-    z = zscore_outliers(metrics).select("trace_id", F.lit("z-score outlier").alias("type"), "metric", F.format_string("%.3f", "value").alias("value"))
-    iqr = iqr_outliers(metrics).select("trace_id", F.lit("IQR outlier").alias("type"), "metric", F.format_string("%.3f", "value").alias("value"))
+    z = zscore_outliers(metrics).select("trace_id", F.lit("z-score outlier").alias("type"), "metric", fixed(F.col("value"), 3).alias("value"))
+    iqr = iqr_outliers(metrics).select("trace_id", F.lit("IQR outlier").alias("type"), "metric", fixed(F.col("value"), 3).alias("value"))
     both = z.unionByName(iqr).unionByName(rules)
     return both.select("*", F.row_number().over(Window.partitionBy("trace_id").orderBy("type", "metric", "value")).alias("place"))
 
@@ -246,7 +246,7 @@ def findings(metrics: DataFrame, entries: DataFrame, reads: DataFrame, regions:
     parts = [
         entries.where("pos = 1 AND region = 'DOS Header'").agg(*row("first region is the DOS header", F.count("*"), F.lit(""))),
         probes.where("tail_probe_library").agg(*row("tail probes", F.count("*"), F.lit(""))),
-        metrics.agg(*row("read amplification", F.count("*"), F.concat(F.format_string("mean %.2f, worst trace ", F.avg("read_amplification")), worst.cast("string")))),
+        metrics.agg(*row("read amplification", F.count("*"), F.concat(F.lit("mean "), fixed(F.avg("read_amplification"), 2), F.lit(", worst trace "), worst.cast("string")))),
         every.agg(*row("regions touched in every trace", F.count("*"), F.array_join(F.array_sort(F.collect_list("region_name")), ", "))),
         wide.agg(*row("trace and band pairs of 256 KiB and more", F.count("*"), F.lit(""))),
         header.agg(*row("headers re-read", F.count("*"), F.lit(""))),
