@@ -50,3 +50,21 @@ def test_a_double_as_text_is_rounded_by_its_binary_value(spark):
     values = [None, 0.0625, 0.3125, 1.0005, 2.0015, 0.0005, 12.0625, 1e17, 123456.7895, 0.0, -2.0625, *(rng.randrange(10**9) / 1e4 + 0.00005 for _ in range(500)), *(rng.randrange(10**6) / 16 for _ in range(200))]
     rows = spark.createDataFrame([(v,) for v in values], "v DOUBLE").select("v", fixed(F.col("v"), 3).alias("t")).collect()
     assert [(r.v, r.t) for r in rows] == [(v, None if v is None else f"{v:.3f}") for v in values]
+
+
+def test_packed_files_give_the_rows_of_single_ones(spark, tmp_path):
+    rows = A.raw_rows(spark, "/root/testdata/sf0.001").withColumn("part", F.lit(0))
+    V.pack(rows, str(tmp_path / "packed"), "event_order")
+    ours = V.scan_packed(spark, str(tmp_path / "packed"), placed=True)
+    assert ours.inputFiles() and len(ours.inputFiles()) <= max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert sorted(map(tuple, ours.select("trace_id", *V.NAMES).collect())) == sorted(map(tuple, rows.select("trace_id", *V.NAMES).collect()))
+    days = rows.select("trace_id").distinct().select("trace_id", F.lit(None).cast("date").alias("day"), F.lit(1).alias("file_id"), F.lit(2).alias("file_size"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = V.timed(V.reads(ours), days).select("trace_id", "event_order", "read_offset").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = V.reads(rows).select("trace_id", F.row_number().over(Window.partitionBy("trace_id").orderBy("event_order")).cast("long").alias("event_order"), "read_offset").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want))

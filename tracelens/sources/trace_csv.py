@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import PROFILES, READ_OPS
+from ..functions.storage import dealt
 
 HEADERS = ["Time of Day", "Process Name", "PID", "Operation", "Path", "Result", "Detail"]
 NAMES = ["time_of_day", "process_name", "pid", "operation", "path", "result", "detail"]
 RAW = T.StructType([T.StructField(h, T.StringType()) for h in HEADERS])
+#: Columns before the seven in packed files, which hold many captures, each in one piece.
+PACK = ["Capture", "Part"]
+PACKED = T.StructType([T.StructField(h, T.StringType()) for h in PACK + HEADERS])
 #: Where the number of a trace stands in its file's path: in the file's name, or in the name of its folder.
 IN_NAME, IN_FOLDER = r"(\d+)[^/]*$", r"(\d+)/[^/]*$"
 DAY_US = 86_400_000_000
@@ -30,6 +34,23 @@ def scan(spark: SparkSession, path: str, *, trace: str = IN_NAME, placed: bool =
     return rows.select(found, *[F.col(f"`{h}`").alias(n) for h, n in zip(HEADERS, NAMES)], *(place if placed else []))
 
 
+def pack(rows: DataFrame, path: str, *order: str) -> None:
+    """Append raw rows (trace_id, part and the seven) to a folder of packed files: a part lies in one file, its rows in the given order.
+
+    The number of files is that of the tasks, not that of the captures, of which each costs a folder, a file and its checksum otherwise.
+    """
+    rows = dealt(rows, "trace_id").sortWithinPartitions("trace_id", "part", *order)
+    named = [F.col("trace_id").alias("Capture"), F.col("part").alias("Part"), *[F.col(n).alias(h) for h, n in zip(HEADERS, NAMES)]]
+    rows.select(*named).write.mode("append").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+
+
+def scan_packed(spark: SparkSession, path: str, *, placed: bool = False) -> DataFrame:
+    """Raw rows of packed files, as scan() gives them: the number of the trace is in the row."""
+    rows = spark.read.schema(PACKED).option("header", True).option("enforceSchema", False).option("quote", '"').option("escape", '"').csv(path)
+    place = [F.struct("_metadata.file_path", "_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    return rows.select(F.col("Capture").try_cast("long").alias("trace_id"), *[F.col(f"`{h}`").alias(n) for h, n in zip(HEADERS, NAMES)], *(place if placed else []))
+
+
 #: A line of seven fields, each plain or quoted with doubled quotes inside.
 WHOLE_LINE = r'^(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*)){6}$'
 
