@@ -68,3 +68,19 @@ def test_packed_files_give_the_rows_of_single_ones(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     want = V.reads(rows).select("trace_id", F.row_number().over(Window.partitionBy("trace_id").orderBy("event_order")).cast("long").alias("event_order"), "read_offset").collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, want))
+
+
+def test_packed_parts_wait_for_an_empty_one(spark, tmp_path):
+    row = lambda trace, part, at: (trace, part, "1:00:00.0000000 AM", "a.exe", "12", "ReadFile", "C:\\x", "SUCCESS", f"Offset: {at}, Length: 10")
+    captures = spark.createDataFrame([(7, None, 1, 2)], "trace_id LONG, day DATE, file_id LONG, file_size LONG")
+    schema = ", ".join(["trace_id LONG", "part LONG", *(f"{n} STRING" for n in V.NAMES)])
+
+    def arrive(*rows):
+        V.pack(spark.createDataFrame(list(rows), schema), str(tmp_path / "in"))
+        query = T.append_timed(spark, str(tmp_path / "in"), captures, str(tmp_path / "out"), str(tmp_path / "mark"), packed=True)
+        query.awaitTermination()
+        assert query.exception() is None
+        return sorted((r.trace_id, r.event_order, r.read_offset) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert arrive(row(7, 0, 1), row(7, 2, 3), row(8, 0, 5)) == [(7, 1, 1), (8, 1, 5)]
+    assert arrive((7, 1, *V.HEADERS)) == [(7, 1, 1), (7, 2, 3), (8, 1, 5)]

@@ -28,12 +28,15 @@ PART_IN_NAME, PART_IN_FOLDER = r"(\d+)[^/\d]*$", r"part=(\d+)/[^/]*$"
 TRACE_IN_NAME, TRACE_IN_FOLDER = r"(\d+)-\d+[^/\d]*$", r"trace_id=(\d+)/[^/]*/[^/]*$"
 
 
-def stream_raw(spark: SparkSession, folder: str, *, trace: str = trace_csv.IN_NAME, part: str | None = None, header: bool = True, files: int = 10_000) -> DataFrame:
-    """Raw rows of the CSV files that arrive in a folder, `files` of them in a micro-batch at most; with header=False header lines are rows too."""
-    rows = spark.readStream.schema(trace_csv.RAW).option("header", header).option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", files).csv(folder)
-    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("long")
-    place = [number(part).alias("part"), F.col("_metadata.file_block_start").alias("block")] if part else []
-    return rows.select(number(trace).alias("trace_id"), *[F.col(f"`{h}`").alias(n) for h, n in zip(trace_csv.HEADERS, trace_csv.NAMES)], *place)
+def stream_raw(spark: SparkSession, folder: str, *, trace: str = trace_csv.IN_NAME, part: str | None = None, header: bool = True, files: int = 10_000, packed: bool = False) -> DataFrame:
+    """Raw rows of the CSV files that arrive in a folder, `files` of them in a micro-batch at most; with header=False header lines are rows too.
+
+    In `packed` files (trace_csv.pack) the numbers of trace and part are in the row; a part lies in one file.
+    """
+    rows = spark.readStream.schema(trace_csv.PACKED if packed else trace_csv.RAW).option("header", header).option("quote", '"').option("escape", '"').option("maxFilesPerTrigger", files).csv(folder)
+    number = lambda pattern, column: (F.col(column) if packed else F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)).try_cast("long")
+    place = [number(part, "Part").alias("part"), F.col("_metadata.file_block_start").alias("block")] if part else []
+    return rows.select(number(trace, "Capture").alias("trace_id"), *[F.col(f"`{h}`").alias(n) for h, n in zip(trace_csv.HEADERS, trace_csv.NAMES)], *place)
 
 
 def stream_reads(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -86,12 +89,12 @@ def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
             yield found[names]
 
 
-def stream_timed(spark: SparkSession, folder: str, captures: DataFrame, *, trace: str = TRACE_IN_NAME, part: str = PART_IN_NAME, files: int = 10_000) -> DataFrame:
+def stream_timed(spark: SparkSession, folder: str, captures: DataFrame, *, trace: str = TRACE_IN_NAME, part: str = PART_IN_NAME, files: int = 10_000, packed: bool = False) -> DataFrame:
     """The streaming twin of trace_csv.timed(): reads of arriving parts (numbered from 0) with ts, event_order, file_id and file_size.
 
-    captures: trace_id, day, file_id, file_size, one row per trace.
+    captures: trace_id, day, file_id, file_size, one row per trace. In packed files a part without rows is a line of its numbers and the seven headers.
     """
-    raw = stream_raw(spark, folder, trace=trace, part=part, header=False, files=files)
+    raw = stream_raw(spark, folder, trace=trace, part=part, header=False, files=files, packed=packed)
     header = F.coalesce((F.col("time_of_day") == trace_csv.HEADERS[0]) & (F.col("operation") == trace_csv.HEADERS[3]), F.lit(False))
     rows = trace_csv.parsed(raw.withColumn("is_header", header), besides=F.col("is_header")).where("reason IS NULL OR is_header").where("trace_id IS NOT NULL AND part IS NOT NULL")
     names = [c.split()[0] for c in PARSED.split(", ") if not c.startswith("line")]
