@@ -84,3 +84,12 @@ def test_packed_parts_wait_for_an_empty_one(spark, tmp_path):
 
     assert arrive(row(7, 0, 1), row(7, 2, 3), row(8, 0, 5)) == [(7, 1, 1), (8, 1, 5)]
     assert arrive((7, 1, *V.HEADERS)) == [(7, 1, 1), (7, 2, 3), (8, 1, 5)]
+
+
+def test_the_store_has_files_by_size_and_not_by_capture(spark, tmp_path):
+    path = str(tmp_path / "store")
+    K.replace(spark.range(300).select(F.col("id").alias("trace_id"), F.lit(1).alias("v")).coalesce(2), path)
+    K.replace(spark.range(0, 300, 3).select(F.col("id").alias("trace_id"), F.lit(2).alias("v")).coalesce(1), path)
+    K.replace(spark.range(0, 300, 6).select(F.col("id").alias("trace_id"), F.lit(3).alias("v")).coalesce(1), path)
+    assert {(r.trace_id, r.v) for r in K.load(spark, path).collect()} == {(k, 3 if k % 6 == 0 else 2 if k % 3 == 0 else 1) for k in range(300)}
+    assert len(list((tmp_path / "store").rglob("part-*.parquet"))) == 4 and K.load(spark, path).columns == ["trace_id", "v"]
