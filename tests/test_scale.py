@@ -93,3 +93,16 @@ def test_the_store_has_files_by_size_and_not_by_capture(spark, tmp_path):
     K.replace(spark.range(0, 300, 6).select(F.col("id").alias("trace_id"), F.lit(3).alias("v")).coalesce(1), path)
     assert {(r.trace_id, r.v) for r in K.load(spark, path).collect()} == {(k, 3 if k % 6 == 0 else 2 if k % 3 == 0 else 1) for k in range(300)}
     assert len(list((tmp_path / "store").rglob("part-*.parquet"))) == 4 and K.load(spark, path).columns == ["trace_id", "v"]
+
+
+def test_cells_are_bits_of_one_row_a_group(spark):
+    spans = [(1, 0, 9, 100), (1, 95, 99, 100), (2, 0, 999_999, 1_000_000), (3, 5, 5, 7), (4, 3, 2, 10), (5, 599, 700, 1000)]
+    for width in (1, 50, 60, 80, 130):
+        found = {r.k: (r.filled, r.drawn) for r in S.coverage_cells(spark.createDataFrame(spans, "k LONG, lo LONG, last LONG, size LONG"), ["k"], width).collect()}
+        want = {}
+        for k, lo, last, size in spans:
+            if lo <= last:
+                want.setdefault(k, set()).update(range(min(lo * width // size, width - 1), min(last * width // size, width - 1) + 1))
+        assert found == {k: (len(c), "".join("#" if i in c else "." for i in range(width))) for k, c in want.items()}
+    plan = S.coverage_cells(spark.createDataFrame(spans, "k LONG, lo LONG, last LONG, size LONG"), ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "collect_set" not in plan

@@ -208,13 +208,27 @@ def size_distribution(reads: DataFrame) -> DataFrame:
     return length_counts(reads.where("length IS NOT NULL")).groupBy("trace_id").agg(*[percentile(share).alias(name) for name, share in shares.items()])
 
 
+WORD = 60
+
+
 def coverage_cells(spans: DataFrame, keys: list[str], width: int = 80) -> DataFrame:
-    """keys, filled and a map of `width` cells from lo and last (inclusive), relative to `size`."""
+    """keys, filled and a map of `width` cells from lo and last (inclusive), relative to `size`.
+
+    A span's cells are bits, 60 in a word, so that a group is one row of words in every task, whatever its spans.
+    """
     cell = lambda c: F.least(F.expr(f"{c} * {width} div size"), F.lit(width - 1))
-    cells = spans.select(*keys, F.explode(F.sequence(cell("lo"), cell("last"))).alias("cell")).distinct()
-    groups = cells.groupBy(*keys).agg(F.collect_set("cell").alias("cells"), F.count("*").alias("filled"))
-    drawn = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(F.array_contains("cells", k.cast("long")), "#").otherwise(".")), "")
-    return groups.select(*keys, "filled", ratio(F.col("filled"), F.lit(width)).alias("filled_fraction"), drawn.alias("drawn"))
+    one, words = F.lit(1).cast("long"), range(-(-width // WORD))
+
+    def bits(k: int) -> Column:
+        first, last = F.greatest(F.col("_first") - WORD * k, F.lit(0)), F.least(F.col("_last") - WORD * k, F.lit(WORD - 1))
+        shifted = lambda c: F.call_function("shiftleft", one, c.cast("int"))
+        return F.when(first <= last, shifted(last + 1) - shifted(first)).otherwise(F.lit(0).cast("long"))
+
+    spanned = spans.where("lo <= last").select(*keys, cell("lo").alias("_first"), cell("last").alias("_last")).where("_first <= _last")
+    groups = spanned.groupBy(*keys).agg(*[F.bit_or(bits(k)).alias(f"_word{k}") for k in words])
+    filled = sum((F.bit_count(f"_word{k}") for k in words), F.lit(0)).cast("long")
+    drawn = F.concat(*[F.reverse(F.lpad(F.bin(f"_word{k}"), WORD, "0")) for k in words])
+    return groups.select(*keys, filled.alias("filled"), ratio(filled, F.lit(width)).alias("filled_fraction"), F.translate(F.substring(drawn, 1, width), "01", ".#").alias("drawn"))
 
 
 def file_cells(reads: DataFrame, width: int = 80) -> DataFrame:
