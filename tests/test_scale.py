@@ -86,6 +86,15 @@ def test_packed_parts_wait_for_an_empty_one(spark, tmp_path):
     assert arrive((7, 1, *V.HEADERS)) == [(7, 1, 1), (7, 2, 3), (8, 1, 5)]
 
 
+def test_listing_takes_only_files_right_in_a_capture(spark, tmp_path):
+    root = tmp_path / "with space"
+    for name in ("1/a.csv", "1/deep/b.csv", "c.csv", "2/manifest.json", "2/deep/manifest.json"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text('{"experiment": 2, "status": "completed"}')
+    assert {(r.capture_id, r.event_bytes) for r in C.listed(spark, str(root)).collect()} == {(1, 40), (2, 0)}
+    assert [r.capture_id for r in C.manifests(spark, str(root)).collect()] == [2]
+
+
 def test_the_store_has_files_by_size_and_not_by_capture(spark, tmp_path):
     path = str(tmp_path / "store")
     K.replace(spark.range(300).select(F.col("id").alias("trace_id"), F.lit(1).alias("v")).coalesce(2), path)

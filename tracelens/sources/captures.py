@@ -34,8 +34,18 @@ def facts(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("capture_id").cast("long").alias("trace_id"), F.to_date("timestamp").alias("day"), F.col("capture_id").cast("long").alias("file_id"), F.col("size").alias("file_size"))
 
 
+def _below(path: str | Column, root: str) -> Column:
+    """The part of a file's path below `root`."""
+    return F.substring_index(path, root.rstrip("/").removeprefix("file://") + "/", -1)
+
+
+def _in_captures(path: str | Column, root: str) -> Column:
+    """Files right in a folder below `root`: `root` is listed as a whole, in tasks, where a pattern would be resolved by the driver, folder by folder."""
+    return F.regexp_count(_below(path, root), F.lit("/")) == 1
+
+
 def manifests(spark: SparkSession, root: str, name: str = "manifest.json", capture: str = IN_FOLDER) -> DataFrame:
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(f"{root}/*/{name}")
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root).where(_in_captures(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), root))
     return rows.select(_capture_of(capture).alias("capture_id"), "status", "sample", "capture")
 
 
@@ -44,7 +54,7 @@ def listed(spark: SparkSession, root: str, *, events: str = "csv", sample: str =
 
     A capture has its events or its sample if it has a file of that suffix, any case, which is not empty.
     """
-    files = spark.read.format("binaryFile").load(f"{root}/*/*").select("path", "length", "modificationTime")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(_in_captures("path", root)).select("path", "length", "modificationTime")
     of = lambda suffix: (F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)) == suffix) & (F.col("length") > 0)
     rows = files.select(F.regexp_extract("path", capture, 1).try_cast("long").alias("capture_id"), of(events).alias("e"), of(sample).alias("s"), "length", "modificationTime").where("capture_id IS NOT NULL")
     return rows.groupBy("capture_id").agg(F.max("e").alias("has_events"), F.max("s").alias("has_sample"), F.coalesce(F.sum(F.when(F.col("e"), F.col("length"))), F.lit(0)).alias("event_bytes"), F.max("modificationTime").alias("newest"))
@@ -85,8 +95,7 @@ def inventory(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES) ->
     """relative_path, size, sha256, category (first folder) of the files with these suffixes below `root`, any case; Spark's reader leaves empty files out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rows = files.where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(suffixes))
-    marker = root.rstrip("/").removeprefix("file://") + "/"
-    relative = F.substring_index("path", marker, -1)
+    relative = _below("path", root)
     return rows.select(relative.alias("relative_path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.when(F.contains(relative, F.lit("/")), F.substring_index(relative, "/", 1)).otherwise("").alias("category"))
 
 
