@@ -115,3 +115,8 @@ def test_cells_are_bits_of_one_row_a_group(spark):
         assert found == {k: (len(c), "".join("#" if i in c else "." for i in range(width))) for k, c in want.items()}
     plan = S.coverage_cells(spark.createDataFrame(spans, "k LONG, lo LONG, last LONG, size LONG"), ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "collect_set" not in plan
+
+
+def test_a_block_of_distances_is_one_shard_against_one_block(spark):
+    rows, asked = pa.table({"b": [1, 2, 3], "vb": [[0.0, 0.0], [3.0, 4.0], [0.0, 0.0]]}), pa.table({"a": [1], "va": [[0.0, 0.0]]})
+    assert X._far(rows, asked).to_pylist() == [{"a": 1, "b": 2, "distance": 5.0}, {"a": 1, "b": 3, "distance": 0.0}]
