@@ -117,6 +117,17 @@ def test_cells_are_bits_of_one_row_a_group(spark):
     assert "Generate" not in plan and "collect_set" not in plan
 
 
+def test_covariance_makes_no_row_per_trace_and_pair(spark):
+    rng = random.Random(1)
+    points = {t: {f: rng.uniform(-2, 2) for f in "abcd" if t % 5 or f != "c"} for t in range(40)}
+    z = spark.createDataFrame([(t, f, v) for t, p in points.items() for f, v in p.items()], "trace_id LONG, feature STRING, z DOUBLE")
+    cov = X.feature_covariance(z)
+    pairs = {(a, b): [p[a] * p[b] for p in points.values() if a in p and b in p] for a in "abcd" for b in "abcd" if a <= b}
+    assert {(r.a, r.b): r.covariance for r in cov.collect()} == {k: pytest.approx(sum(v) / len(v)) for k, v in pairs.items()}
+    assert "Generate" not in cov._jdf.queryExecution().optimizedPlan().toString()
+    assert X.feature_covariance(z.limit(0)).count() == 0
+
+
 def test_a_block_of_distances_is_one_shard_against_one_block(spark):
     rows, asked = pa.table({"b": [1, 2, 3], "vb": [[0.0, 0.0], [3.0, 4.0], [0.0, 0.0]]}), pa.table({"a": [1], "va": [[0.0, 0.0]]})
     assert X._far(rows, asked).to_pylist() == [{"a": 1, "b": 2, "distance": 5.0}, {"a": 1, "b": 3, "distance": 0.0}]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -359,18 +361,40 @@ def trace_vectors(z: DataFrame) -> DataFrame:
     return z.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("feature", "z"))).alias("v"))
 
 
-def feature_covariance(z: DataFrame) -> DataFrame:
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of products and numbers of traces of every pair of features (a <= b) over a task's vectors."""
+    place: dict[str, int] = {}
+    sums = counts = np.zeros((0, 0))
+    for batch in batches:
+        lists = batch.column(0)
+        entries, lengths = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        names = entries.field("feature").dictionary_encode()
+        for name in names.dictionary.to_pylist():
+            place.setdefault(name, len(place))
+        at = np.array([place[name] for name in names.dictionary.to_pylist()], dtype=np.int64)[names.indices.to_numpy()]
+        values, here = np.zeros((len(lengths), len(place))), np.zeros((len(lengths), len(place)))
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        values[row, at], here[row, at] = entries.field("z").to_numpy(), 1.0
+        more = len(place) - len(sums)
+        sums, counts = (np.pad(m, (0, more)) + x.T @ x for m, x in ((sums, values), (counts, here)))
+    names = sorted(place)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k:] if counts[place[a], place[b]] > 0]
+    total = lambda m: [float(m[place[a], place[b]]) for a, b in pairs]
+    yield pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "s": total(sums), "n": total(counts)}, schema=pa.schema([("a", pa.string()), ("b", pa.string()), ("s", pa.float64()), ("n", pa.float64())]))
+
+
+def feature_covariance(z: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """a, b (features, a <= b) and their population covariance; z is centred already.
 
-    The products of a trace's vector are summed in the tasks first, so that at most one row per pair of features leaves each.
+    A task multiplies its traces' vectors as a matrix, so that one row per pair of features leaves each and none is made per trace.
     """
-    pairs = trace_vectors(z).select("v", F.explode("v").alias("x")).select("x", F.explode("v").alias("y")).where("x.feature <= y.feature")
-    return pairs.groupBy(F.col("x.feature").alias("a"), F.col("y.feature").alias("b")).agg((F.sum(F.col("x.z") * F.col("y.z")) / F.count("*")).alias("covariance"))
+    sums = (trace_vectors(z) if vectors is None else vectors).select("v").mapInArrow(_products, "a STRING, b STRING, s DOUBLE, n DOUBLE")
+    return sums.groupBy("a", "b").agg((F.sum("s") / F.sum("n")).alias("covariance"))
 
 
-def principal_components(z: DataFrame, k: int = 2) -> np.ndarray:
+def principal_components(z: DataFrame, k: int = 2, vectors: DataFrame | None = None) -> np.ndarray:
     """The first k unit eigenvectors of the features' covariance, one per row; the entry of largest size is positive."""
-    found = feature_covariance(z).collect()  # at most one row per pair of FEATURES
+    found = feature_covariance(z, vectors).collect()  # at most one row per pair of FEATURES
     place = {name: n for n, name in enumerate(sorted({r.a for r in found}))}
     matrix = np.zeros((len(place), len(place)))
     for r in found:
@@ -381,8 +405,9 @@ def principal_components(z: DataFrame, k: int = 2) -> np.ndarray:
 
 def pca_projection(z: DataFrame, k: int = 2) -> DataFrame:
     """trace_id and pc1 to pck: the traces' vectors on the first principal components, null where there are fewer."""
-    axes = principal_components(z, k)
-    own = trace_vectors(z).select("trace_id", F.col("v.z").alias("v"))
+    rows = kept(trace_vectors(z), "trace-vectors")  # of the two passes, neither makes the features anew
+    axes = principal_components(z, k, rows)
+    own = rows.select("trace_id", F.col("v.z").alias("v"))
 
     def on(axis: np.ndarray) -> Column:
         return F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axis]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
