@@ -242,6 +242,16 @@ def test_ngram_join_defined_cases(spark):
     assert N.similar_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("signatures, most", [(200, 1), (3, 3)])
+def test_pairs_of_many_signatures_are_offered_once(spark, signatures, most):
+    """Forty sets that sketches can't tell apart share all their signatures: before, each of 200 signatures gave every pair out."""
+    nodes = spark.createDataFrame([(k, 20, np.array([7], np.uint64).tobytes()) for k in range(40)], "node LONG, n INT, bits BINARY")
+    split = spark.createDataFrame([(s * 7919, k, k, 40) for s in range(signatures) for k in range(40)], "sig LONG, node LONG, root LONG, members LONG")
+    pairs = [(r.u, r.v) for r in N.offered(split, nodes, 80, 100).collect()]
+    assert set(pairs) == {(u, v) for v in range(40) for u in range(v)}
+    assert len(pairs) <= most * 780
+
+
 def test_one_document_of_each_group_stays(spark):
     docs = spark.createDataFrame([(3, "a b c d e f", 1), (2, "a b c d e f", 2), (2, "a b c d e f", 3), (9, "", 4), (8, None, 5)], "doc_id LONG, text STRING, component_id INT")
     kept = N.one_of_each(docs)

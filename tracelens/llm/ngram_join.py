@@ -15,7 +15,8 @@ A chunk of texts sends its signatures as packed, sorted lists to buckets of the
 that they belong to; a signature that many sets of a chunk have sends its least set alone, and the others travel spread
 over all buckets. Sets that share a signature are candidates: each signature's members are first held against its leader,
 then, where they still belong to different components, against each other in blocks of bounded size. Parity sketches of
-the sets rule most pairs out; every link is checked on the whole sets. Of the pairs that sketches leave between
+the sets rule most pairs out; every link is checked on the whole sets. Sets that share many signatures are given out by one
+of them, the least of a sample that both know; those that share none of the sample, by all. Of the pairs that sketches leave between
 components, each set's nearest are checked first, then ever more, and those whose ends have met meanwhile never.
 
 Equal sets are one node: that is, equal size and equal 64-bit hash of the sorted shingle hashes.
@@ -46,6 +47,7 @@ CROWD = 4  #: sets of a chunk that share a signature, beyond which they travel s
 BUCKET_CHARS = 5_000_000  #: characters of text whose signatures (about 700,000) meet in a bucket
 SMALL, BLOCK = 32, 1024  #: members of a signature up to which a task takes many signatures; members in a block beyond that
 ROWS = 4_000  #: members that a task of many signatures takes at once
+SAMPLE = 8  #: one signature in so many is known to its members, and may give a pair out for all that the pair shares
 BROADCAST_ROWS = 1_000_000  #: rows of two or three long columns up to which a table is broadcast (24 MB); beyond, both sides are shuffled
 ODD = 0x9E3779B97F4A7C15
 ALL = (1 << 64) - 1
@@ -334,24 +336,27 @@ def similar_pairs(pairs: DataFrame, own: DataFrame, similar: int, of: int) -> Da
     return right.join(shipped(pairs), "v").join(left, "u").where(of * both >= similar * (F.size("left") + F.size("right") - both)).select("u", "v")
 
 
-def between(split: DataFrame, nodes: DataFrame, similar: int, of: int) -> DataFrame:
+def offered(split: DataFrame, nodes: DataFrame, similar: int, of: int) -> DataFrame:
     """u, v, d of pairs of members of one signature, in different components, that sizes and sketches do not rule out.
 
     `split` has sig, node, root and members. Signatures of few members are taken many at a time. Beyond SMALL members
-    they are dealt into blocks of about BLOCK; a task holds two blocks at a time. A pair turns up in many signatures: each
-    task gives it out once, and the tasks' pairs are merged.
+    they are dealt into blocks of about BLOCK; a task holds two blocks at a time. A pair turns up in all signatures that it
+    shares. Each set knows those of its signatures that are in the sample: the least one that both sets know gives the pair
+    out. What shares none of the sample shares few, and comes once from each task.
     """
     blocks = F.when(F.col("members") > SMALL, F.ceil(F.col("members") / BLOCK).cast("int")).otherwise(F.lit(1))
     many = max(1, -(-split.where(F.col("members") <= SMALL).count() // ROWS))
-    own = nodes.select("node", "n", "bits").join(split, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    known = split.where(F.pmod(F.xxhash64("sig"), F.lit(SAMPLE)) == 0).groupBy("node").agg(F.collect_set("sig").alias("known"))
+    own = nodes.select("node", "n", "bits").join(split, "node").join(known, "node", "left").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     lot = F.when(F.col("members") > SMALL, F.col("sig")).otherwise(F.pmod(F.xxhash64("sig"), F.lit(many)))
     dealt = own.select("*", lot.alias("lot"), (F.col("members") > SMALL).alias("big"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("sig", "node", "root", "n", "bits", "block", "lot", "big", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("sig", "node", "root", "n", "bits", "known", "block", "lot", "big", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def near(group: pa.Table) -> pa.Table:
         group = group.sort_by([("sig", "ascending"), ("node", "ascending")])
         sig, node, root, n, block = (group.column(c).to_numpy() for c in ("sig", "node", "root", "n", "block"))
         rows = [np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()]
+        known = [frozenset(x or ()) for x in group.column("known").to_pylist()]
         within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
         u, v, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         ends = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig)).tolist()
@@ -369,13 +374,20 @@ def between(split: DataFrame, nodes: DataFrame, similar: int, of: int) -> DataFr
                     continue
                 far = np.bitwise_count(words[a] ^ words[b]).sum(1, dtype=np.int64)
                 fits = (far * (of + similar) <= (n[ga] + n[gb]) * (of - similar)) & (of * np.minimum(n[ga], n[gb]) >= similar * np.maximum(n[ga], n[gb]))
+                here = int(sig[start])
+                fits[fits] = [min(known[x] & known[y], default=here) == here for x, y in zip(ga[fits].tolist(), gb[fits].tolist())]
                 u.append(node[ga[fits]])
                 v.append(node[gb[fits]])
                 d.append(far[fits])
         pairs, first = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0, return_index=True)
         return pa.table({"u": pairs[:, 0], "v": pairs[:, 1], "d": pa.array(np.concatenate(d)[first], pa.int32())})
 
-    return dealt.groupBy("big", "lot", "i", "j").applyInArrow(near, "u long, v long, d int").groupBy("u", "v").agg(F.max("d").alias("d"))
+    return dealt.groupBy("big", "lot", "i", "j").applyInArrow(near, "u long, v long, d int")
+
+
+def between(split: DataFrame, nodes: DataFrame, similar: int, of: int) -> DataFrame:
+    """The offered pairs, each once."""
+    return offered(split, nodes, similar, of).groupBy("u", "v").agg(F.max("d").alias("d"))
 
 
 def rooted(rows: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
