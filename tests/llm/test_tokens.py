@@ -10,7 +10,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tracelens.llm import idcodec, tokens
+from tracelens.llm import token_output as O
 from tracelens.llm.token_counts import count_text, token_counts
 from tracelens.llm.token_output import group_records, ids_of, parse, text_ids, token_output
 
@@ -117,6 +119,25 @@ def expected(rows, end=1):
     return out
 
 
+def test_long_groups_are_coded_a_few_blocks_at_once(monkeypatch):
+    """One long text is a group of its own: the coder's tables are bounded all the same, and the bytes do not depend on it."""
+    a, seen = np.arange(5 * 4096 + 7) % 900, []
+    whole = list(group_records([(5, len(a))], a))
+    for name, lanes in (("encode_blocks", lambda ids: -(-len(ids) // 4096)), ("decode_blocks", lambda blocks, _: len(blocks))):
+        f = getattr(O, name)
+        monkeypatch.setattr(O, name, lambda *x, f=f, lanes=lanes: seen.append(lanes(*x)) or f(*x))
+    monkeypatch.setattr(O, "LANES", 2)
+    parts = list(group_records([(5, len(a))], a))
+    (docs, blocks), = parse(b"".join(r + b"\n" for r in parts))
+    assert parts == whole and docs == [(5, len(a))] and (ids_of(blocks) == a).all()
+    assert seen == [2, 2, 2, 2, 2, 2]
+
+
+def test_workers_keep_no_freed_memory(spark):
+    corpus_pipeline.token_files(spark, spark.createDataFrame([(1, "a")], "doc_id LONG, text STRING"), "")
+    assert spark.sparkContext.environment["MALLOC_TRIM_THRESHOLD_"] and spark.sparkContext.environment["MALLOC_MMAP_THRESHOLD_"]
+
+
 def test_token_files_of_every_document(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     found = token_output(docs, PATH, path=str(tmp_path / "tokens")).orderBy("start").collect()

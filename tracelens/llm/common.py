@@ -40,7 +40,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextmanager
 def writing(spark: SparkSession) -> Iterator[None]:
     """For a write whose plan nothing reads again: Spark may remove its shuffle files at once, and hands texts to Python few at a time."""
-    wanted = {CLEANUP: "true", BATCH: str(min(2000, int(spark.conf.get(BATCH, "10000")))), BATCH_BYTES: "8m"}
+    wanted = {CLEANUP: "true", BATCH: str(min(2000, int(spark.conf.get(BATCH, "10000")))), BATCH_BYTES: "4m"}
     before = {k: spark.conf.get(k) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)

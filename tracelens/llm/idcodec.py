@@ -23,22 +23,23 @@ SCALE, FLOOR, MOST = 1 << 15, 16, 61440
 
 
 class Frequencies:
-    """Adaptive byte frequencies of each lane; the cumulative table is renewed every few steps."""
+    """Adaptive byte frequencies of each lane; the cumulative table is renewed every few steps. Only a reader looks symbols up."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, reads: bool):
+        self.reads = reads
         self.count = np.ones((lanes, 256), np.int32)
         self.cum = np.zeros((lanes, 257), np.int64)
-        self.slot = np.zeros((lanes, 256), np.int64)
         self.base, self.base_c = np.arange(lanes) * 256, np.arange(lanes) * 257
         self.renew()
 
     def renew(self) -> None:
-        total = self.count.sum(axis=1, keepdims=True, dtype=np.int64)
-        np.cumsum(FLOOR + self.count * (SCALE - 256 * FLOOR) // total, axis=1, out=self.cum[:, 1:])
+        total = self.count.sum(axis=1, keepdims=True, dtype=np.int32)
+        np.cumsum(FLOOR + self.count * np.int32(SCALE - 256 * FLOOR) // total, axis=1, out=self.cum[:, 1:])
         self.cum[:, 256] = SCALE
-        starts = np.zeros((len(self.count), 257), np.int64)
-        np.add.at(starts.reshape(-1), (self.base_c[:, None] + (self.cum[:, 1:256] + 127) // 128).ravel(), 1)
-        self.slot = np.cumsum(starts[:, :256], axis=1)
+        if self.reads:
+            at = (self.base_c[:, None] + (self.cum[:, 1:256] + 127 >> 7)).ravel()
+            starts = np.bincount(at, minlength=self.cum.size).reshape(self.cum.shape)
+            self.slot = np.cumsum(starts[:, :256], axis=1, dtype=np.uint8)
         big = total[:, 0] > 1 << 16
         if big.any():
             self.count[big] = (self.count[big] + 1) >> 1
@@ -50,7 +51,7 @@ class Frequencies:
         return start + low, (flat[at + 1] * rest >> 15) - low
 
     def find(self, lane: np.ndarray, value: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        symbol = self.slot.reshape(-1)[self.base[lane] + np.minimum(value * SCALE // rest >> 7, 255)]
+        symbol = self.slot.reshape(-1)[self.base[lane] + np.minimum(value * SCALE // rest >> 7, 255)].astype(np.int64)
         base, flat = self.base_c[lane], self.cum.reshape(-1)
         todo = np.arange(len(lane))
         while len(todo):
@@ -65,7 +66,7 @@ class Frequencies:
 class Model:
     """What writer and reader share: predictions before an id, updates after it."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, reads: bool):
         self.all = np.arange(lanes)
         self.wide = self.all * SLOTS
         self.t1, self.t2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
@@ -73,7 +74,7 @@ class Model:
         self.pr = np.full(lanes * 4, 16384, np.int64)
         self.weight = np.full(lanes, 128, np.int64)
         self.high = np.zeros(lanes * 256, np.int32)
-        self.low_f, self.high_f = Frequencies(lanes), Frequencies(lanes)
+        self.low_f, self.high_f = Frequencies(lanes, reads), Frequencies(lanes, reads)
         self.x1, self.x2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step = 0
 
@@ -166,7 +167,7 @@ class Reader:
     def __init__(self, blocks: list[bytes]):
         words = [np.frombuffer(b, "<u2") for b in blocks]
         sizes = np.array([len(w) + 4 for w in words])
-        self.words = np.zeros(sizes.sum(), np.int64)
+        self.words = np.zeros(sizes.sum(), np.uint16)
         self.at = np.cumsum(sizes) - sizes
         for a, w in zip(self.at, words):
             self.words[a : a + len(w)] = w
@@ -203,7 +204,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     rows = np.zeros(lanes * steps, np.uint16)
     rows[: len(ids)] = ids
     rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
-    model, writer = Model(lanes), Writer(lanes, steps)
+    model, writer = Model(lanes, reads=False), Writer(lanes, steps)
     for row in rows:
         x = row.astype(np.int64)
         model.predict()
@@ -226,7 +227,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
 def decode_blocks(blocks: list[bytes], steps: int) -> np.ndarray:
     """blocks x steps ids."""
     lanes = len(blocks)
-    model, reader, out = Model(lanes), Reader(blocks), np.empty((steps, lanes), np.uint16)
+    model, reader, out = Model(lanes, reads=True), Reader(blocks), np.empty((steps, lanes), np.uint16)
     for t in range(steps):
         model.predict()
         value = reader.value(EVERY)

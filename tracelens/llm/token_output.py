@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, stored, text_of, writing
-from .idcodec import BLOCK, LANES, decode_blocks, encode_blocks
+from .idcodec import BLOCK, IDS, LANES, decode_blocks, encode_blocks
 from .tokens import Memo, memo_of, of_column, proof, same
 
 MAGIC, HEAD = b"TKC1", struct.Struct("<4scIII")
-PER_FILE = 8  #: groups of BLOCK * LANES ids in a file, which a reader takes whole
+PER_FILE = 2  #: groups of BLOCK * LANES ids in a file, which a reader takes whole
 
 
 def record(kind: bytes, n: int, payload: bytes, crc: int) -> bytes:
@@ -50,31 +50,38 @@ def unindex(n: int, payload: bytes) -> list[tuple[int | None, int]]:
 
 
 def group_records(docs: list[tuple[int | None, int]], ids: np.ndarray) -> Iterator[bytes]:
-    """The document list, then the blocks of its ids."""
+    """The document list, then the blocks of its ids, LANES of them coded at once."""
     payload = index(docs)
     yield record(b"D", len(docs), payload, zlib.crc32(payload))
-    for k, block in enumerate(encode_blocks(ids)):
-        own = ids[k * BLOCK : (k + 1) * BLOCK]
-        yield record(b"T", len(own), block, zlib.crc32(own.astype("<u4").tobytes()))
+    for at in range(0, len(ids), BLOCK * LANES):
+        for k, block in enumerate(encode_blocks(ids[at : at + BLOCK * LANES])):
+            own = ids[at + k * BLOCK : at + min((k + 1) * BLOCK, BLOCK * LANES)]
+            yield record(b"T", len(own), block, zlib.crc32(own.astype("<u4").tobytes()))
+
+
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """Ids in two bytes where all fit; what does not is left for the coder to refuse."""
+    return ids.astype(np.uint16) if int(ids.max()) < IDS else ids
 
 
 def records(batches: Iterator[pa.RecordBatch], path: str, end_id: int, proven: Broadcast) -> Iterator[pa.RecordBatch]:
     memo, end = Memo(path, same, proven.value), end_id.to_bytes(4, "little")
     docs: list[tuple[int | None, int]] = []
-    parts: list[bytes] = []
+    parts: list[np.ndarray] = []
     size = 0
 
     def group() -> pa.RecordBatch:
-        out = b"\n".join(group_records(docs, np.frombuffer(b"".join(parts), "<u4")))
-        docs.clear()
+        ids = np.concatenate(parts)
         parts.clear()
+        out = b"\n".join(group_records(docs, ids))
+        docs.clear()
         return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["records"])
 
     for batch in batches:
         for doc_id, (_, values) in zip(batch.column(0).to_pylist(), of_column(batch.column(1), memo)):
             own = b"".join(values) + end
             docs.append((doc_id, len(own) // 4))
-            parts.append(own)
+            parts.append(narrow(np.frombuffer(own, "<u4")))
             size += len(own)
             if size >= 4 * BLOCK * LANES:
                 yield group()
@@ -93,9 +100,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 1,
         coded.select(F.col("records").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[list[tuple[int | None, int]], list[tuple[int, bytes, int]]]]:
+def parse(data: bytes | pa.Buffer) -> Iterator[tuple[list[tuple[int | None, int]], list[tuple[int, bytes, int]]]]:
     """(documents, blocks) of each group in a file."""
-    at, docs, blocks = 0, [], []
+    data, at, docs, blocks = memoryview(data), 0, [], []
     while at < len(data):
         magic, kind, n, size, crc = HEAD.unpack_from(data, at)
         payload = data[at + HEAD.size : at + HEAD.size + size]
@@ -115,12 +122,16 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[int | None, int]], list[tupl
 
 
 def ids_of(blocks: list[tuple[int, bytes, int]]) -> np.ndarray:
-    rows = decode_blocks([b for _, b, _ in blocks], max(n for n, _, _ in blocks))
-    parts = [row[:n].astype("<u4") for row, (n, _, _) in zip(rows, blocks)]
-    for part, (_, _, crc) in zip(parts, blocks):
-        if zlib.crc32(part.tobytes()) != crc:
-            raise ValueError("token block fails its checksum")
-    return np.concatenate(parts)
+    """Two-byte ids of a group, LANES blocks decoded at once."""
+    ids, at = np.empty(sum(n for n, _, _ in blocks), np.uint16), 0
+    for k in range(0, len(blocks), LANES):
+        some = blocks[k : k + LANES]
+        for row, (n, _, crc) in zip(decode_blocks([b for _, b, _ in some], max(n for n, _, _ in some)), some):
+            if zlib.crc32(row[:n].astype("<u4").tobytes()) != crc:
+                raise ValueError("token block fails its checksum")
+            ids[at : at + n] = row[:n]
+            at += n
+    return ids
 
 
 FIELDS = "file string, row long, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -131,10 +142,10 @@ def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             row = start = 0
-            for docs, blocks in parse(data.as_py()):
+            for docs, blocks in parse(data.as_buffer()):
                 ids, n = ids_of(blocks), np.array([c for _, c in docs])
                 ends = np.cumsum(n)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends - n, ends)]
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends - n, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(docs)), pa.array(np.arange(row, row + len(docs))), pa.array([i for i, _ in docs], pa.int64()), pa.array(start + ends - n), pa.array(n), pa.array(crc, pa.int64())],
                     names=["file", "row", "doc_id", "start", "n_tokens", "ids_crc32"],
