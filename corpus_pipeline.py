@@ -7,8 +7,6 @@ give no rows.
 
 from __future__ import annotations
 
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,47 +16,30 @@ from tracelens.llm.mixing import mix_documents
 from tracelens.llm.ngram_join import one_of_each
 from tracelens.llm.quality_rules import filter_documents
 from tracelens.llm.token_output import token_output
-from tracelens.session import lean_workers
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def lean(stage):
-    """The stage with Python workers that keep no freed memory: in a long session each stage finds what the ones before left."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        lean_workers(spark)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@lean
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
     return filter_documents(docs)
 
 
-@lean
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return one_of_each(docs)
 
 
-@lean
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-@lean
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the mixture's proportions; some come more than once."""
     return mix_documents(docs)
 
 
-@lean
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each document as read back from the token files."""
     return token_output(docs, public_tokenizers.path(TOKENIZER))

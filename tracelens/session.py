@@ -10,13 +10,3 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         SparkSession.builder.master(f"local[{cores}]").appName("tracelens").config("spark.sql.shuffle.partitions", partitions).config("spark.driver.memory", memory)
         .config("spark.sql.adaptive.enabled", True).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", False).config("spark.ui.showConsoleProgress", False).getOrCreate()
     )
-
-
-#: The C library's settings for Python workers: arrays of 1 MB or more go back to the system when they are freed, and few arenas are kept.
-LEAN = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
-
-
-def lean_workers(spark: SparkSession) -> None:
-    """Workers that Spark starts from now on keep no freed memory between tasks; what the session sets itself stays."""
-    for name, value in LEAN.items():
-        spark.sparkContext.environment.setdefault(name, value)
