@@ -90,7 +90,7 @@ class Model:
         self.ia, self.ib, self.ic = self.all * 8 + self.k2, self.all * 8 + 2 * self.k1 + self.same, self.all * 8 + self.k1
         self.qa, self.qb = self.pa[self.ia], self.pb[self.ib]
         self.p2 = (self.qa * self.weight + self.qb * (256 - self.weight) >> 8) * 15 // 16 + 16
-        self.p1 = np.where(self.same, 0, (self.pc[self.ic] * (MOST - self.p2) >> 16) + 1)
+        self.p1 = np.where(self.same, 0, (self.pc[self.ic] * np.maximum(MOST - self.p2, 0) >> 16) + 1)  # p2 reaches MOST + 1, and no guess may be left without a width
         self.rest = UNIT - self.p2 - self.p1
 
     def high_guess(self, lane: np.ndarray, low: np.ndarray) -> None:

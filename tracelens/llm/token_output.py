@@ -159,7 +159,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = stored(files.mapInArrow(documents, FIELDS), "token-rows")
     number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy(number(r"part-(\d+)"), number(r"-c(\d+)[^/]*$")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(number(r"part-(\d+)[^/]*$"), number(r"-c(\d+)[^/-]*$")).rowsBetween(Window.unboundedPreceding, -1)  # the job's id between the two may hold a -c1 too
     offsets = totals.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return rows.join(offsets, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
