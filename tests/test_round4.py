@@ -4,7 +4,15 @@ import random
 
 import pytest
 
+from tracelens import registry
 from tracelens.operators import cross as X
+from tracelens.plans import adapters as A
+
+
+def test_every_trace_meets_every_other(spark, data):
+    traces = {r.trace_id for r in A.completed(spark, data).select("trace_id").distinct().collect()}
+    found = registry.QUERIES["h23_standardised_distance"](spark, data).select("a", "b").collect()
+    assert len(found) == len(traces) * (len(traces) - 1) and {(r.a, r.b) for r in found} == {(a, b) for a in traces for b in traces if a != b}
 
 
 @pytest.mark.parametrize("broadcast", ["-1", "10m"])
