@@ -4,9 +4,12 @@ import random
 
 import pytest
 
+from tests.conftest import compare
 from tracelens import registry
+from tracelens.functions import storage
 from tracelens.operators import cross as X
 from tracelens.plans import adapters as A
+from tracelens.sources import captures as C
 
 
 def test_every_trace_meets_every_other(spark, data):
@@ -28,3 +31,13 @@ def test_pairs_of_blocks_are_made_without_an_exchange(spark, broadcast):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found == {(a, b): pytest.approx(sum((points[a][f] - points[b][f]) ** 2 for f in "abc") ** 0.5) for a in points for b in points if a != b}
+
+
+@pytest.mark.parametrize("name, module, reader, files", [("a7_listed_captures", C, "listed", 3), ("a10_sample_inventory", C, "inventory", 1)])
+def test_the_driver_lists_the_files_of_a_lot_alone(spark, data, monkeypatch, name, module, reader, files):
+    """Lots are dealt by a hash, so that one may have some more keys than others; all files are listed once."""
+    seen, read = [], getattr(module, reader)
+    monkeypatch.setattr(storage, "PER_LOT", 5)
+    monkeypatch.setattr(module, reader, lambda spark, root, *x, **y: seen.append(len(read(spark, root, *x, **y).inputFiles())) or read(spark, root, *x, **y))
+    compare(spark, name, data)
+    assert len(seen) >= 2 and max(seen) <= 3 * files * 5 and max(seen) < sum(seen)
