@@ -10,6 +10,7 @@ from tracelens.functions import storage
 from tracelens.operators import cross as X
 from tracelens.plans import adapters as A
 from tracelens.sources import captures as C
+from tracelens.sources import trace_csv as V
 
 
 def test_every_trace_meets_every_other(spark, data):
@@ -33,7 +34,7 @@ def test_pairs_of_blocks_are_made_without_an_exchange(spark, broadcast):
     assert found == {(a, b): pytest.approx(sum((points[a][f] - points[b][f]) ** 2 for f in "abc") ** 0.5) for a in points for b in points if a != b}
 
 
-@pytest.mark.parametrize("name, module, reader, files", [("a7_listed_captures", C, "listed", 3), ("a10_sample_inventory", C, "inventory", 1)])
+@pytest.mark.parametrize("name, module, reader, files", [("a7_listed_captures", C, "listed", 3), ("a10_sample_inventory", C, "inventory", 1), ("a8_file_quarantine", V, "file_checks", 1)])
 def test_the_driver_lists_the_files_of_a_lot_alone(spark, data, monkeypatch, name, module, reader, files):
     """Lots are dealt by a hash, so that one may have some more keys than others; all files are listed once."""
     seen, read = [], getattr(module, reader)
